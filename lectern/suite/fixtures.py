@@ -409,7 +409,7 @@ SELECT video_id, ROW_NUMBER() OVER (PARTITION BY video_id ORDER BY segment_id, k
 FROM (SELECT video_id, segment_id, tts_start_ms, tts_end_ms, len(ws) AS n, unnest(ws) AS normalized,
              generate_subscripts(ws, 1) AS k
       FROM (SELECT s.video_id, s.segment_id, tts_start_ms, tts_end_ms,
-                   list_filter(regexp_split_to_array(lower(s.text), '[^a-z0-9]+'), w -> w <> '') AS ws
+                   list_filter(regexp_split_to_array(lower(s.text), '[^a-z0-9]+'), lambda w: w <> '') AS ws
             FROM segments_fx s JOIN alignment_fx a ON s.video_id = a.video_id AND s.segment_id = a.segment_id) q) t"""),
 }
 
