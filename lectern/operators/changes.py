@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.times import event_frame, timecode
-from lectern.operators.folding import sorted_fold
+from lectern.operators.folding import fold_columns
 from lectern.operators.intervals import FRAME_BIN, overlap_join
 from lectern.operators.scan import OrderedScan
 
@@ -157,18 +157,14 @@ class _Dedupe:
     def _same(self, a, b) -> bool:
         return b is not None and len(a) == len(b) and float(np.mean(np.abs(a - b))) <= self.threshold
 
-    def push(self, r):
-        patch = np.asarray(r.patch, dtype="float64")
-        late = r.sort_priority == 1
-        if late and (self._same(patch, self.kept) or (r.updates_slide_state and self._same(patch, self.slide))):
-            return []
-        if r.updates_slide_state:
+    def __call__(self, priority, updates, values):
+        patch = np.asarray(values, dtype="float64")
+        if priority == 1 and (self._same(patch, self.kept) or (updates and self._same(patch, self.slide))):
+            return (False,)
+        if updates:
             self.slide = patch
         self.kept = patch
-        return [(r.video_id, r.event_frame, r.sort_priority, r.frame_id_0, r.frame_id_1, r.transition_no)]
-
-    def end(self):
-        return []
+        return (True,)
 
 
 def dedupe_backfills(candidates: DataFrame, patches: DataFrame, threshold: float) -> DataFrame:
@@ -176,10 +172,10 @@ def dedupe_backfills(candidates: DataFrame, patches: DataFrame, threshold: float
     rows = candidates.join(
         patches.select("video_id", F.col("frame_id").alias("event_frame"), "patch"), ["video_id", "event_frame"]
     ).select("video_id", *CANDIDATE_ORDER, "updates_slide_state", "patch")
-    return sorted_fold(
+    judged = fold_columns(
         rows, ["video_id"], CANDIDATE_ORDER, lambda: _Dedupe(threshold),
-        "video_id bigint, event_frame bigint, sort_priority int, frame_id_0 bigint, frame_id_1 bigint, transition_no bigint",
-    )
+        ["sort_priority", "updates_slide_state", "patch"], {"__stays": "boolean"})
+    return judged.where("__stays").drop("patch", "updates_slide_state", "__stays")
 
 
 def number_events(candidates: DataFrame, fps_milli: int = 25_000, split: bool | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.boxes import Box, outside_ratio
-from lectern.operators.folding import sorted_fold
+from lectern.operators.folding import fold_columns
 from lectern.operators.scan import OrderedScan
 
 MAP_ORDER = ["slide_start_ms", "slide_end_ms", "bucket_id"]
@@ -108,40 +108,35 @@ class _Collapse:
     def __init__(self, threshold: float):
         self.threshold, self.gid, self.image = threshold, None, None
 
-    def push(self, r):
-        image = None if r.image is None else np.asarray(r.image, dtype="float64")
+    def __call__(self, gid, values):
+        if gid == 0:
+            return (0,)
+        image = None if values is None else np.asarray(values, dtype="float64")
         last = self.image
         same = (
             self.gid is not None and image is not None and last is not None and len(image) == len(last)
             and float(np.mean(np.abs(image - last))) <= self.threshold
         )
         if not same:
-            self.gid, self.image = r.gid, image
-        return [(r.video_id, r.gid, self.gid)]
+            self.gid, self.image = gid, image
+        return (self.gid,)
 
-    def end(self):
-        return []
 
+def duplicate_targets(folded: DataFrame, images: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Adds ``target_gid``: the slide a kept slide is merged into (itself when it stays).
 
-def duplicate_targets(kept: DataFrame, images: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """For each kept slide the slide it is merged into (itself when it stays).
-
-    Only ids and image arrays pass through the ordered fold; texts are merged afterwards in Spark.
+    ``images(video_id, event_id, image)``; the comparison is always with the
+    last slide that stayed, so it is an ordered fold.
     """
-    rows = kept.where(F.col("gid") > 0).join(images, ["video_id", "event_id"], "left").select(
-        "video_id", "gid", "image")
-    return sorted_fold(
-        rows, ["video_id"], ["gid"], lambda: _Collapse(threshold), "video_id bigint, gid bigint, target_gid bigint"
-    )
+    pictured = folded.join(images, ["video_id", "event_id"], "left")
+    return fold_columns(
+        pictured, ["video_id"], ["gid"], lambda: _Collapse(threshold), ["gid", "image"], {"target_gid": "bigint"}
+    ).drop("image")
 
 
-def collapse_duplicates(kept: DataFrame, targets: DataFrame) -> DataFrame:
+def collapse_duplicates(targeted: DataFrame) -> DataFrame:
     """Merge text, ids and end of duplicates; the translated text of a duplicate is not carried over."""
-    rows = (
-        kept.where(F.col("gid") > 0).join(targets, ["video_id", "gid"])
-        .withColumn("row_no", F.col("gid"))
-        .withColumn("__own", F.col("gid") == F.col("target_gid"))
-    )
+    rows = targeted.withColumn("row_no", F.col("gid")).withColumn("__own", F.col("gid") == F.col("target_gid"))
     own = F.struct("event_id", "bucket_id", "slide_start_ms", "target_language", "translated_text", "received_text")
     return (
         rows.groupBy("video_id", F.col("target_gid").alias("gid"))
@@ -151,58 +146,57 @@ def collapse_duplicates(kept: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def place_leading_text(slides: DataFrame, folded: DataFrame, split: bool | None = None) -> DataFrame:
+def place_leading_text(slides: DataFrame, split: bool | None = None) -> DataFrame:
     """Leading text goes to the second slide; the first keeps text only if some was merged into it.
 
-    A video without any kept slide but with leading text gets one row of its own.
+    ``slides`` holds the kept slides of each video and, as gid 0, what came
+    before the first.  A video without any kept slide gets that as its only row.
     """
     empty_ids = F.array().cast("array<bigint>")
-    leading = folded.where(F.col("gid") == 0).select(
-        "video_id", F.col("text").alias("__lt"), F.col("translated_text").alias("__ltr"),
-        F.col("source_segment_ids").alias("__li"),
+    lead_row = F.col("gid") == 0
+    lead = F.when(lead_row, F.struct(F.col("text").alias("t"), F.col("translated_text").alias("tr"),
+                                     F.col("source_segment_ids").alias("ids")))
+    numbered = (
+        OrderedScan(slides, ["video_id"], ["gid"])
+        .running_sum("slide_index", (~lead_row).cast("bigint")).last_value("__lead", lead)
+        .total("__kept", (~lead_row).cast("bigint")).apply(split)
     )
-    numbered = OrderedScan(slides, ["video_id"], ["gid"]).row_number("slide_index").apply(split)
+    some = F.coalesce((F.col("__lead.t") != "") | (F.size("__lead.ids") > 0), F.lit(False))
     erased = (F.col("slide_index") == 1) & ~F.col("received_text")
-    takes = (F.col("slide_index") == 2) & ((F.col("__lt") != "") | (F.size("__li") > 0))
-    takes = F.coalesce(takes, F.lit(False))
+    takes = (F.col("slide_index") == 2) & some
 
-    def text(own: str, lead: str) -> Column:
-        base = F.trim(F.when(erased, F.lit("")).otherwise(F.coalesce(own, F.lit(""))))
-        return F.when(takes, F.trim(F.concat_ws(" ", F.nullif(F.trim(lead), F.lit("")), F.nullif(base, F.lit(""))))
-                      ).otherwise(base)
+    def text(own: str, lead_text: str) -> Column:
+        base = F.trim(F.when(erased & ~lead_row, F.lit("")).otherwise(F.coalesce(own, F.lit(""))))
+        both = F.trim(F.concat_ws(" ", F.nullif(F.trim(lead_text), F.lit("")), F.nullif(base, F.lit(""))))
+        return F.when(takes, both).otherwise(base)
 
-    ids = F.when(erased, empty_ids).when(
-        takes, F.array_sort(F.array_union("source_segment_ids", F.coalesce("__li", empty_ids)))
+    ids = F.when(erased & ~lead_row, empty_ids).when(
+        takes, F.array_sort(F.array_union("source_segment_ids", F.col("__lead.ids")))
     ).otherwise(F.col("source_segment_ids"))
-    kept = numbered.join(leading, "video_id", "left").select(
-        "video_id", "slide_index", "event_id", "bucket_id", "slide_start_ms", "slide_end_ms",
-        F.lit(False).alias("is_no_slide"), F.col("event_id").alias("merge_target_event_id"),
-        text("text", F.col("__lt")).alias("text"), text("translated_text", F.col("__ltr")).alias("translated_text"),
-        "target_language", ids.alias("source_segment_ids"),
-    )
-    only = leading.join(slides.select("video_id").distinct(), "video_id", "left_anti").where(
-        (F.col("__lt") != "") | (F.size("__li") > 0)
-    )
     zero = F.lit(0).cast("bigint")
-    lone = only.select(
-        "video_id", zero.alias("slide_index"), zero.alias("event_id"), F.lit("no_slide_leading").alias("bucket_id"),
-        zero.alias("slide_start_ms"), zero.alias("slide_end_ms"), F.lit(True).alias("is_no_slide"),
-        F.lit(None).cast("bigint").alias("merge_target_event_id"), F.col("__lt").alias("text"),
-        F.col("__ltr").alias("translated_text"), F.lit("").alias("target_language"),
-        F.col("__li").alias("source_segment_ids"),
+
+    def unless_lead(name: str, value) -> Column:
+        return F.when(lead_row, value).otherwise(F.col(name)).alias(name)
+
+    return numbered.where(~lead_row | ((F.col("__kept") == 0) & some)).select(
+        "video_id", "slide_index", unless_lead("event_id", zero), unless_lead("bucket_id", F.lit("no_slide_leading")),
+        unless_lead("slide_start_ms", zero), unless_lead("slide_end_ms", zero), lead_row.alias("is_no_slide"),
+        F.when(~lead_row, F.col("event_id")).alias("merge_target_event_id"),
+        text("text", "__lead.t").alias("text"), text("translated_text", "__lead.tr").alias("translated_text"),
+        unless_lead("target_language", F.lit("")), ids.alias("source_segment_ids"),
+        F.size(ids).cast("bigint").alias("segments_count"),
     )
-    return kept.unionByName(lone).withColumn("segments_count", F.size("source_segment_ids").cast("bigint"))
 
 
-def filter_manifest(marked: DataFrame, folded: DataFrame, targets: DataFrame) -> DataFrame:
+def filter_manifest(marked: DataFrame, targeted: DataFrame) -> DataFrame:
     """What happened to every bucket and why; duplicates override the first decision."""
-    events = folded.where(F.col("gid") > 0).select("video_id", "gid", F.col("event_id").alias("kept_event_id"))
+    kept = targeted.where(F.col("gid") > 0).select("video_id", "gid", "target_gid", "event_id")
+    # duplicates are found by one aggregation per target slide instead of a self join
     moved = (
-        targets.where(F.col("gid") != F.col("target_gid"))
-        .join(events, ["video_id", "gid"])
-        .join(events.select("video_id", F.col("gid").alias("target_gid"),
-                            F.col("kept_event_id").alias("dup_target")), ["video_id", "target_gid"])
-        .select("video_id", F.col("kept_event_id").alias("event_id"), "dup_target")
+        kept.groupBy("video_id", "target_gid")
+        .agg(F.max(F.when(F.col("gid") == F.col("target_gid"), F.col("event_id"))).alias("dup_target"),
+             F.collect_list(F.when(F.col("gid") != F.col("target_gid"), F.col("event_id"))).alias("es"))
+        .select("video_id", F.explode("es").alias("event_id"), "dup_target")
     )
     dup = F.col("dup_target").isNotNull()
     return (

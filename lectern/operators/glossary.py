@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.boxes import Box, intersects
 from lectern.functions.scores import font_default, hex_rgb, is_noise
 from lectern.functions.text import alnum_only, has_alnum, norm_slide
-from lectern.operators.folding import sorted_fold
+from lectern.operators.folding import fold_columns
 from lectern.operators.grouped import with_group_values
 
 _CELL = 256
@@ -203,37 +203,39 @@ class _Stacks:
     """Stacked entries of one slide that share a left edge and a size."""
 
     def __init__(self) -> None:
-        self.groups: list[list] = []
-
-    def score(self, group: list, r) -> float | None:
-        last = group[-1]
-        mid_x = round(_median([g.x for g in group]))
-        mid_h = max(1, round(_median([g.h for g in group])))
-        mid_w = max(1, round(_median([g.w for g in group])))
-        tall, dx, top = max(mid_h, r.h), abs(r.x - mid_x), r.y - last.y
+        self.groups: list[dict] = []
+
+    @staticmethod
+    def score(g: dict, x, y, w, h) -> float | None:
+        mid_x = round(_median(g["x"]))
+        mid_h, mid_w = max(1, round(_median(g["h"]))), max(1, round(_median(g["w"])))
+        tall, dx, top = max(mid_h, h), abs(x - mid_x), y - g["last_y"]
         fits = (
             dx <= max(18, round(tall * 0.9)) and 0 <= top <= max(34, round(tall * 3.5))
-            and top - last.h >= -max(6, round(min(mid_h, r.h) * 0.35)) and 0.45 <= r.w / mid_w <= 2.4
+            and top - g["last_h"] >= -max(6, round(min(mid_h, h) * 0.35)) and 0.45 <= w / mid_w <= 2.4
         )
         return float(dx + max(0, top - round(tall * 2.2))) if fits else None
 
-    def push(self, r):
-        scored = [(s, n) for n, g in enumerate(self.groups) if (s := self.score(g, r)) is not None]
+    def __call__(self, x, y, w, h):
+        scored = [(s, n) for n, g in enumerate(self.groups) if (s := self.score(g, x, y, w, h)) is not None]
         if scored:
-            self.groups[min(scored)[1]].append(r)
+            no = min(scored)[1]
         else:
-            self.groups.append([r])
-        return []
-
-    def end(self):
-        kept = [g for g in self.groups if len(g) >= 2]
-        return [(r.slide_id, r.unit_id, no, len(g)) for no, g in enumerate(kept, start=1) for r in g]
+            no = len(self.groups)
+            self.groups.append({"x": [], "w": [], "h": []})
+        g = self.groups[no]
+        g["x"].append(x)
+        g["w"].append(w)
+        g["h"].append(h)
+        g["last_y"], g["last_h"] = y, h
+        return (no + 1,)
 
 
-def stacked_groups(entries: DataFrame) -> DataFrame:
+def stacked_groups(entries: DataFrame, split: bool | None = None) -> DataFrame:
     """Groups of at least two stacked entries per slide."""
     one = F.lit(1).cast("bigint")
     rows = entries.select("slide_id", "unit_id", "x", "y", F.greatest(one, F.col("w")).alias("w"),
                           F.greatest(one, F.col("h")).alias("h"))
-    return sorted_fold(rows, ["slide_id"], ["y", "x", "unit_id"], _Stacks,
-                       "slide_id bigint, unit_id bigint, group_no bigint, group_size bigint")
+    grouped = fold_columns(rows, ["slide_id"], ["y", "x", "unit_id"], _Stacks, ["x", "y", "w", "h"], {"group_no": "bigint"})
+    sized = with_group_values(grouped, ["slide_id", "group_no"], {"group_size": F.count(F.lit(1))}, split)
+    return sized.where(F.col("group_size") >= 2).select("slide_id", "unit_id", "group_no", "group_size")

@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lectern.functions.casts import bool_listed
 from lectern.functions.text import norm_slide, norm_tm, speech_text, utf8_size
-from lectern.operators.folding import sorted_fold
+from lectern.operators.folding import fold_columns
 from lectern.operators.scan import OrderedScan
 from lectern.operators.segments import SEGMENT_ORDER
 
@@ -30,8 +30,7 @@ class _Pack:
         self.max_count, self.limits, self.joint = max_count, limits, joint
         self.chunk, self.count, self.sizes = 1, 0, [0] * len(limits)
 
-    def push(self, r):
-        sizes = [int(r.size_a), int(r.size_b)][: len(self.limits)]
+    def __call__(self, *sizes):
         extra = self.joint if self.count else 0
         full = self.count and (
             self.count >= self.max_count
@@ -41,21 +40,17 @@ class _Pack:
             self.chunk, self.count, self.sizes, extra = self.chunk + 1, 0, [0] * len(self.limits), 0
         self.count += 1
         self.sizes = [s + extra + n for s, n in zip(self.sizes, sizes)]
-        return [(r.video_id, r.segment_id, self.chunk)]
-
-    def end(self):
-        return []
-
-
-_PACKED = "video_id bigint, segment_id bigint, chunk_index bigint"
+        return (self.chunk,)
 
 
 def pack_chunks(segments: DataFrame, max_count: int = 12, max_chars: int = 2800) -> DataFrame:
     """Chunk number of every non-empty segment; only ids and lengths enter the fold."""
     rows = segments.where(F.trim("text") != "").select(
-        "video_id", *SEGMENT_ORDER, F.length("text").alias("size_a"), F.lit(0).alias("size_b"))
-    return sorted_fold(
-        rows, ["video_id"], SEGMENT_ORDER, lambda: _Pack(max(1, max_count), (max(400, max_chars),), 0), _PACKED)
+        "video_id", *SEGMENT_ORDER, F.length("text").alias("size"))
+    packed = fold_columns(
+        rows, ["video_id"], SEGMENT_ORDER, lambda: _Pack(max(1, max_count), (max(400, max_chars),), 0), ["size"],
+        {"chunk_index": "bigint"})
+    return packed.select("video_id", "segment_id", "chunk_index")
 
 
 def speech_byte_budget(prompt_bytes: int, max_text: int = 3800, max_prompt: int = 4000, max_request: int = 7900) -> int:
@@ -81,13 +76,13 @@ def pack_speech_chunks(
         (F.sum("size_b") + F.count(F.lit(1)) - 1 <= budget).alias("__fits"),
         (F.max("end_ms") - F.min("start_ms") <= single_max_ms).alias("__short"),
     )
-    packed = sorted_fold(
+    packed = fold_columns(
         rows, ["video_id"], SEGMENT_ORDER,
-        lambda: _Pack(max(1, max_segments), (max(200, max_chars), budget), 1), _PACKED)
+        lambda: _Pack(max(1, max_segments), (max(200, max_chars), budget), 1), ["size_a", "size_b"],
+        {"chunk_index": "bigint"})
     single = F.col("__fits") & F.col("__short")
     return (
-        packed.join(rows.select("video_id", "segment_id", "size_b"), ["video_id", "segment_id"])
-        .join(whole, "video_id")
+        packed.join(whole, "video_id")
         .select("video_id", "segment_id",
                 F.when(single, F.lit(1).cast("bigint")).otherwise(F.col("chunk_index")).alias("chunk_index"),
                 F.when(single, "single_request").otherwise("chapter_chunks").alias("mode"),

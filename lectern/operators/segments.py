@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import collapse
 from lectern.functions.times import estimate_duration_ms
-from lectern.operators.folding import sorted_fold
+from lectern.operators.folding import fold_columns
 from lectern.operators.scan import OrderedScan
 
 SEGMENT_ORDER = ["start_ms", "end_ms", "segment_id"]
@@ -141,36 +141,28 @@ class _Stitch:
     """Accept a recognized result only if it reaches past what was accepted before."""
 
     def __init__(self) -> None:
-        self.accepted = 0
-        self.next_id = 1
-        self.chunk = None
-        self.local_end = 0
-
-    def push(self, r):
-        if r.chunk_no != self.chunk:
-            self.chunk, self.local_end = r.chunk_no, 0
-        start, end = self.local_end, int(r.end_offset_ms)
+        self.accepted, self.count, self.chunk, self.local_end = 0, 0, None, 0
+
+    def __call__(self, chunk, chunk_start, chunk_ms, duration, end, after, estimate):
+        if chunk != self.chunk:
+            self.chunk, self.local_end = chunk, 0
+        start = self.local_end
         if end <= start + 1:
-            reserve = 150 * int(r.results_after)
-            limit = max(start + 150, int(r.chunk_ms) - reserve)
-            end = min(limit, start + int(r.estimate_ms))
-        end = min(int(r.chunk_ms), max(end, start + 1))
+            limit = max(start + 150, chunk_ms - 150 * after)
+            end = min(limit, start + estimate)
+        end = min(chunk_ms, max(end, start + 1))
         self.local_end = max(self.local_end, end)
-        g_start, g_end = r.chunk_start_ms + start, r.chunk_start_ms + end
-        if g_end <= self.accepted + 50:
-            return []
-        g_start = max(g_start, self.accepted)
-        if r.duration_ms > 0:
-            g_start, g_end = min(g_start, r.duration_ms), min(g_end, r.duration_ms)
-        if g_end - g_start <= 1:
-            return []
-        row = (r.video_id, self.next_id, g_start, g_end, g_end - g_start, r.text)
-        self.accepted = max(self.accepted, g_end)
-        self.next_id += 1
-        return [row]
-
-    def end(self):
-        return []
+        low, high = chunk_start + start, chunk_start + end
+        if high <= self.accepted + 50:
+            return None, None, None
+        low = max(low, self.accepted)
+        if duration > 0:
+            low, high = min(low, duration), min(high, duration)
+        if high - low <= 1:
+            return None, None, None
+        self.accepted = max(self.accepted, high)
+        self.count += 1
+        return self.count, low, high
 
 
 def stitch_overlaps(results: DataFrame, split: bool | None = None) -> DataFrame:
@@ -195,10 +187,10 @@ def stitch_overlaps(results: DataFrame, split: bool | None = None) -> DataFrame:
             estimate_duration_ms(F.col("text")).alias("estimate_ms"),
         )
     )
-    return sorted_fold(
-        counted,
-        ["video_id"],
-        ["chunk_no", "result_no"],
-        _Stitch,
-        "video_id bigint, segment_id bigint, start_ms bigint, end_ms bigint, duration_ms bigint, text string",
+    stitched = fold_columns(
+        counted, ["video_id"], ["chunk_no", "result_no"], _Stitch,
+        ["chunk_no", "chunk_start_ms", "chunk_ms", "duration_ms", "end_offset_ms", "results_after", "estimate_ms"],
+        {"segment_id": "bigint", "start_ms": "bigint", "end_ms": "bigint"},
     )
+    return stitched.where(F.col("segment_id").isNotNull()).select(
+        "video_id", "segment_id", "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "text")

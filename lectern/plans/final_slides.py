@@ -18,15 +18,16 @@ def final_slides(
 
     Duplicates are merged before the first slide's text is erased.  ``source``
     (video_id, event_id, has_full_image + rollup columns) adds the source mode.
+
+    ``slide_map`` is read several times: pass a written table, or the result of
+    ``lectern.settings.staged``, rather than a long plan.
     """
     if split is None:
         split = has_hot_key(slide_map.select("video_id"), ["video_id"])
     ratios = stage1_video_ratio(slide_map, runs, fps)
     marked = ops.mark_folds(ops.label_rows(slide_map, metrics, ratios, **thresholds), split)
-    folded = ops.fold_into_previous(marked)
-    targets = ops.duplicate_targets(folded, images, duplicate_threshold)
-    slides = ops.collapse_duplicates(folded, targets)
-    final = ops.place_leading_text(slides, folded, split)
+    targeted = ops.duplicate_targets(ops.fold_into_previous(marked), images, duplicate_threshold)
+    final = ops.place_leading_text(ops.collapse_duplicates(targeted), split)
     if source is not None:
         final = ops.decide_source_mode(final.join(source, ["video_id", "event_id"], "left"))
-    return final, ops.filter_manifest(marked, folded, targets)
+    return final, ops.filter_manifest(marked, targeted)

@@ -29,6 +29,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """A stage result that several later steps read: computed once, kept in the checkpoint folder.
+
+    The folder is shared by the executors, so a lost executor does not bring
+    the whole lineage back.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def has_hot_key(df: DataFrame, keys: list[str]) -> bool:
     """True when some key has more rows than one task should hold.
 

@@ -127,7 +127,7 @@ def q_base(t):
 @query("pick_title_subtitle", with_fixtures(TO_R2 + """
 SELECT ti.slide_id, t_id AS title_unit_id, s_id AS subtitle_unit_id FROM ti LEFT JOIN su ON su.slide_id = ti.slide_id""", "ocr_units_fx"))
 def q_title(t):
-    df = roles.pick_subtitle(roles.pick_title(roles._with_heights(roles.measure_units(_units(t))), _hot(t)), _hot(t))
+    df = roles.pick_subtitle(roles.pick_title(roles._with_heights(roles.measure_units(_units(t)), _hot(t)), _hot(t)), _hot(t))
     return df.where("__title IS NOT NULL").select(
         "slide_id", F.col("__title.unit_id").alias("title_unit_id"), F.col("__subtitle").alias("subtitle_unit_id")).distinct()
 
@@ -147,7 +147,7 @@ def q_neighbours(t):
 
 
 def _zoned(t):
-    return roles.enforce_heading_zone(roles.promote_graphic_neighbours(_promoted(t)), _hot(t))
+    return roles.enforce_heading_zone(roles.promote_graphic_neighbours(_promoted(t), _hot(t)), _hot(t))
 
 
 @query("heading_zone", with_fixtures(TO_R4 + "," + ZONED + " SELECT slide_id, unit_id, role FROM r6", "ocr_units_fx"))
@@ -173,7 +173,8 @@ def q_slots(t):
 @query("implicit_lists")
 def q_implicit(t):
     """Greedy clusters; checked against a plain loop in the tests."""
-    return roles.implicit_lists(roles.promote_graphic_neighbours(_promoted(t)))
+    out = roles.implicit_lists(roles.promote_graphic_neighbours(_promoted(t), _hot(t)), _hot(t))
+    return out.where("cluster_no IS NOT NULL").select("slide_id", "unit_id", "cluster_no", "cluster_size", "is_list")
 
 
 @query("classify_units")
@@ -184,7 +185,7 @@ def q_classify(t):
 
 @query("stacked_groups")
 def q_stacks(t):
-    return glossary.stacked_groups(_units(t))
+    return glossary.stacked_groups(_units(t), _hot(t))
 
 
 @query("box_union", with_fixtures("""
@@ -397,14 +398,14 @@ SELECT doc_id AS slide_id, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY line_
 FROM (SELECT *, DENSE_RANK() OVER (PARTITION BY doc_id ORDER BY (line_no - 1) // 3) AS dense_b
       FROM (SELECT doc_id, line_no, regexp_replace(line, ' +', ' ', 'g') AS line FROM text_lines_fx) a) t""", "text_lines_fx"))
 def q_flatten(t):
-    return ocr.flatten_ocr(_pages(t)).select(
+    return ocr.flatten_ocr(_pages(t), _hot(t)).select(
         "slide_id", "fragment_id", "block_id", "line_id", F.regexp_replace("text_raw", " +", " ").alias("text_raw"), "x", "y", "w", "h")
 
 
 @query("group_text_units")
 def q_group(t):
     """Greedy grouping of fragments; checked against a plain loop in the tests."""
-    out = ocr.build_units(ocr.flatten_ocr(_pages(t)))
+    out = ocr.build_units(ocr.flatten_ocr(_pages(t), _hot(t)))
     return out.select("slide_id", "unit_id", "source_text", "line_count", "list_marker_fragment_id", "x", "y", "w", "h")
 
 

@@ -11,6 +11,7 @@ from lectern.operators import changes, final_slides
 from lectern.plans import final_slides as final_job
 from lectern.plans import slide_changes as change_job
 from lectern.plans.slide_text_map import slide_text_map
+from lectern.settings import staged
 from lectern.suite.fixtures import with_fixtures
 from lectern.suite.registry import query
 from lectern.suite.timed_text import BASE, FLAGSHIP, FRAMED, timed_events
@@ -277,7 +278,8 @@ def _images(t):
 
 
 def _map(t):
-    return slide_text_map(t.segments(), t.slide_changes(), t.translations(), split=t.by_video)
+    """The slide map as a stage of its own, as the deck job reads it more than once."""
+    return staged(slide_text_map(t.segments(), t.slide_changes(), t.translations(), split=t.by_video))
 
 
 def _labelled(t):
@@ -307,7 +309,8 @@ SELECT video_id, CAST(gid AS BIGINT) AS gid, CAST(target_gid AS BIGINT) AS targe
     *DECK_FX, recursive=True))
 def q_duplicates(t):
     folded = final_slides.fold_into_previous(final_slides.mark_folds(_labelled(t), t.by_video))
-    return final_slides.duplicate_targets(folded, _images(t), 0.001)
+    out = final_slides.duplicate_targets(folded, _images(t), 0.001)
+    return out.where("gid > 0").select("video_id", "gid", "target_gid")
 
 
 def _final(t):
