@@ -185,25 +185,38 @@ class _Phrases:
         return None
 
     def fuzzy(self, words, ids, wanted):
+        """Best window of words by similarity ratio, the first one on ties.
+
+        No ratio exceeds what the longest common subsequence allows, and that
+        grows word by word with a few integer operations per character; only
+        windows that could still win are compared in full.
+        """
         target = " ".join(wanted)
-        matcher = SequenceMatcher(None, "", "")
+        size = len(target)
+        full = (1 << size) - 1
+        masks: dict[str, int] = {}
+        for at, char in enumerate(target):
+            masks[char] = masks.get(char, 0) | (1 << at)
+        matcher = SequenceMatcher(None, "", target)
         best, found = 0.0, None
         window = max(2, len(wanted) + 4)
         for at in range(len(words)):
             if ids[at] < self.start:
                 continue
-            for end in range(at + 1, min(len(words), at + window) + 1):
-                text = " ".join(words[at:end]).strip()
-                if not text:
-                    continue
-                matcher.set_seqs(text, target)
-                # the upper bounds only skip what cannot beat the best so far
-                floor = max(best, self.min_ratio) - 1e-12
-                if matcher.real_quick_ratio() <= floor or matcher.quick_ratio() <= floor:
+            state, length = full, 0
+            for end in range(at, min(len(words), at + window)):
+                piece = words[end] if end == at else " " + words[end]
+                for char in piece:
+                    both = state & masks.get(char, 0)
+                    state = ((state + both) | (state - both)) & full
+                length += len(piece)
+                common = size - state.bit_count()
+                if 2.0 * common / (length + size) < max(best, self.min_ratio) - 1e-9:
                     continue
+                matcher.set_seq1(" ".join(words[at : end + 1]))
                 score = matcher.ratio()
                 if score > best and score >= self.min_ratio:
-                    best, found = score, (at, end - 1)
+                    best, found = score, (at, end)
         return found
 
     def __call__(self, wanted, ids, words):
@@ -225,6 +238,8 @@ def match_phrases(slides: DataFrame, candidates: DataFrame, min_ratio: float = 0
         F.array_sort(F.collect_list(F.struct("word_idx", "normalized", "start_ms", "end_ms"))).alias("__ws"))
     rows = slides.select(*SLIDE, tokens(text).alias("__tokens")).join(per_slide, SLIDE, "left").withColumns(
         {"__ids": F.transform("__ws", lambda w: w["word_idx"]), "__words": F.transform("__ws", lambda w: w["normalized"])})
+    # the search is costly per byte, so small inputs must not be merged into few tasks
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id")
     found = fold_columns(
         rows, ["video_id"], ["slide_index"], lambda: _Phrases(min_ratio), ["__tokens", "__ids", "__words"],
         {"start_word_index": "bigint", "end_word_index": "bigint", "exact": "boolean"})
