@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lectern.settings import ensure_checkpoint_dir, has_hot_key
 
-_PIECE = "__piece"
+_PIECE = "__scan_piece"
 _BEFORE = (Window.unboundedPreceding, -1)
 _UPTO = (Window.unboundedPreceding, Window.currentRow)
 _AFTER = (1, Window.unboundedFollowing)
@@ -118,7 +118,7 @@ class OrderedScan:
         spark = self.df.sparkSession
         ensure_checkpoint_dir(spark)
         pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        names = [f"__v{n}" for n in range(len(self.items))]
+        names = [f"__scan_v{n}" for n in range(len(self.items))]
         rows = (
             self.df.withColumns({n: i.value for n, i in zip(names, self.items)})
             .repartitionByRange(pieces, *self.keys, *self.order)
@@ -172,10 +172,10 @@ class OrderedScan:
         carry = (
             rows.groupBy(*self.keys, _PIECE)
             .agg(*aggs)
-            .select(*self.keys, _PIECE, F.count(F.lit(1)).over(whole).alias("__n"), *carried)
+            .select(*self.keys, _PIECE, F.count(F.lit(1)).over(whole).alias("__scan_n"), *carried)
             # keys inside one piece carry nothing: what is left has <= 2 rows per piece
-            .where(F.col("__n") > 1)
-            .drop("__n")
+            .where(F.col("__scan_n") > 1)
+            .drop("__scan_n")
         )
         out = {}
         for n, i in zip(names, self.items):
@@ -184,8 +184,8 @@ class OrderedScan:
         scanned = rows.withColumns(
             {
                 **out,
-                "__first": F.row_number().over(local) == 1,
-                "__final": F.lead(F.lit(1)).over(local).isNull(),
+                "__scan_first": F.row_number().over(local) == 1,
+                "__scan_final": F.lead(F.lit(1)).over(local).isNull(),
             }
         )
         joined = scanned.join(F.broadcast(carry), [*self.keys, _PIECE], "left")
@@ -201,9 +201,9 @@ class OrderedScan:
             elif i.kind in ("last", "last_before", "next"):
                 v = F.coalesce(own, c)
             elif i.kind == "lag":
-                v = F.when(F.col("__first"), c).otherwise(own)
+                v = F.when(F.col("__scan_first"), c).otherwise(own)
             else:
-                v = F.when(F.col("__final"), c).otherwise(own)
+                v = F.when(F.col("__scan_final"), c).otherwise(own)
             final[i.name] = v
         base = [c for c in self.df.columns if c not in final]
         return joined.select(*base, *[v.alias(k) for k, v in final.items()])

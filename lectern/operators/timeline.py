@@ -319,11 +319,11 @@ def timeline_master(
         .when(c("__next").isNotNull(), video(c("__next"))).when(own_end.isNotNull(), own_end)
         .when(projected_end.isNotNull(), video(projected_end)).cast("bigint")
     )
-    first = OrderedScan(scanned.withColumns({"__a": a, "__b": b}), ["video_id"], ["slide_index"]).running_sum("__A", "__a").apply(split)
+    first = OrderedScan(scanned.withColumns({"__a": a, "__b": b}), ["video_id"], ["slide_index"]).running_sum("__a_sum", "__a").apply(split)
     ends = (
-        OrderedScan(first.withColumn("__d", c("__b") - c("__A")), ["video_id"], ["slide_index"])
-        .running_max("__D", "__d").apply(split)
-        .withColumn("video_end_ms", c("__A") + F.greatest(zero, F.coalesce("__D", zero)))
+        OrderedScan(first.withColumn("__d", c("__b") - c("__a_sum")), ["video_id"], ["slide_index"])
+        .running_max("__d_max", "__d").apply(split)
+        .withColumn("video_end_ms", c("__a_sum") + F.greatest(zero, F.coalesce("__d_max", zero)))
     )
     timed = (
         OrderedScan(ends, ["video_id"], ["slide_index"]).lag("__before", "video_end_ms").apply(split)
