@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.times import event_frame, timecode
 from lectern.operators.folding import fold_columns
+from lectern.operators.grouped import with_group_values
 from lectern.operators.intervals import FRAME_BIN, overlap_join
 from lectern.operators.scan import OrderedScan
 
@@ -142,10 +143,23 @@ def suppress_repeats(targets: DataFrame, initial: DataFrame, split: bool | None
     ).drop("__prev", "__first")
 
 
+def long_slide_runs(runs: DataFrame, min_frames: int = 12) -> DataFrame:
+    return runs.where((F.col("slide_id") >= 0) & (F.col("f1") - F.col("f0") + 1 >= min_frames))
+
+
+def keep_uncovered(candidates: DataFrame, split: bool | None = None) -> DataFrame:
+    """Late candidates (priority 1) only where no primary one has the same run.
+
+    One grouping of the union decides it, so the primary candidates are not computed twice.
+    """
+    primary = F.bool_or(F.col("sort_priority") == 0)
+    marked = with_group_values(candidates, ["video_id", "seg_idx"], {"__covered": primary}, split)
+    return marked.where((F.col("sort_priority") == 0) | ~F.col("__covered")).drop("__covered")
+
+
 def backfill_candidates(runs: DataFrame, covered: DataFrame, min_frames: int = 12) -> DataFrame:
     """Long enough slide runs that no candidate covers yet."""
-    long_runs = runs.where((F.col("slide_id") >= 0) & (F.col("f1") - F.col("f0") + 1 >= min_frames))
-    return long_runs.join(covered.select("video_id", "seg_idx").distinct(), ["video_id", "seg_idx"], "left_anti")
+    return long_slide_runs(runs, min_frames).join(covered.select("video_id", "seg_idx").distinct(), ["video_id", "seg_idx"], "left_anti")
 
 
 class _Dedupe:

@@ -23,7 +23,6 @@ from lectern.settings import ensure_checkpoint_dir, has_hot_key
 _PIECE = "__scan_piece"
 _BEFORE = (Window.unboundedPreceding, -1)
 _UPTO = (Window.unboundedPreceding, Window.currentRow)
-_AFTER = (1, Window.unboundedFollowing)
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -34,7 +33,12 @@ class _Item:
     value: Column
 
 
-def _window_value(kind: str, value: Column, w) -> Column:
+def _reversed(order: Sequence[str]) -> list[Column]:
+    return [F.desc(c) for c in order]
+
+
+def _window_value(kind: str, value: Column, w, back) -> Column:
+    """``back`` is the window in reverse order: looking ahead over it stays linear."""
     if kind == "row_number":
         return F.row_number().over(w).cast("bigint")
     if kind == "sum":
@@ -48,7 +52,7 @@ def _window_value(kind: str, value: Column, w) -> Column:
     if kind == "last_before":
         return F.last(value, ignorenulls=True).over(w.rowsBetween(*_BEFORE))
     if kind == "next":
-        return F.first(value, ignorenulls=True).over(w.rowsBetween(*_AFTER))
+        return F.last(value, ignorenulls=True).over(back.rowsBetween(*_BEFORE))
     if kind == "lag":
         return F.lag(value).over(w)
     if kind == "lead":
@@ -111,8 +115,9 @@ class OrderedScan:
         return self._split() if split else self._plain()
 
     def _plain(self) -> DataFrame:
-        w = Window.partitionBy(*self.keys).orderBy(*self.order)
-        return self.df.withColumns({i.name: _window_value(i.kind, i.value, w) for i in self.items})
+        keyed = Window.partitionBy(*self.keys)
+        w, back = keyed.orderBy(*self.order), keyed.orderBy(*_reversed(self.order))
+        return self.df.withColumns({i.name: _window_value(i.kind, i.value, w, back) for i in self.items})
 
     def _split(self) -> DataFrame:
         spark = self.df.sparkSession
@@ -126,7 +131,8 @@ class OrderedScan:
             # both branches below must see the same piece boundaries
             .checkpoint()
         )
-        local = Window.partitionBy(*self.keys, _PIECE).orderBy(*self.order)
+        piece = Window.partitionBy(*self.keys, _PIECE)
+        local, back = piece.orderBy(*self.order), piece.orderBy(*_reversed(self.order))
         at = F.struct(*self.order)
 
         aggs: list[Column] = []
@@ -149,6 +155,7 @@ class OrderedScan:
                 aggs.append(F.min_by(v, at).alias(n))
         by_key = Window.partitionBy(*self.keys).orderBy(_PIECE)
         whole = Window.partitionBy(*self.keys)
+        by_key_back = whole.orderBy(F.desc(_PIECE))
         carried: list[Column] = []
         for n, i in zip(names, self.items):
             v = F.col(n)
@@ -163,7 +170,7 @@ class OrderedScan:
             elif i.kind in ("last", "last_before"):
                 c = F.last(v, ignorenulls=True).over(by_key.rowsBetween(*_BEFORE))
             elif i.kind == "next":
-                c = F.first(v, ignorenulls=True).over(by_key.rowsBetween(*_AFTER))
+                c = F.last(v, ignorenulls=True).over(by_key_back.rowsBetween(*_BEFORE))
             elif i.kind == "lag":
                 c = F.lag(v).over(by_key)
             else:
@@ -179,7 +186,7 @@ class OrderedScan:
         )
         out = {}
         for n, i in zip(names, self.items):
-            own = _window_value(i.kind, F.col(n), local)
+            own = _window_value(i.kind, F.col(n), local, back)
             out[f"{n}_l"] = own
         scanned = rows.withColumns(
             {

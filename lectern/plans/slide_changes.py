@@ -46,8 +46,8 @@ def candidates(
         )
 
     primary = from_run(initial, 0).unionByName(from_transitions)
-    covered = primary.where(F.col("seg_idx").isNotNull())
-    return primary.unionByName(from_run(ops.backfill_candidates(runs, covered, backfill_min), 1))
+    late = from_run(ops.long_slide_runs(runs, backfill_min), 1)
+    return ops.keep_uncovered(primary.unionByName(late), split)
 
 
 def slide_changes(
