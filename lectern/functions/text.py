@@ -27,7 +27,6 @@ PLAIN_CHARS = "''''\"\"\"\"'\" "
 
 _NON_ASCII = r"[^\x00-\x7F]"
 
-
 def _map_text(fn):
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else fn(v))
@@ -177,7 +176,7 @@ def split_units(text: Column) -> Column:
 
 
 def is_separator(part: Column) -> Column:
-    return F.trim(F.regexp_replace(part, r"(?U)\s+", " ")) == ""
+    return collapse(part) == ""
 
 
 def parse_ids(text: Column) -> Column:

@@ -159,8 +159,8 @@ def exact_phrases(phrases: DataFrame, candidates: DataFrame, keys: list[str] = S
     tokens as the phrase has.  ``phrases``: keys, tokens.
     """
     c = F.col
-    exploded = phrases.where(F.size("tokens") > 0).select(
-        *keys, F.size("tokens").alias("__n"), F.posexplode("tokens").alias("__k", "normalized"))
+    exploded = phrases.where(F.size("tokens") > 0).select(*keys, F.size("tokens").alias("__n"), "tokens").select(
+        *keys, "__n", F.posexplode("tokens").alias("__k", "normalized"))
     return (
         exploded.join(candidates.select(*keys, "word_idx", "normalized"), [*keys, "normalized"])
         .groupBy(*keys, "__n", (c("word_idx") - c("__k")).alias("start_word_index"))

@@ -285,8 +285,8 @@ class Tables:
         parts = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
         rows = (
             s.join(a, ["video_id", "segment_id"])
-            .select("video_id", "segment_id", "tts_start_ms", "tts_end_ms", F.size(parts).alias("n"),
-                    F.posexplode(parts).alias("k", "normalized"))
+            .select("video_id", "segment_id", "tts_start_ms", "tts_end_ms", F.size(parts).alias("n"), parts.alias("ws"))
+            .select("video_id", "segment_id", "tts_start_ms", "tts_end_ms", "n", F.posexplode("ws").alias("k", "normalized"))
         )
         span = F.col("tts_end_ms") - F.col("tts_start_ms")
         return (
