@@ -27,6 +27,7 @@ PLAIN_CHARS = "''''\"\"\"\"'\" "
 
 _NON_ASCII = r"[^\x00-\x7F]"
 
+
 def _map_text(fn):
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else fn(v))
