@@ -148,11 +148,11 @@ def resolve_style(units: DataFrame, styles: DataFrame, names: dict[str, str]) ->
     """
     m = F.map_from_entries(F.collect_list(F.struct("name", "value")))
 
-    def level(lv: str, key: str | None) -> DataFrame:
-        rows = styles.where(F.col("level") == lv)
-        return rows.groupBy(F.col("key").alias(key or "__all")).agg(m.alias(f"__{lv}"))
+    def level(lv: str, key: str) -> DataFrame:
+        return styles.where(F.col("level") == lv).groupBy(F.col("key").alias(key)).agg(m.alias(f"__{lv}"))
 
-    base = level("default", None).drop("__all")
+    # an aggregate without keys: always exactly one row
+    base = styles.where(F.col("level") == "default").agg(m.alias("__default"))
     out = (
         units.join(level("slot", "slot_id"), "slot_id", "left").join(level("role", "role"), "role", "left")
         .withColumn("__one", F.lit(1)).join(base.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")

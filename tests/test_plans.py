@@ -10,7 +10,7 @@ from conftest import SMALL
 import __spark_entry__ as entry
 
 #: one-row totals joined to a table
-ALLOWED_NESTED_LOOP = {"dedupe_backfills"}
+ALLOWED_NESTED_LOOP = {"dedupe_backfills", "resolve_style"}
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
