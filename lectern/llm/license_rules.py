@@ -87,7 +87,8 @@ GENERIC = [
 #: every rule needs one of these somewhere in the raw text; a keyword of no rule is missing here
 GATE = (
     r"[Ll][Ii][Cc][Ee][Nn][CSces]|[Ss][Pp][Dd][Xx]|[Rr][Ee][Ss][Ee][Rr][Vv][Ee][Dd]|[Dd][Oo][Mm][Aa][Ii][Nn]"
-    r"|[Cc][Rr][Ee][Aa][Tt][Ii][Vv][Ee]|[Cc][Cc][\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[Bb][Yy]|[Uu][Nn][Dd][Ee][Rr]"
+    r"|[Cc][Rr][Ee][Aa][Tt][Ii][Vv][Ee]|[Cc][Cc][\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[Bb][Yy]"
+    r"|(?:^|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])[Uu][Nn][Dd][Ee][Rr][\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 )
 
 

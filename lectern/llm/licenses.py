@@ -36,7 +36,7 @@ def _places(norm: Column, phrase: str, label: str) -> Column:
     )
 
 
-def _detections(norm: Column) -> Column:
+def _detections(norm: Column, words: Column) -> Column:
     def of_rule(r: Column) -> Column:
         return F.transform(
             match_spans(norm, r["pattern"], _words_in),
@@ -46,7 +46,11 @@ def _detections(norm: Column) -> Column:
             ),
         )
 
-    present = F.filter(constant_table(rules(), RULE), lambda r: F.contains(norm, F.concat(F.lit(" "), r["keyword"], F.lit(" "))))
+    table = rules()
+    keywords = F.array(*[F.lit(k) for k in sorted({r["keyword"] for r in table})])
+    gated = F.transform(F.array(F.array_intersect(words, keywords)), lambda seen: F.filter(
+        constant_table(table, RULE), lambda r: F.array_contains(seen, r["keyword"]) & F.rlike(norm, r["pattern"])))
+    present = F.when(norm.isNotNull(), F.get(gated, F.lit(0)))
     return F.sort_array(F.flatten(F.transform(present, of_rule)))
 
 
@@ -78,13 +82,13 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     given = F.coalesce(F.col(text), F.lit(""))
     lowered = F.translate(given, UPPER, LOWER)
     words = F.array_remove(F.split(lowered, BETWEEN), "")
-    norm = F.when(F.col(text).rlike(GATE), F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")))
+    gated = F.when(F.col(text).rlike(GATE), words)
     stage = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.size(F.array_remove(F.split(given, BETWEEN), "")).cast("bigint").alias("n_words"), norm.alias("norm"),
-    )
+        F.size(F.array_remove(F.split(given, BETWEEN), "")).cast("bigint").alias("n_words"), gated.alias("words"),
+    ).withColumn("norm", F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" ")))
     base = F.flatten(F.array(*[_places(F.col("norm"), phrase, label) for phrase, label in BASE]))
-    found = stage.select("row", "n_words", base.alias("base"), _detections(F.col("norm")).alias("found"))
+    found = stage.select("row", "n_words", base.alias("base"), _detections(F.col("norm"), F.col("words")).alias("found"))
     kept = found.select("row", "n_words", "base", _kept(F.col("found")).alias("kept"))
     sure = F.transform("kept", lambda d: F.element_at(F.array(*[F.lit(c) for c in CONFIDENCE]), d["priority"] + 1))
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
@@ -124,7 +128,7 @@ WITH rules(rank, label, priority, keyword, pattern) AS (VALUES {table}),
 phrases(label, pattern) AS (VALUES {phrases}),
 texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM documents),
 norms AS (SELECT doc_id, len(words) AS n_words, ' ' || array_to_string(words, '  ') || ' ' AS norm FROM texts),
-gated AS (SELECT doc_id, norm FROM norms WHERE regexp_matches(norm, 'licen[cs]|spdx|reserved|domain|creative|cc  by|under')),
+gated AS (SELECT doc_id, norm FROM norms WHERE regexp_matches(norm, 'licen[cs]|spdx|reserved|domain|creative|cc  by| under ')),
 places AS (SELECT * FROM ({hits("(SELECT * FROM gated, phrases WHERE regexp_matches(norm, pattern))", "label")})),
 found AS (SELECT doc_id, label, priority, rank, s, s + n AS e
           FROM ({hits("(SELECT g.doc_id, g.norm, r.* FROM gated g JOIN rules r ON contains(g.norm, r.keyword) WHERE regexp_matches(g.norm, r.pattern))", "label, priority, rank")})),

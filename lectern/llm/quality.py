@@ -1,10 +1,10 @@
 """Quality rules: line and word rules, and a hashed n-gram likelihood ratio.
 
-Every text is cut into words and runs of punctuation; unigrams and bigrams of
-these are hashed into buckets. Bucket counts of trusted texts and of the whole
-corpus give two multinomials, and a text is judged by its mean log-likelihood
-ratio per n-gram against a fixed threshold. Counting is a map-side-combined
-aggregate, so only bucket counts are shuffled; judging is one projection.
+The n-grams of a text are its words and the last three characters of each word,
+hashed into buckets. Bucket counts of trusted texts and of the whole corpus give
+two multinomials, and a text is judged by its mean log-likelihood ratio per
+n-gram against a fixed threshold. Counting is a map-side-combined aggregate, so
+only bucket counts are shuffled; judging is one projection.
 """
 
 from __future__ import annotations
@@ -16,26 +16,19 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: between a run of word characters and a run of others, and at white space
-TOKEN_EDGE = (
-    r"[\x20\x09-\x0D]+|(?<=[0-9A-Za-z\x80-￿])(?=[!-/:-@\[-`{-~])|(?<=[!-/:-@\[-`{-~])(?=[0-9A-Za-z\x80-￿])"
-)
+#: a power of two
 BUCKETS = 1 << 14
 #: nats per n-gram below which a text is not kept
-MIN_RATIO = -0.5
+MIN_RATIO = -1.0
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def grams_of(text: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets (from 1) of the unigrams and bigrams of a text, repeats included."""
-    tokens = F.array_remove(F.split(F.coalesce(text, F.lit("")), TOKEN_EDGE), "")
-    bucket = lambda *parts: (F.pmod(F.xxhash64(*parts), F.lit(buckets)) + 1).cast("int")
-    ones = F.transform(tokens, lambda t: bucket(t))
-    twos = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.size(tokens)), lambda a, b: bucket(a, b))
-    return F.concat(ones, twos)
+def buckets_of(word: Column, buckets: int) -> list[Column]:
+    """Buckets of the n-grams that one word gives: the word and its last three characters."""
+    return [F.hash(part).bitwiseAND(F.lit(buckets - 1)) for part in (word, F.substring(word, -3, 3))]
 
 
 def fit_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS) -> list[float]:
@@ -49,47 +42,41 @@ def fit_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     trusted = labels.where(F.col("quality") == 1).select(F.col(key).alias("trusted_key")).distinct()
     rows = docs.select(F.col(key).alias("row_key"), F.col(text).alias("row_text"))
     marked = rows.join(trusted, rows["row_key"] == trusted["trusted_key"], "left")
-    grams = marked.select(F.explode(grams_of(F.col("row_text"), buckets)).alias("bucket"), F.col("trusted_key").isNotNull().cast("long").alias("hit"))
+    trusted_row = F.col("trusted_key").isNotNull().cast("long").alias("hit")
+    words = marked.select(F.explode(words_of(F.col("row_text"))).alias("word"), trusted_row)
+    grams = words.select(F.explode(F.array(*buckets_of(F.col("word"), buckets))).alias("bucket"), "hit")
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("n_trusted")).collect()
     raw, good = sum(r["n"] for r in counts), sum(r["n_trusted"] for r in counts)
     if not good:
         return [0.0] * buckets
     ratios = [math.log((raw + buckets) / (good + buckets))] * buckets
     for r in counts:
-        ratios[r["bucket"] - 1] = math.log((r["n_trusted"] + 1) / (good + buckets)) - math.log((r["n"] + 1) / (raw + buckets))
+        ratios[r["bucket"]] = math.log((r["n_trusted"] + 1) / (good + buckets)) - math.log((r["n"] + 1) / (raw + buckets))
     return ratios
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more: windows are sorted by hash, equal
-    neighbours are repeats, and each repeated window adds the words its predecessor did not cover."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(words)
+def _repeated_starts(windows: Column, packed: Column, room: Column) -> Column:
+    """Positions of windows that occur twice or more, in order.
 
-    def windows(h: Column) -> Column:
-        return F.zip_with(
-            F.zip_with(F.slice(h, F.lit(1), F.greatest(n - 2, F.lit(0))), F.slice(h, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-            F.slice(h, F.lit(3), F.greatest(n - 2, F.lit(0))), lambda ab, c: F.xxhash64(ab["a"], ab["b"], c),
-        )
-
-    def starts(pairs: Column) -> Column:
-        hit = F.filter(pairs, lambda x, i: (
-            ((i > 0) & (F.get(pairs, i - 1)["h"] == x["h"])) | ((i + 1 < F.size(pairs)) & (F.get(pairs, i + 1)["h"] == x["h"]))
-        ))
-        return F.array_sort(F.transform(hit, lambda x: x["i"]))
+    ``packed`` holds one sorted number for each window: its hash, with its
+    position in the low bits below ``room``. Equal windows are neighbours
+    there, and neighbours are compared word by word.
+    """
+    at = lambda x: x.bitwiseAND(room - 1).cast("int")
+    pairs = F.filter(
+        F.arrays_zip(packed.alias("a"), F.slice(packed, F.lit(2), F.size(packed)).alias("b")),
+        lambda x: x["a"].bitwiseXOR(x["b"]) < room,
+    )
+    same = F.filter(pairs, lambda x: F.get(windows, at(x["a"])) == F.get(windows, at(x["b"])))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(same, lambda x: F.array(at(x["a"]), at(x["b"]))))))
 
-    def covered(at: Column) -> Column:
-        return F.aggregate(
-            at, F.struct(F.lit(-3).alias("last"), F.lit(0).cast("bigint").alias("n")),
-            lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")),
-            lambda acc: acc["n"],
-        )
 
-    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  evaluated once
-    pairs = lambda ws: F.sort_array(F.transform(ws, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return bound(
-        bound(hashed, windows),
-        lambda ws: F.when(F.size(F.array_distinct(ws)) == F.size(ws), F.lit(0).cast("bigint")).otherwise(bound(pairs(ws), lambda p: covered(starts(p)))),
+def _covered(starts: Column) -> Column:
+    """Words in the union of 3-word windows at these ordered positions."""
+    return F.aggregate(
+        starts, F.struct(F.lit(-3).alias("last"), F.lit(0).cast("bigint").alias("n")),
+        lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")),
+        lambda acc: acc["n"],
     )
 
 
@@ -101,20 +88,38 @@ def judge_quality(docs: DataFrame, ratios: list[float], text: str = "text", min_
     """
     given = F.coalesce(F.col(text), F.lit(""))
     table = F.split(F.lit(",".join(repr(r) for r in ratios)), ",").cast("array<double>")
+    n = F.size("words")
+    tail = lambda k: F.slice("words", F.lit(k), F.greatest(n - (k - 1), F.lit(0)))
     stage = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), given.alias("t"), words_of(F.col(text)).alias("words"),
-        grams_of(F.col(text), len(ratios)).alias("grams"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), given.alias("t"), words_of(F.col(text)).alias("words")
+    ).select(
+        "*",
+        F.slice(
+            F.arrays_zip(F.col("words").alias("a"), tail(2).alias("b"), tail(3).alias("c")),
+            F.lit(1), F.greatest(n - 2, F.lit(0)),
+        ).alias("windows"),
+        F.pow(F.lit(2.0), F.ceil(F.log2(n + 2))).cast("bigint").alias("room"),
+    ).select(
+        "*",
+        F.sort_array(F.transform(
+            "windows", lambda w, i: F.xxhash64(w).bitwiseAND(-F.col("room")).bitwiseOR(i.cast("bigint"))
+        )).alias("packed"),
     )
+    repeated = _covered(_repeated_starts(F.col("windows"), F.col("packed"), F.col("room")))
+
+    def gain(acc: Column, word: Column) -> Column:
+        for bucket in buckets_of(word, len(ratios)):
+            acc = acc + F.get(table, bucket)
+        return acc
+
     lines = F.filter(F.split(F.col("t"), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
-    total = F.aggregate("grams", F.lit(0.0), lambda acc, b: acc + F.element_at(table, b))
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  evaluated once
     measured = stage.select(
-        "row", F.size("words").cast("bigint").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
+        "row", n.cast("bigint").alias("n_words"), F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         (F.size(F.split(F.col("t"), f"[{SYMBOLS}]")) - 1).cast("bigint").alias("n_symbols"),
         bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-        _repeat_words(F.col("words")).alias("n_repeat_words"),
-        F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(F.lit(0.0)).alias("ratio"),
+        repeated.alias("n_repeat_words"),
+        F.when(n > 0, F.aggregate("words", F.lit(0.0), gain) / (2 * n)).otherwise(F.lit(0.0)).alias("ratio"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
