@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import licenses, quality, secrets
+from lectern.llm import licenses, merkle, packing, quality, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,3 +53,34 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge_quality(docs, ratios)
     return judged.select("doc_id", *[f"quality.{c}" for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")])
+
+
+@query("op5_merkle_fingerprints", merkle.oracle_sql())
+def op5_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every whole document and of its edited text."""
+    found = merkle.edited_fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op10_mixture_shards", sharding.oracle_sql())
+def op10_mixture_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Shards of all documents by stratified interleaving; counts differ by one at most."""
+    rows = sharding.measured_rows(table(spark, folder, "documents"))
+    dealt = sharding.shard_mixture(rows)
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query("op6_simhash_components")
+def op6_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_copies(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op7_packed_sequences")
+def op7_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as pieces in sequences of at most 2048 tokens; token ids stay behind their checksums."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    pieces = packing.token_pieces(docs, "word_bpe_49k.json").drop("ids")
+    return packing.pack(pieces, rows=docs.count())
