@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import licenses, merkle, packing, quality, secrets, sharding, simhash
+from lectern.llm import langid, licenses, merkle, packing, quality, secrets, sentencepieces, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,33 @@ def op7_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     pieces = packing.token_pieces(docs, "word_bpe_49k.json").drop("ids")
     return packing.pack(pieces, rows=docs.count())
+
+
+@query("op3_sentencepiece_roundtrip")
+def op3_sentencepiece_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every whole document, and whether decoding gives the text back."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = sentencepieces.encode_pieces(docs, "piece_bpe_32k.model")
+    decoded = sentencepieces.decode_pieces(encoded, "piece_bpe_32k.model")
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids_crc32",
+        F.length("decoded").cast("bigint").alias("n_chars"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+    )
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every whole document, learned on two thirds of the labels."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    judged = toxicity.judge_toxicity(docs, model)
+    return judged.select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every whole document, learned on two thirds of the documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    named = langid.identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", langid.held_out().alias("held_out"), "language.lang_pred", "language.score", "language.bits_per_byte")
