@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:bigint,end:bigint,hit:string>>"
@@ -43,3 +43,13 @@ def constant_table(rows: list[dict], schema: str) -> Column:
 
 def comma_joined(values: Column) -> Column:
     return F.coalesce(F.array_join(values, ","), F.lit(""))
+
+
+def rows_where(df: DataFrame, flag: Column, columns: list[str]) -> DataFrame:
+    """These columns of the rows that meet ``flag``.
+
+    An exploded array of one row or none: unlike a filter it is not pushed
+    below the projections that work the flag out, which would repeat them.
+    """
+    one = F.array(F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]))
+    return df.select(F.explode(F.when(flag, one)).alias("row")).select(*[F.col("row")[c].alias(c) for c in columns])
