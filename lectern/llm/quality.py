@@ -18,6 +18,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: a power of two
 BUCKETS = 1 << 14
+#: bound of the trusted sample
+MAX_TRUSTED = 20_000
 #: nats per n-gram below which a text is not kept
 MIN_RATIO = -1.0
 
@@ -31,17 +33,24 @@ def buckets_of(word: Column, buckets: int) -> list[Column]:
     return [F.hash(part).bitwiseAND(F.lit(buckets - 1)) for part in (word, F.substring(word, -3, 3))]
 
 
-def fit_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS) -> list[float]:
+def fit_ratios(
+    docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED
+) -> list[float]:
     """Log ratio of each bucket, trusted texts against all texts, both smoothed by one.
 
-    Trusted are the documents labelled with quality 1; every document counts
-    for the corpus. Without any trusted document all ratios are 0. The result
-    has one number for each bucket, whatever the size of the corpus. A null
-    key is never trusted; a key that is labelled twice counts once.
+    Every document counts for the corpus. Trusted are documents labelled with
+    quality 1, at most about ``max_trusted`` of them, those with the smallest
+    seeded hash; so their ids can be broadcast and no text is shuffled. Without
+    any trusted document all ratios are 0. The result has one number for each
+    bucket, whatever the size of the corpus. A null key is never trusted; a
+    key that is labelled twice counts once.
     """
-    trusted = labels.where(F.col("quality") == 1).select(F.col(key).alias("trusted_key")).distinct()
+    good_keys = labels.where((F.col("quality") == 1) & F.col(key).isNotNull()).select(F.col(key).alias("trusted_key"))
+    share = int(1_000_000 * min(1.0, max_trusted / max(1, good_keys.count())))
+    trusted = good_keys.where(F.pmod(F.xxhash64("trusted_key", F.lit(23)), F.lit(1_000_000)) < share).distinct()
     rows = docs.select(F.col(key).alias("row_key"), F.col(text).alias("row_text"))
-    marked = rows.join(trusted, rows["row_key"] == trusted["trusted_key"], "left")
+    # about max_trusted ids at most
+    marked = rows.join(F.broadcast(trusted), rows["row_key"] == trusted["trusted_key"], "left")
     trusted_row = F.col("trusted_key").isNotNull().cast("long").alias("hit")
     words = marked.select(F.explode(words_of(F.col("row_text"))).alias("word"), trusted_row)
     grams = words.select(F.explode(F.array(*buckets_of(F.col("word"), buckets))).alias("bucket"), "hit")
