@@ -21,13 +21,28 @@ from pyspark.sql import functions as F
 
 LENGTH = 2048
 GROUP_PIECES = 8192
-#: words and pre-tokens that a worker remembers
-REMEMBERED = 250_000
+#: words that a worker remembers, and as many pre-tokens at most
+REMEMBERED = 800_000
 LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: pre-tokens of lower-case text without white space, as the vocabulary's file states them
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[^\s0-9A-Za-zª-µºÀ-ÖØ-öø-ÿ]+")
 
 
+class Remembered(dict):
+    """Answers that were given before; what is missing is made once. Starts anew when full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[key] = got
+        return got
+
+
 class WordEncoder:
     """Ids of white-space-separated words, packed as little-endian 32-bit numbers.
 
@@ -39,41 +54,25 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Remembered(self._word), Remembered(self._piece)
         # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        moved = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+        moved = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
         self.alphabet = {b: chr(moved.get(b, b)) for b in range(256)}
 
-    def word(self, word: str) -> bytes:
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
+    def _word(self, word: str) -> bytes:
         if LATIN.fullmatch(word) and "<|" not in word:
-            got = b"".join(map(self.piece, PIECES.findall(word.lower())))
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            got = struct.pack(f"<{len(ids)}I", *ids)
-        self.words[word] = got
-        return got
+            return b"".join(map(self.pieces.__getitem__, PIECES.findall(word.lower())))
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            shown = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
-            ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
-            got = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return got
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            return b"".join([known.get(w) if w in known else self.word(w) for w in words])
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _encoders: dict[str, WordEncoder] = {}
