@@ -80,10 +80,12 @@ def with_next(docs: DataFrame, key: str, columns: list[str], pieces: int) -> Dat
     laid = laid.withColumn("_skip", reached(upper) * chunk)
     laid = laid.withColumn("_piece", F.col("_skip") + reached(F.slice(table, F.col("_skip") + 1, F.lit(chunk))))
     heads = sorted((r["_piece"], r["h"]) for r in laid.groupBy("_piece").agg(F.min("_k").alias("h")).collect())  # one for each piece
-    guests = F.array().cast("array<int>")
-    for i, (_, head) in enumerate(heads):
-        before = heads[i - 1][0]
-        guests = F.when((F.col("_k") == head) & (F.col("_piece") == heads[i][0]), F.array(F.lit(before))).otherwise(guests)
+    first_of, before_of = [None] * (len(bounds) + 1), [None] * (len(bounds) + 1)
+    for i, (piece, head) in enumerate(heads):
+        first_of[piece], before_of[piece] = head, heads[i - 1][0]
+    listed = lambda xs, kind: F.split(F.lit(",".join("" if x is None else str(x) for x in xs)), ",").cast(f"array<{kind}>")
+    is_head = F.col("_k") == F.get(listed(first_of, "bigint"), F.col("_piece"))
+    guests = F.when(is_head, F.array(F.get(listed(before_of, "int"), F.col("_piece")))).otherwise(F.array().cast("array<int>"))
     wrap = F.lit(heads[0][0] if heads else 0)
     seats = F.transform(F.concat(F.array(F.col("_piece")), guests), lambda p, i: F.struct(
         p.alias("piece"), (i > 0).alias("guest"), ((i > 0) & (F.col("_piece") == wrap)).alias("wrapped")))
