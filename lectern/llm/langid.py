@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: bound of the training sample, per language
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 300, 20_000
 ORDER = 3
 PAD = 10
 SLICE = 1 << 21

@@ -13,6 +13,7 @@ does, and the path through these edges is the encoding.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 CUT = 0x110000
 #: rows encoded together
 ROWS = 512
-REMEMBERED = 200_000
+REMEMBERED = 700_000
 #: characters that one suffix array indexes, unless one unit alone has more
 INDEXED = 1 << 18
 
@@ -36,12 +37,12 @@ INDEXED = 1 << 18
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions in the order of their next ``depth`` characters, by doubling."""
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    width, order = 1, np.argsort(rank, kind="stable")
+    width, order = 1, np.argsort(rank)
     while width < depth:
         ahead = np.zeros_like(rank)
         ahead[: max(0, len(rank) - width)] = rank[width:] + 1
         both = rank * (len(rank) + 1) + ahead
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         step = np.empty(len(order), dtype=np.int64)
         step[0:1] = 0
         step[1:] = np.diff(both[order]) != 0
@@ -124,7 +125,7 @@ class Vocabulary:
         which = np.repeat(np.arange(len(n)), n)
         at = order[np.repeat(first, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)]
         end = at + self.lengths[which]
-        by_end = np.argsort(end, kind="stable")
+        by_end = np.argsort(end)
         return end[by_end], self.lengths[which][by_end], self.usable[which][by_end]
 
     def relax(self, codes: np.ndarray) -> tuple[list[int], list[int]]:
@@ -159,18 +160,14 @@ class Vocabulary:
                 ends = np.cumsum([len(b) for b in batch])
                 into, size = self.relax(np.insert(raw, ends, CUT))
                 for k, (b, end) in enumerate(zip(batch, ends.tolist())):
-                    j = end + k
-                    ids: list[int] = []
-                    for _ in range(len(b)):
-                        if j <= end + k - len(b):
-                            break
+                    j, stop, ids = end + k, end + k - len(b), []
+                    while j > stop:
                         if into[j]:
                             ids.append(into[j])
                         else:
-                            char = b[j - (end + k - len(b)) - 1]
-                            ids += [self.byte[x] for x in reversed(char.encode("utf-8", "surrogatepass"))]
+                            ids += [self.byte[x] for x in reversed(b[j - stop - 1].encode("utf-8", "surrogatepass"))]
                         j -= size[j]
-                    out[b] = np.array(ids[::-1], dtype="<u4").tobytes()
+                    out[b] = struct.pack(f"<{len(ids)}I", *reversed(ids))
                 at, batch = 0, []
             if u is not None:
                 batch.append(u)
