@@ -198,9 +198,8 @@ def run_label(run_id: Column) -> Column:
     text = F.trim(F.coalesce(run_id, F.lit("")))
     pattern = r"^(\d{4})-(\d{2})-(\d{2})_(\d{2})-(\d{2})(-\d{2})?$"
     part = [F.regexp_extract(text, pattern, n) for n in range(6)]
-    names = F.array(*[F.lit(m) for m in
-                      "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()])
-    month = F.coalesce(F.try_element_at(names, F.nullif(part[2], F.lit("00")).try_cast("int")), part[2])
+    first = F.try_to_timestamp(F.concat(F.lit("2000-"), part[2], F.lit("-01")), F.lit("yyyy-MM-dd"))
+    month = F.coalesce(F.date_format(first, "MMM"), part[2])
     label = F.concat(part[3], F.lit("-"), month, F.lit("-"), part[1], F.lit(", "),
                      part[4], F.lit(":"), part[5])
     return F.when(part[0] != "", label).when(text == "", F.lit("-")).otherwise(text)

@@ -115,15 +115,20 @@ def leftover_check(translated: DataFrame, sequences: DataFrame, mapping: DataFra
     )
 
 
-def consistency_report(sequences: DataFrame, issues: DataFrame) -> DataFrame:
-    """Per deck: sequences, slides in them, issues and slides with an issue."""
+def consistency_report(sequences: DataFrame, issues: DataFrame, decks: DataFrame | None = None) -> DataFrame:
+    """Per deck: sequences, slides in them, issues and slides with an issue.
+
+    With ``decks`` (deck_id) every deck has a row, those without a sequence with zeros.
+    """
     seq = sequences.groupBy("deck_id").agg(
         F.count_distinct("run_no").alias("sequences_found"), F.count(F.lit(1)).alias("slides_in_sequences"))
     bad = issues.groupBy("deck_id").agg(
         F.count(F.lit(1)).alias("inconsistencies_found"), F.count_distinct("slide_index").alias("slides_with_issue"))
     zero = F.lit(0).cast("bigint")
+    if decks is not None:
+        seq = decks.select("deck_id").distinct().join(seq, "deck_id", "left")
     return seq.join(bad, "deck_id", "left").select(
-        "deck_id", "sequences_found", "slides_in_sequences", F.coalesce("inconsistencies_found", zero).alias("inconsistencies_found"),
+        "deck_id", F.coalesce("sequences_found", zero).alias("sequences_found"), F.coalesce("slides_in_sequences", zero).alias("slides_in_sequences"), F.coalesce("inconsistencies_found", zero).alias("inconsistencies_found"),
         F.coalesce("slides_with_issue", zero).alias("slides_with_issue"))
 
 

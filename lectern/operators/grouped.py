@@ -22,8 +22,12 @@ def with_group_values(
     if not split:
         w = Window.partitionBy(*keys)
         return df.withColumns({n: v.over(w) for n, v in values.items()})
-    grouped = df.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()])
-    return df.join(grouped, keys, "left")
+    grouped = df.groupBy(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]).agg(*[v.alias(n) for n, v in values.items()])
+    # null-safe: rows without a key form one group, as they do in a window
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(grouped[f"__key{i}"])
+    return df.join(grouped, same, "left").select(*[df[c] for c in df.columns if c not in values], *values)
 
 
 def first_by(value: Column, order: Column, where: Column) -> Column:

@@ -353,8 +353,9 @@ def translate_with_memory(
     pending = staged.where(F.col("__missed") & ~F.col("__later")).select(
         "video_id", "segment_id", "source_text_norm", "text", *[c for c in ("start_ms", "end_ms")])
     texts = protect_terms(pending.select("text").distinct(), "text", terms)
-    given = translations.where(F.col("target_language") == language).select(
-        F.col("protected_text").alias("__p"), F.col("translated_text").alias("__t"))
+    # one row for each text: of several translations the first in text order
+    given = translations.where(F.col("target_language") == language).groupBy(F.col("protected_text").alias("__p")).agg(
+        F.min("translated_text").alias("__t"))
     restored, lost = restore_terms(F.col("__t"), F.col("protected.keys"), F.col("protected.targets"))
     done = texts.join(given, F.col("protected.text") == F.col("__p"), "left").select(
         "text", "termbase_hits", F.when(~lost, restored).alias("new_text"), F.coalesce(lost, F.lit(False)).alias("lost_terms"))

@@ -195,7 +195,12 @@ class OrderedScan:
                 "__scan_final": F.lead(F.lit(1)).over(local).isNull(),
             }
         )
-        joined = scanned.join(F.broadcast(carry), [*self.keys, _PIECE], "left")
+        # null-safe: rows without a key form one group, as they do in a window
+        renamed = carry.withColumnsRenamed({k: f"__scan_key{i}" for i, k in enumerate([*self.keys, _PIECE])})
+        same = F.lit(True)
+        for i, k in enumerate([*self.keys, _PIECE]):
+            same = same & scanned[k].eqNullSafe(renamed[f"__scan_key{i}"])
+        joined = scanned.join(F.broadcast(renamed), same, "left")
         final = {}
         for n, i in zip(names, self.items):
             own, c = F.col(f"{n}_l"), F.col(f"{n}_c")

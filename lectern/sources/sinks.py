@@ -54,11 +54,12 @@ def write_srt(cues: DataFrame, path: str) -> None:
 def publish(df: DataFrame, path: str, snapshot: str) -> None:
     """Write a snapshot, then point to it: readers never see half of one."""
     df.write.mode("overwrite").parquet(f"{path}/snapshot={snapshot}")
-    pointer = df.sparkSession.range(1).select(F.lit(snapshot).alias("snapshot"))
+    pointer = df.sparkSession.range(1).select(F.lit(snapshot).alias("snapshot"), F.current_timestamp().alias("published_at"))
     pointer.coalesce(1).write.mode("append").parquet(f"{path}/_latest")
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """The newest published snapshot (ids ascend)."""
-    latest = spark.read.parquet(f"{path}/_latest").agg(F.max("snapshot")).first()[0]
+    """The snapshot that was published last, whatever its name; of two at one instant the later name."""
+    pointers = spark.read.parquet(f"{path}/_latest")
+    latest = pointers.agg(F.max_by("snapshot", F.struct("published_at", "snapshot"))).first()[0]
     return spark.read.parquet(f"{path}/snapshot={latest}")

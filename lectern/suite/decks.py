@@ -376,7 +376,7 @@ def _pages(t):
     rows = t.text_lines().select("doc_id", "line_no", "line")
     words = F.transform(F.split("line", " "), lambda w: F.struct(F.array(
         F.struct(F.substring(w, 1, 3).alias("text"), F.lit(None).cast("string").alias("break")),
-        F.struct(F.substring(w, 4, 1000000).alias("text"), F.lit("SPACE").alias("break"))).alias("symbols")))
+        F.struct(F.substr(w, F.lit(4)).alias("text"), F.lit("SPACE").alias("break"))).alias("symbols")))
     n = F.col("line_no")
     x, y = (n * 17) % 100, n * 40
     vertices = F.array(*[F.struct(vx.alias("x"), vy.alias("y")) for vx, vy in (

@@ -172,19 +172,21 @@ def q_number(t):
     return changes.number_events(rows, split=t.by_order)
 
 
+def _n_vectors(t):
+    """Count of the embeddings as a scalar subquery: all of them serve as pictures."""
+    return t.base("embeddings").agg(F.count(F.lit(1))).scalar()
+
+
 def _patches(t, rows):
     """A picture of each candidate frame: frames close in time look alike."""
     vec = t.base("embeddings").select("vec_id", F.col("embedding").alias("patch"))
     at = rows.select("video_id", F.col("event_frame").alias("frame_id")).distinct()
-    n = t.base("embeddings").agg(F.count(F.lit(1)).alias("n"))
-    # one row, so the broadcast is of fixed size
-    at = at.join(F.broadcast(n)).withColumn(
-        "vec_id", (F.col("video_id") + F.floor(F.col("frame_id") / 100)) % F.least(F.col("n"), F.lit(7)))
+    at = at.withColumn("vec_id", (F.col("video_id") + F.floor(F.col("frame_id") / 100)) % _n_vectors(t))
     return at.join(vec, "vec_id").select("video_id", "frame_id", "patch")
 
 
 @query("dedupe_backfills", with_fixtures(CHAIN + """,
-nn AS (SELECT LEAST(COUNT(*), 7) AS n FROM embeddings),
+nn AS (SELECT COUNT(*) AS n FROM embeddings),
 ordered AS (SELECT c.*, (video_id + event_frame // 100) % n AS vec,
                    ROW_NUMBER() OVER (PARTITION BY video_id ORDER BY event_frame, sort_priority, frame_id_0, frame_id_1, transition_no) AS rn
             FROM cand c, nn),
@@ -232,7 +234,7 @@ folded AS (SELECT video_id, gid, MAX(CASE WHEN is_kept THEN event_id END) AS eve
            FROM marked GROUP BY 1, 2)"""
 DUPES = """
 pics AS (SELECT f.video_id, f.gid, f.event_id, e.embedding AS img FROM folded f
-         LEFT JOIN embeddings e ON e.vec_id = (f.video_id * 7 + f.event_id // 3) % 500 WHERE f.gid > 0),
+         LEFT JOIN embeddings e ON e.vec_id = (f.video_id * 7 + f.event_id // 3) % (SELECT count(*) FROM embeddings) WHERE f.gid > 0),
 chain AS (SELECT video_id, gid, gid AS target_gid, img FROM pics WHERE gid = 1
           UNION ALL
           SELECT p.video_id, p.gid, CASE WHEN s.same THEN c.target_gid ELSE p.gid END, CASE WHEN s.same THEN c.img ELSE p.img END
@@ -273,7 +275,7 @@ def _metrics(t):
 
 def _images(t):
     vec = t.base("embeddings").select("vec_id", F.col("embedding").alias("image"))
-    at = (F.col("video_id") * 7 + F.floor(F.col("event_id") / 3)) % 500
+    at = (F.col("video_id") * 7 + F.floor(F.col("event_id") / 3)) % _n_vectors(t)
     return t.slide_changes().select("video_id", "event_id", at.alias("vec_id")).join(vec, "vec_id").drop("vec_id")
 
 

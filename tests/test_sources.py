@@ -121,3 +121,40 @@ def test_stream_equals_batch(spark, tmp_path):
     assert set(latest) == set(batch)
     for k, r in batch.items():
         assert (latest[k].status, latest[k].detail, latest[k].touch_line) == (r.status, r.detail, r.touch_line)
+
+
+def test_newest_snapshot_is_the_one_published_last(spark, tmp_path):
+    from lectern.sources.sinks import publish, read_published
+
+    for name in ("8", "9", "10"):
+        publish(spark.range(int(name)), str(tmp_path / "table"), name)
+    assert read_published(spark, str(tmp_path / "table")).count() == 10
+
+
+def test_month_names(spark):
+    from lectern.functions.text import run_label
+
+    ids = ["2024-03-09_14-05-00", "2024-12-31_00-00", "2024-13-09_14-05-00", "2024-00-09_14-05", "other", None]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i string").select(run_label(F.col("i"))).collect()]
+    assert got == ["09-Mar-2024, 14:05", "31-Dec-2024, 00:00", "09-13-2024, 14:05", "09-00-2024, 14:05", "other", "-"]
+
+
+def test_a_repeated_translation_does_not_double_segments(spark):
+    from lectern.operators.memory import translate_with_memory
+
+    segments = spark.createDataFrame([(1, 1, 0, 900, "good day"), (1, 2, 900, 1800, "good night")],
+                                     "video_id long, segment_id long, start_ms long, end_ms long, text string")
+    entries = spark.createDataFrame([], "source_text_norm string, target_language string, target_text string")
+    terms = spark.createDataFrame([], "source_text string, target_text string, case_sensitive boolean, term_order long, target_language string")
+    given = spark.createDataFrame([("good day", "de", "Guten Tag"), ("good day", "de", "Tag")],
+                                  "protected_text string, target_language string, translated_text string")
+    assert translate_with_memory(segments, entries, terms, given, "de").count() == 2
+
+
+def test_decks_without_a_sequence_stay(spark):
+    from lectern.operators.consistency import consistency_report
+
+    seq = spark.createDataFrame([(1, 1, 1), (1, 2, 1)], "deck_id long, slide_index long, run_no long")
+    issues = spark.createDataFrame([], "deck_id long, slide_index long")
+    got = consistency_report(seq, issues, spark.createDataFrame([(1,), (2,)], "deck_id long")).orderBy("deck_id").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 2, 0, 0), (2, 0, 0, 0, 0)]

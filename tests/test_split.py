@@ -40,3 +40,22 @@ def test_partition_count(spark, name):
             assert rows(spark, name) == plain
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_rows_without_a_key_form_one_group_on_both_paths(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.operators.grouped import with_group_values
+    from lectern.operators.scan import OrderedScan
+
+    df = spark.range(20).select(F.lit(None).cast("long").alias("k"), F.col("id").alias("at"), F.lit(1).alias("v"))
+    ends, totals = [], []
+    spark.conf.set("lectern.maxGroupRows", "3")
+    try:
+        for split in (False, True):
+            ends.append(OrderedScan(df, ["k"], ["at"]).running_sum("run", "v").apply(split).agg(F.max("run")).first()[0])
+            totals.append(with_group_values(df, ["k"], {"all": F.sum("v")}, split).select("all").distinct().collect())
+    finally:
+        spark.conf.unset("lectern.maxGroupRows")
+    assert ends == [20, 20]
+    assert [[r[0] for r in t] for t in totals] == [[20], [20]]
