@@ -42,8 +42,9 @@ def shard_mixture(
         offsets, F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_cell") == F.col("_c"))
     ).withColumn("_at", (2 * (F.col("_before") + F.col("_rank")) - 1) / (2.0 * F.col("_of"))).drop("_stratum", "_c", "_of", "_before", "_rank", "_cell")
     placed = ranked.withColumn("_cell", F.floor(F.col("_at") * buckets).cast("int"))
-    cells = placed.groupBy(F.col("_cell").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    everything = Window.partitionBy(F.lit(0))
+    cells = placed.groupBy(F.col("_cell").alias("_c")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_known", F.col("_c").isNotNull())
+    # one row for each of the buckets, whatever the input
+    everything = Window.partitionBy("_known")
     ahead = cells.select(
         "_c", F.sum("_n").over(everything).alias("_all"),
         (F.sum("_n").over(everything.orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_ahead"),
