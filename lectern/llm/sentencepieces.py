@@ -23,8 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: a line break is in no piece, so it also ends a unit
-UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: stands between units, beyond all characters
 CUT = 0x110000
 #: rows encoded together
@@ -75,10 +73,21 @@ class Vocabulary:
         self.letters = np.zeros((len(whole), self.longest), dtype=np.int64)
         for i, p in enumerate(whole):
             self.letters[i, : len(p)] = [ord(c) for c in p]
+        self.unit = self._unit()
         self.fits: dict[int, bool] = {}
         self.units: dict[str, bytes] = {}
         self.raw: list[bytes] = []
 
+    def _unit(self) -> re.Pattern:
+        """Spaces with what follows them, cut where no piece joins two neighbours: at line breaks
+        and around signs that no piece has beside any other character."""
+        pairs = {x + y for p in self.ids for x, y in zip(p, p[1:]) if x != SPACE}
+        apart = set("\n!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        while joined := {c for x, y in pairs for c in ((x,) if y not in apart else ()) + ((y,) if x not in apart else ()) if c in apart}:
+            apart -= joined
+        signs = re.escape("".join(sorted(apart)))
+        return re.compile(f"{SPACE}*[^{SPACE}{signs}]+|{SPACE}*[{signs}]+|{SPACE}+" if apart else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
     def merged(self, text: str) -> list[str]:
         """What merging the best-scored neighbours, leftmost first, makes of a short text."""
         parts = list(text)
@@ -176,7 +185,8 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; only units not seen before are matched."""
-        rows = [UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        cut = self.unit.findall
+        rows = [cut(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         here = set().union(*rows)
         if len(self.units) > REMEMBERED:
             self.units = {u: self.units[u] for u in here & self.units.keys()}
