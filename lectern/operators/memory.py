@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lectern.functions.casts import bool_listed
 from lectern.functions.text import norm_slide, norm_tm, speech_text, utf8_size
@@ -16,9 +11,6 @@ from lectern.operators.folding import fold_columns
 from lectern.operators.scan import OrderedScan
 from lectern.operators.segments import SEGMENT_ORDER
 
-#: a termbase up to this size travels with the tasks; a larger one is joined
-MAX_SHIPPED_TERMS = 20_000
-
 
 # -- packing ----------------------------------------------------------------
 
@@ -220,89 +212,74 @@ def match_termbase(candidates: DataFrame, terms: DataFrame) -> tuple[DataFrame,
     return frozen, candidates.join(lookup, "source_text_norm", "left_anti")
 
 
-PROTECTED = StructType([
-    StructField("text", StringType()),
-    StructField("keys", ArrayType(StringType())),
-    StructField("targets", ArrayType(StringType())),
-])
-
+PROTECTED = "struct<text:string,keys:array<string>,targets:array<string>>"
+#: what a term or a text is looked up by: its words, and its signs for terms without a word
+_PARTS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 
-def _pattern(term: str, case_sensitive: bool) -> re.Pattern:
-    before = r"(?<!\w)" if term[0].isalnum() else ""
-    after = r"(?!\w)" if term[-1].isalnum() else ""
-    return re.compile(before + re.escape(term) + after, 0 if case_sensitive else re.IGNORECASE)
 
+def _look_up_key(term: Column) -> Column:
+    """The longest word of a term (the first of several), or its first sign.
 
-def _protect(text: str, terms) -> tuple[str, list[str], list[str]]:
-    """Replace the terms one after the other; placeholders are numbered in that order."""
-    keys: list[str] = []
-    targets: list[str] = []
-    for pattern, target in terms:
-        def swap(_m, target=target):
-            keys.append(f"__TERM_{len(keys) + 1:04d}__")
-            targets.append(target)
-            return keys[-1]
-
-        text = pattern.sub(swap, text)
-    return text, keys, targets
+    A word inside a term is a whole word wherever the term stands in a text, so
+    this one equality finds every place; long words are the rarer ones.
+    """
+    words = F.regexp_extract_all(F.lower(term), F.lit(r"([\p{L}\p{N}]+)"))
+    longest = F.aggregate(words, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    return F.coalesce(F.nullif(longest, F.lit("")), F.substring(F.lower(term), 1, 1))
+
+
+def _term_pattern(term: Column, case_sensitive: Column) -> Column:
+    """A term is found as a whole word where its edge is a letter or a digit, literally elsewhere."""
+    def edge(at: str, look: str) -> Column:
+        return F.when(term.rlike(at), F.lit(look)).otherwise(F.lit(""))
+
+    literal = F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.concat(
+        F.when(case_sensitive, F.lit("")).otherwise(F.lit("(?iu)")), edge(r"^[\p{L}\p{N}]", r"(?<![\p{L}\p{N}_])"),
+        literal, edge(r"[\p{L}\p{N}]$", r"(?![\p{L}\p{N}_])"))
+
+
+def _replaced(text: Column, terms: Column) -> Column:
+    """The terms of a text replaced one after the other; placeholders are numbered in that order."""
+    def step(acc: Column, term: Column) -> Column:
+        pieces = F.split(acc["text"], term["pattern"])
+        before = F.size(acc["keys"])
+        added = F.transform(
+            F.slice(pieces, F.lit(2), F.size(pieces) - 1),
+            lambda _p, i: F.format_string("__TERM_%04d__", before + i + 1))
+        wide = F.transform(
+            F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda p, i: F.concat(F.element_at(added, i + 1), p))
+        return F.struct(
+            F.concat(F.element_at(pieces, 1), F.array_join(wide, "")).alias("text"),
+            F.concat(acc["keys"], added).alias("keys"),
+            F.concat(acc["targets"], F.transform(added, lambda _k: term["target_text"])).alias("targets")).cast(PROTECTED)
+
+    none = F.array().cast("array<string>")
+    start = F.struct(text.alias("text"), none.alias("keys"), none.alias("targets")).cast(PROTECTED)
+    return F.aggregate(terms, start, step)
 
 
 def protect_terms(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """Adds ``protected`` (text, keys, targets) and ``termbase_hits``.
 
-    A termbase of at most ``MAX_SHIPPED_TERMS`` is shipped with the UDF.  Beyond
-    that each text is joined to the terms whose first word it contains, and
-    the same replacement runs on those alone.
+    Each distinct text is joined to the terms one of whose words it contains,
+    by equality; then its own terms are replaced in term order.  Only the digest
+    of a text takes part in that join.
     """
-    listed = terms.orderBy("term_order").limit(MAX_SHIPPED_TERMS + 1).select(
-        "source_text", "target_text", "case_sensitive").collect()
-    if len(listed) <= MAX_SHIPPED_TERMS:
-        shipped = [tuple(r) for r in listed]
-        out = rows.withColumn("protected", _shipped_udf(shipped)(F.coalesce(F.col(text), F.lit(""))))
-    else:
-        out = _protect_by_join(rows, text, terms)
-    return out.withColumn("termbase_hits", F.size("protected.keys").cast("bigint"))
-
-
-def _shipped_udf(shipped: list[tuple[str, str, bool]]):
-    @pandas_udf(PROTECTED)
-    def run(s: pd.Series) -> pd.DataFrame:
-        compiled = [(_pattern(src, cs), tgt) for src, tgt, cs in shipped]
-        lowered = [src.lower() for src, _t, _c in shipped]
-        out = []
-        for value in s:
-            low = value.lower()
-            out.append(_protect(value, [c for c, w in zip(compiled, lowered) if w in low or not w.isascii()]))
-        return pd.DataFrame(out, columns=["text", "keys", "targets"])
-
-    return run
-
-
-@pandas_udf(PROTECTED)
-def _protect_listed(s: pd.Series, terms: pd.Series) -> pd.DataFrame:
-    out = []
-    for value, own in zip(s, terms):
-        found = own if own is not None else []
-        ordered = sorted(found, key=lambda t: (t["neg_length"], t["pos"]))
-        out.append(_protect(value, [(_pattern(t["source_text"], t["case_sensitive"]), t["target_text"]) for t in ordered]))
-    return pd.DataFrame(out, columns=["text", "keys", "targets"])
-
-
-def _protect_by_join(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
-    word = r"(?U)([\p{L}\p{N}]+)"
-    regular = terms.where(F.col("source_text").rlike(r"(?U)^[\p{L}\p{N}](.*[\p{L}\p{N}])?$") & ~F.contains("source_text", F.lit("_")))
-    if terms.count() != regular.count():
-        raise ValueError("terms with non-word edges or underscores need a termbase that can be shipped")
-    listed = F.struct("term_order.neg_length", "term_order.pos", "source_text", "target_text", "case_sensitive")
-    keyed = regular.select(
-        F.lower(F.regexp_extract("source_text", word, 1)).alias("__w"), listed.alias("t"))
-    texts = rows.select(F.coalesce(F.col(text), F.lit("")).alias("__text")).distinct()
-    words = texts.select("__text", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("__text"), F.lit(word)))).alias("__w"))
-    found = words.join(keyed, "__w").groupBy("__text").agg(F.collect_list("t").alias("ts"))
-    done = texts.join(found, "__text", "left").select(
-        "__text", _protect_listed("__text", "ts").alias("protected"))
-    return rows.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).join(done, "__text").drop("__text")
+    patterns = terms.select(
+        _look_up_key(F.col("source_text")).alias("__part"),
+        F.struct("term_order", _term_pattern(F.col("source_text"), F.col("case_sensitive")).alias("pattern"), "target_text").alias("t"))
+    plain = rows.withColumn("__plain", F.coalesce(F.col(text), F.lit(""))).withColumn("__id", F.sha2("__plain", 256))
+    texts = plain.select("__id", "__plain").dropDuplicates(["__id"])
+    parts = texts.select("__id", F.explode(F.array_distinct(
+        F.regexp_extract_all(F.lower("__plain"), F.lit(_PARTS), F.lit(0)))).alias("__part"))
+    found = parts.join(patterns, "__part").groupBy("__id").agg(F.array_sort(F.collect_list("t")).alias("__terms"))
+    done = texts.join(found, "__id").select(
+        "__id", _replaced(F.col("__plain"), F.col("__terms")).alias("protected"))
+    none = F.array().cast("array<string>")
+    untouched = F.struct(F.col("__plain").alias("text"), none.alias("keys"), none.alias("targets")).cast(PROTECTED)
+    return plain.join(done, "__id", "left").withColumn("protected", F.coalesce("protected", untouched)).drop(
+        "__id", "__plain").withColumn("termbase_hits", F.size("protected.keys").cast("bigint"))
 
 
 def restore_terms(text: Column, keys: Column, targets: Column) -> tuple[Column, Column]:

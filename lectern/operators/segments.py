@@ -137,60 +137,65 @@ def audio_ranges(recordings: DataFrame, chunk_ms: int = 55_000, overlap_ms: int
     )
 
 
-class _Stitch:
-    """Accept a recognized result only if it reaches past what was accepted before."""
+class _Reach:
+    """Ends of the results of one chunk: a missing end is guessed behind the furthest end so far."""
 
     def __init__(self) -> None:
-        self.accepted, self.count, self.chunk, self.local_end = 0, 0, None, 0
-
-    def __call__(self, chunk, chunk_start, chunk_ms, duration, end, after, estimate):
-        if chunk != self.chunk:
-            self.chunk, self.local_end = chunk, 0
-        start = self.local_end
-        if end <= start + 1:
-            limit = max(start + 150, chunk_ms - 150 * after)
-            end = min(limit, start + estimate)
-        end = min(chunk_ms, max(end, start + 1))
-        self.local_end = max(self.local_end, end)
-        low, high = chunk_start + start, chunk_start + end
-        if high <= self.accepted + 50:
-            return None, None, None
-        low = max(low, self.accepted)
-        if duration > 0:
-            low, high = min(low, duration), min(high, duration)
-        if high - low <= 1:
+        self.reach = 0
+
+    def __call__(self, offset, chunk_ms, before_rest, estimate):
+        begin = self.reach
+        if offset <= begin + 1:
+            offset = min(begin + estimate, max(begin + 150, before_rest))
+        stop = min(chunk_ms, max(offset, begin + 1))
+        self.reach = max(begin, stop)
+        return begin, stop
+
+
+class _News:
+    """Of ranges in order, those that reach more than 50 ms past all taken before; cut to what is new."""
+
+    def __init__(self) -> None:
+        self.heard = self.taken = 0
+
+    def __call__(self, low, high, limit):
+        fresh, stop = min(max(low, self.heard), limit), min(high, limit)
+        if high - self.heard <= 50 or stop - fresh <= 1:
             return None, None, None
-        self.accepted = max(self.accepted, high)
-        self.count += 1
-        return self.count, low, high
+        self.heard, self.taken = max(self.heard, stop), self.taken + 1
+        return self.taken, fresh, stop
 
 
 def stitch_overlaps(results: DataFrame, split: bool | None = None) -> DataFrame:
     """Join the results of overlapping recognition chunks into one transcript.
 
     ``results``: video_id, chunk_no, result_no, chunk_start_ms, chunk_ms,
-    duration_ms (0 = unknown), end_offset_ms (0 = missing), text.  The carried
-    state is one time per video, so rows stream through a sorted partition.
+    duration_ms (0 = unknown), end_offset_ms (0 = missing), text.  Ends depend
+    on their own chunk alone and are found chunk by chunk; only three numbers of
+    a result go through the order of the whole video.
     """
-    texts = results.withColumn("text", collapse(F.coalesce("text", F.lit("")))).where(
-        F.col("text") != ""
-    )
+    place = ["video_id", "chunk_no", "result_no"]
+    texts = results.withColumn("text", collapse(F.coalesce("text", F.lit("")))).where(F.col("text") != "")
     counted = (
-        OrderedScan(texts, ["video_id", "chunk_no"], ["result_no"])
+        OrderedScan(
+            texts.select(*place, "chunk_start_ms", "chunk_ms", "duration_ms",
+                         F.coalesce("end_offset_ms", F.lit(0)).cast("bigint").alias("end_offset_ms"),
+                         estimate_duration_ms(F.col("text")).alias("estimate_ms")),
+            place[:2], place[2:])
         .row_number("__n")
         .total("__all", F.lit(1))
         .apply(split)
-        .select(
-            "video_id", "chunk_no", "result_no", "chunk_start_ms", "chunk_ms", "duration_ms",
-            F.coalesce("end_offset_ms", F.lit(0)).cast("bigint").alias("end_offset_ms"), "text",
-            (F.col("__all") - F.col("__n")).alias("results_after"),
-            estimate_duration_ms(F.col("text")).alias("estimate_ms"),
-        )
-    )
-    stitched = fold_columns(
-        counted, ["video_id"], ["chunk_no", "result_no"], _Stitch,
-        ["chunk_no", "chunk_start_ms", "chunk_ms", "duration_ms", "end_offset_ms", "results_after", "estimate_ms"],
-        {"segment_id": "bigint", "start_ms": "bigint", "end_ms": "bigint"},
+        .withColumn("before_rest", F.col("chunk_ms") - 150 * (F.col("__all") - F.col("__n")))
     )
-    return stitched.where(F.col("segment_id").isNotNull()).select(
+    ended = fold_columns(
+        counted, place[:2], place[2:], _Reach, ["end_offset_ms", "chunk_ms", "before_rest", "estimate_ms"],
+        {"__from": "bigint", "__to": "bigint"})
+    forever = F.lit((1 << 63) - 1)
+    ranges = ended.select(
+        *place, (F.col("chunk_start_ms") + F.col("__from")).alias("low"), (F.col("chunk_start_ms") + F.col("__to")).alias("high"),
+        F.when(F.col("duration_ms") > 0, F.col("duration_ms")).otherwise(forever).alias("limit"))
+    news = fold_columns(
+        ranges, place[:1], place[1:], _News, ["low", "high", "limit"],
+        {"segment_id": "bigint", "start_ms": "bigint", "end_ms": "bigint"})
+    return news.where(F.col("segment_id").isNotNull()).join(texts.select(*place, "text"), place).select(
         "video_id", "segment_id", "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "text")

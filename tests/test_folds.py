@@ -240,13 +240,22 @@ def test_protect_and_restore(spark):
     assert got[TEXTS[0]].r == "der end des road, of THEm all"
 
 
-def test_protect_by_join_is_the_same(spark, monkeypatch):
-    rows, terms = _protected(spark)
-    terms = terms.where("source_text != 'C++'")
-    shipped = sorted((r.t, r.protected) for r in memory.protect_terms(rows, "t", terms).collect())
-    monkeypatch.setattr(memory, "MAX_SHIPPED_TERMS", 1)
-    joined = sorted((r.t, r.protected) for r in memory.protect_terms(rows, "t", terms).collect())
-    assert joined == shipped
+def test_protect_with_a_large_termbase(spark):
+    """25,000 terms, some with an edge that is no letter, an underscore or no word at all."""
+    rows = spark.createDataFrame([("der er. a_b w17 w18 w17",), ("xa_b er.x ->",), (None,), ("w24999 \\E",)], "t string")
+    many = spark.range(25_000).select(
+        F.col("id").alias("pos"), F.concat(F.lit("w"), "id").alias("source_text"), F.lit("*").alias("target_language"),
+        F.concat(F.lit("t"), "id").alias("target_text"), F.lit("0").alias("case_sensitive"))
+    odd = spark.createDataFrame(
+        [(30_001, "er.", "*", "ER", "0"), (30_002, "a_b", "*", "AB", "0"), (30_003, "->", "*", "ARROW", "0"), (30_004, "\\E", "*", "SLASH", "0"),
+         (30_005, "w17 w18", "*", "pair", "0")], many.schema)
+    out = memory.protect_terms(rows, "t", memory.select_termbase(many.union(odd), "de"))
+    got = {r.t: r.protected for r in out.collect()}
+    assert got["der er. a_b w17 w18 w17"].text == "der __TERM_0003__ __TERM_0004__ __TERM_0001__ __TERM_0002__"
+    assert got["der er. a_b w17 w18 w17"].targets == ["pair", "t17", "ER", "AB"]
+    assert got["xa_b er.x ->"].targets == ["ER", "ARROW"] and got["xa_b er.x ->"].text == "xa_b __TERM_0001__x __TERM_0002__"
+    assert got[None].text == "" and got[None].keys == []
+    assert got["w24999 \\E"].text == "__TERM_0001__ __TERM_0002__" and got["w24999 \\E"].targets == ["t24999", "SLASH"]
 
 
 def test_lost_placeholder_is_reported(spark):
