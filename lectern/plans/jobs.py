@@ -92,7 +92,8 @@ def playback(slides: DataFrame, alignment: DataFrame, words: DataFrame | None, *
         rows = timeline.timeline_segmented(slides, windows, split=split)
     else:
         totals = alignment.groupBy("video_id").agg(F.max("tts_end_ms").alias("total_ms"))
-        whole = slides.join(totals, "video_id")
+        # a video without any alignment stays, with no speech
+        whole = slides.join(totals, "video_id", "left").withColumn("total_ms", F.coalesce("total_ms", F.lit(0).cast("bigint")))
         matches = timeline.match_phrases(slides, timeline.candidate_words(slides, alignment, words))
         times = whole.select("video_id", F.col("slide_index").alias("time_id"), F.col("slide_end_ms").alias("source_ms"), "total_ms")
         projected = timeline.project_time(times, alignment, timeline.word_boundaries(words), split=split).withColumnRenamed(
@@ -112,7 +113,7 @@ def deck_consistency(original: DataFrame, translated: DataFrame, split: bool | N
     issues = staged(consistency.leftover_check(translated, sequences, mapping))
     return {
         "sequences": sequences, "issues": issues, "first_issues": consistency.first_issues(issues),
-        "report": consistency.consistency_report(sequences, issues), "glossary": consistency.distinct_pairs(mapping, sequences),
+        "report": consistency.consistency_report(sequences, issues, original), "glossary": consistency.distinct_pairs(mapping, sequences),
     }
 
 
