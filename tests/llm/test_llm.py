@@ -15,7 +15,7 @@ import xxhash
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from lectern.llm import langid, licenses, merkle, packing, quality, secrets, sentencepieces, sharding, simhash, toxicity
+from lectern.llm import langid, licenses, merkle, packing, quality, secrets, sentencepieces, sharding, shingles, simhash, toxicity
 from lectern.llm.queries import ORACLE, QUERIES
 
 LONG = "the same words go on and on. " * 3000
@@ -156,6 +156,31 @@ def test_hot_anchors_in_parts_and_long_chains(spark):
         assert roots.select("root").distinct().count() == 1 and roots.count() == len(set(chain))
 
 
+def test_near_dedup_joins_all_texts_alike(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for group in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 60 + 40 * group)]
+        for copy in range(7):
+            words = list(base)
+            for at in rng.integers(0, len(words), copy * len(words) // 120):
+                words[at] = f"new{rng.integers(0, 5000)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    groups = simhash._Groups(len(rows))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                groups.join(a, b)
+    expected = {i: groups.find(i) for i, _ in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    stayed = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SMALL).collect()}
+    assert 12 < len(stayed) < len(rows) and stayed == set(expected.values())
+    # units of several parts give the same groups
+    for nodes in (2, 2048):
+        assert {r.doc_id: r.component_id for r in shingles.near_copies(df, part_nodes=nodes).collect()} == expected
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
