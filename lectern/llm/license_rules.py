@@ -84,9 +84,13 @@ GENERIC = [
     ("cc-by-short", "cc-by", 4, "by", "cc by"),
 ]
 
-#: every rule needs one of these somewhere in the raw text; a keyword of no rule is missing here
+#: words of which every match of a name holds one, where the keyword is not in every match
+ALSO = {"bsd-2": ["bsd", "freebsd"], "bsd-3": ["bsd"], "bsd-4": ["bsd"]}
+
+#: every rule needs one of these somewhere in the raw text
 GATE = (
     r"[Ll][Ii][Cc][Ee][Nn][CSces]|[Ss][Pp][Dd][Xx]|[Rr][Ee][Ss][Ee][Rr][Vv][Ee][Dd]|[Dd][Oo][Mm][Aa][Ii][Nn]"
+    r"|[Bb][Ss][Dd]|[Aa][Tt][Tt][Rr][Ii][Bb][Uu][Tt][Ii][Oo][Nn]"
     r"|[Cc][Rr][Ee][Aa][Tt][Ii][Vv][Ee]|[Cc][Cc][\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[Bb][Yy]"
     r"|(?:^|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])[Uu][Nn][Dd][Ee][Rr][\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 )
@@ -105,10 +109,11 @@ def rules() -> list[dict]:
             out.append({
                 "name": f"{form}:{label}", "label": label, "priority": priority,
                 "keyword": name_key if which == "name" else id_key,
+                "needs": ALSO.get(label, [name_key]) if which == "name" else [id_key],
                 "pattern": compiled(pattern.format(name=name, id=ident)),
             })
     out += [
-        {"name": f"generic:{n}", "label": label, "priority": p, "keyword": k, "pattern": compiled(pat)}
+        {"name": f"generic:{n}", "label": label, "priority": p, "keyword": k, "needs": [k], "pattern": compiled(pat)}
         for n, label, p, k, pat in GENERIC
     ]
     return [r | {"rank": i} for i, r in enumerate(out)]

@@ -2,8 +2,8 @@
 
 All of it is one projection over the rows: no shuffle, no Python. A text that
 has none of the gate's strings only has its words counted. Otherwise its words
-are joined into one normalised text; a rule runs only if its keyword is a word
-of the text; a detection inside another one of the same or a better priority
+are joined into one normalised text; a rule runs only if one of the words it needs
+is in the text; a detection inside another one of the same or a better priority
 is suppressed, and of equal intervals the first rule's stays.
 """
 
@@ -21,7 +21,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: phrases that are always reported
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
-RULE = "name:string,label:string,priority:int,keyword:string,pattern:string,rank:int"
+RULE = "name:string,label:string,priority:int,keyword:string,needs:array<string>,pattern:string,rank:int"
 DETECTION = "array<struct<start:bigint,tail:bigint,priority:int,rank:int,end:bigint,label:string,name:string>>"
 
 
@@ -47,9 +47,9 @@ def _detections(norm: Column, words: Column) -> Column:
         )
 
     table = rules()
-    keywords = F.array(*[F.lit(k) for k in sorted({r["keyword"] for r in table})])
+    keywords = F.array(*[F.lit(k) for k in sorted({k for r in table for k in r["needs"]})])
     gated = F.transform(F.array(F.array_intersect(words, keywords)), lambda seen: F.filter(
-        constant_table(table, RULE), lambda r: F.array_contains(seen, r["keyword"]) & F.rlike(norm, r["pattern"])))
+        constant_table(table, RULE), lambda r: F.arrays_overlap(seen, r["needs"]) & F.rlike(norm, r["pattern"])))
     present = F.when(norm.isNotNull(), F.get(gated, F.lit(0)))
     return F.sort_array(F.flatten(F.transform(present, of_rule)))
 

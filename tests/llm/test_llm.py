@@ -80,6 +80,46 @@ def test_license_labels(odd):
     assert (got[1].n_words, got[1].labels, got[1].score, got[1].first_word) == (0, "", 0.0, None)
 
 
+def test_names_pass_gate_and_keywords(spark):
+    said = {
+        "Terms: Simplified BSD": "bsd-2", "FreeBSD": "bsd-2", "BSD 2-Clause": "bsd-2", "released under the Modified BSD License": "bsd-3",
+        "New BSD": "bsd-3", "Terms: BSD 3-Clause": "bsd-3", "Original BSD": "bsd-4", "4-clause BSD": "bsd-4", "Zero-Clause BSD": "0bsd",
+        "MIT No Attribution": "mit-0",
+    }
+    df = spark.createDataFrame(list(said.items()), "text string, label string")
+    assert all(r.label in (r.licenses.labels or "").split(",") for r in licenses.scan_licenses(df).collect())
+
+
+def test_every_form_of_a_name_passes_its_words():
+    for rule in licenses.rules():
+        for one in _samples(rule["pattern"]):
+            assert re.search(rule["pattern"], one) and set(one.split()) & set(rule["needs"]), (rule["name"], one)
+            assert re.search(licenses.GATE, " ".join(one.split())) or one.startswith(" under "), (rule["name"], one)
+
+
+def _samples(pattern):
+    """One text for each alternative of a rule's pattern, the optional parts left out."""
+    import re._parser as parser
+
+    def walk(items):
+        texts = [""]
+        for op, value in items:
+            if op is parser.LITERAL:
+                more = [chr(value)]
+            elif op is parser.IN:
+                more = [chr(value[0][1] if value[0][0] is parser.LITERAL else value[0][1][0])]
+            elif op is parser.SUBPATTERN:
+                more = walk(value[3])
+            elif op is parser.BRANCH:
+                more = [t for branch in value[1] for t in walk(branch)]
+            else:
+                more = [""] if value[0] == 0 else walk(value[2])
+            texts = [a + b for a in texts for b in more]
+        return texts
+
+    return walk(parser.parse(pattern))
+
+
 def test_contained_detections_are_suppressed(odd):
     got = next(r.licenses.detections for r in licenses.scan_licenses(odd).collect() if r.doc_id == 11)
     spans = [(d.start, d.end) for d in got]
