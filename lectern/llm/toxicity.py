@@ -1,7 +1,7 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-Features are the words of a text and the first letters of its words, present or
-not. Weights are a logistic regression with one more penalty: in labelled texts
+Features are the words of a text and the first letters of its words other than
+identity terms, present or not. Weights are a logistic regression with one more penalty: in labelled texts
 that mention a group, the mention is swapped for other groups of its kind, and
 changes of the score are penalised. So the name of a group says nothing by
 itself. The model is a bounded table; scoring is local to a row.
@@ -39,10 +39,13 @@ IDENTITY = [
 ]
 
 
+TERMS = frozenset(t for kind in IDENTITY for t in kind.split())
+
+
 def features_of(text: str | None) -> set[str]:
-    """Lower-case words, and the first letters of longer ones with a star."""
+    """Lower-case words, and the first letters of longer ones with a star; identity terms are whole words only."""
     words = set(WORD.findall((text or "").lower()))
-    return words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in PREFIXES))
+    return words.union(*({w[:k] + "*" for w in words - TERMS if len(w) > k} for k in PREFIXES))
 
 
 class Model:
@@ -56,7 +59,7 @@ class Model:
         logit = self.bias + sum(self.words[w] for w in sorted(words & self.words.keys()))
         for k, heads in self.heads.items():
             if heads:
-                found = {w[:k] for w in words if len(w) > k} & heads.keys()
+                found = {w[:k] for w in words - TERMS if len(w) > k} & heads.keys()
                 logit += sum(heads[h] for h in sorted(found))
         return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
@@ -68,8 +71,8 @@ def swaps() -> list[tuple[str, str]]:
 def train(rows: list[list[int]], toxic: np.ndarray, names: list[str], rounds: int = 400, decay: float = 2e-4, fair: float = 1.0) -> Model:
     """Full-batch Adam on logistic loss, squared weights and squared score changes under swaps.
 
-    A swap of a for b changes the score of a text by the difference of their
-    weights, so its penalty counts once for every labelled text with a or b.
+    Identity terms have no other feature than their word, so a swap of a for b
+    changes the score of a text by the difference of their weights, and its penalty counts once for every labelled text with a or b.
     """
     n, m = len(rows), len(names)
     row = np.repeat(np.arange(n), [len(r) for r in rows])
@@ -139,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
     evidence = 2 * (part(F.col("bad"), F.col("n") * share) + part(F.col("n") - F.col("bad"), F.col("n") * (1 - share)))
     best = tallied.withColumn("g", evidence).where(F.col("g") >= MIN_EVIDENCE).orderBy(F.desc("g"), "f").limit(max_features).select("f").collect()
-    names = sorted({r["f"] for r in best} | {t for kind in IDENTITY for t in kind.split()})
+    names = sorted({r["f"] for r in best} | TERMS)
     shipped = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def indices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

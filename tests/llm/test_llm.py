@@ -295,6 +295,18 @@ def test_swapped_groups_score_alike():
     assert gaps[1] < 0.25 * gaps[0]
 
 
+def test_heads_do_not_carry_groups():
+    texts = ["muslims awful"] * 30 + ["jews fine"] * 30 + ["people fine"] * 10 + ["people awful"] * 10
+    toxic = np.array([t.endswith("awful") for t in texts])
+    names = sorted(set().union(*map(toxicity.features_of, texts)))
+    rows = [sorted(names.index(f) for f in toxicity.features_of(t)) for t in texts]
+    model = toxicity.train(rows, toxic, names, fair=5.0)
+    assert abs(model.score("the muslims came") - model.score("the jews came")) < 0.05
+    # heads learned from other words are not read from a group's name
+    headed = toxicity.Model({"musl*": 3.0, "immig*": 3.0}, 0.0)
+    assert headed.score("muslims and immigrants") == 0.5 and headed.score("muslin") > 0.9
+
+
 def test_toxic_words_are_learned(spark):
     bad, good = "you are scum", "you are kind"
     rows = [(i, (bad if i % 2 else good) + f" number{i}") for i in range(400)]
