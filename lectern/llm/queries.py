@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import langid, licenses, merkle, packing, quality, secrets, sentencepieces, sharding, simhash, toxicity
+from lectern.llm import (
+    infilling, langid, licenses, merkle, mixing, packing, quality, ranking, secrets, sentencepieces, sharding, simhash, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,3 +116,27 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.fit(docs)
     named = langid.identify(docs.select("doc_id", "text"), model)
     return named.select("doc_id", langid.held_out().alias("held_out"), "language.lang_pred", "language.score", "language.bits_per_byte")
+
+
+@query("op11_weighted_mixture", mixing.oracle_sql())
+def op11_weighted_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of every document the mixture takes, by weighted fair queueing of the sources."""
+    return mixing.mix_sources(mixing.sized_rows(table(spark, folder, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op12_fill_in_middle", infilling.oracle_sql())
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Form and cuts of every whole document, the digest of its output and of the text restored from that."""
+    made = infilling.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    output, form = F.col("infill.output"), F.col("infill.form")
+    return made.select(
+        "doc_id", *[f"infill.{c}" for c in ("n", "form", "prefix_chars", "middle_chars")],
+        F.sha2(output, 256).alias("output_sha256"), F.sha2(infilling.restored(output, form), 256).alias("restored_sha256"),
+    )
+
+
+@query("op13_ranked_search", ranking.oracle_sql())
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranking.rank_documents(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text"))
