@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.times import event_frame, timecode
-from lectern.operators.folding import fold_columns
+from lectern.operators.final_slides import alike
 from lectern.operators.grouped import with_group_values
 from lectern.operators.intervals import FRAME_BIN, overlap_join
 from lectern.operators.scan import OrderedScan
+from lectern.operators.speculative import PIECE_ROWS, speculative_fold
 
 CANDIDATE_ORDER = ["event_frame", "sort_priority", "frame_id_0", "frame_id_1", "transition_no"]
 
@@ -162,34 +162,27 @@ def backfill_candidates(runs: DataFrame, covered: DataFrame, min_frames: int = 1
     return long_slide_runs(runs, min_frames).join(covered.select("video_id", "seg_idx").distinct(), ["video_id", "seg_idx"], "left_anti")
 
 
-class _Dedupe:
-    """Late candidates are dropped when they look like the last kept or the last slide frame."""
-
-    def __init__(self, threshold: float):
-        self.threshold, self.kept, self.slide = threshold, None, None
-
-    def _same(self, a, b) -> bool:
-        return b is not None and len(a) == len(b) and float(np.mean(np.abs(a - b))) <= self.threshold
-
-    def __call__(self, priority, updates, values):
-        patch = np.asarray(values, dtype="float64")
-        if priority == 1 and (self._same(patch, self.kept) or (updates and self._same(patch, self.slide))):
-            return (False,)
-        if updates:
-            self.slide = patch
-        self.kept = patch
-        return (True,)
+def dedupe_backfills(
+    candidates: DataFrame, patches: DataFrame, threshold: float, piece_rows: int = PIECE_ROWS, split: bool | None = None,
+) -> DataFrame:
+    """Late candidates that look like the last kept frame, or as a slide like the last slide's frame, are dropped.
 
+    ``patches(video_id, frame_id, patch)``; candidates whose frame has no patch
+    are unreadable and go.
+    """
+    def step(last, at, flags, patch):
+        (late, slide), (kept, shown) = flags, last
+        seen = [x[1] for x in (kept, shown if slide else None) if x is not None]
+        if late == 1 and any(alike(patch, x, threshold) for x in seen):
+            return last, 0
+        return [(at, patch), (at, patch) if slide else shown], 1
 
-def dedupe_backfills(candidates: DataFrame, patches: DataFrame, threshold: float) -> DataFrame:
-    """``patches(video_id, frame_id, patch)``; candidates whose frame has no patch are unreadable and go."""
     rows = candidates.join(
         patches.select("video_id", F.col("frame_id").alias("event_frame"), "patch"), ["video_id", "event_frame"]
-    ).select("video_id", *CANDIDATE_ORDER, "updates_slide_state", "patch")
-    judged = fold_columns(
-        rows, ["video_id"], CANDIDATE_ORDER, lambda: _Dedupe(threshold),
-        ["sort_priority", "updates_slide_state", "patch"], {"__stays": "boolean"})
-    return judged.where("__stays").drop("patch", "updates_slide_state", "__stays")
+    ).select("video_id", *CANDIDATE_ORDER, F.col("updates_slide_state").cast("int").alias("__slide"), "patch")
+    judged = speculative_fold(
+        rows, ["video_id"], CANDIDATE_ORDER, "patch", ["sort_priority", "__slide"], step, 2, "__stays", piece_rows, split)
+    return judged.where("__stays = 1").drop("__stays")
 
 
 def number_events(candidates: DataFrame, fps_milli: int = 25_000, split: bool | None = None) -> DataFrame:

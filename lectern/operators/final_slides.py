@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.boxes import Box, outside_ratio
-from lectern.operators.folding import fold_columns
 from lectern.operators.scan import OrderedScan
+from lectern.operators.speculative import PIECE_ROWS, speculative_fold
 
 MAP_ORDER = ["slide_start_ms", "slide_end_ms", "bucket_id"]
 
@@ -102,36 +102,30 @@ def fold_into_previous(marked: DataFrame) -> DataFrame:
     )
 
 
-class _Collapse:
-    """A slide that looks like the last kept one belongs to it."""
+def alike(a: np.ndarray | None, b: np.ndarray | None, threshold: float) -> bool:
+    return a is not None and b is not None and len(a) == len(b) and float(np.mean(np.abs(a - b))) <= threshold
 
-    def __init__(self, threshold: float):
-        self.threshold, self.gid, self.image = threshold, None, None
 
-    def __call__(self, gid, values):
-        if gid == 0:
-            return (0,)
-        image = None if values is None else np.asarray(values, dtype="float64")
-        last = self.image
-        same = (
-            self.gid is not None and image is not None and last is not None and len(image) == len(last)
-            and float(np.mean(np.abs(image - last))) <= self.threshold
-        )
-        if not same:
-            self.gid, self.image = gid, image
-        return (self.gid,)
-
-
-def duplicate_targets(folded: DataFrame, images: DataFrame, threshold: float = 0.8) -> DataFrame:
+def duplicate_targets(
+    folded: DataFrame, images: DataFrame, threshold: float = 0.8, piece_rows: int = PIECE_ROWS, split: bool | None = None,
+) -> DataFrame:
     """Adds ``target_gid``: the slide a kept slide is merged into (itself when it stays).
 
     ``images(video_id, event_id, image)``; the comparison is always with the
-    last slide that stayed, so it is an ordered fold.
+    last slide that stayed. Only numbers and images enter the fold.
     """
-    pictured = folded.join(images, ["video_id", "event_id"], "left")
-    return fold_columns(
-        pictured, ["video_id"], ["gid"], lambda: _Collapse(threshold), ["gid", "image"], {"target_gid": "bigint"}
-    ).drop("image")
+    def step(last, _at, flags, image):
+        gid = flags[0]
+        if gid == 0:
+            return last, 0
+        if last[0] is not None and alike(image, last[0][1], threshold):
+            return last, last[0][0]
+        return [(gid, image)], gid
+
+    pictured = folded.select("video_id", "event_id", "gid").join(images, ["video_id", "event_id"], "left")
+    found = speculative_fold(pictured, ["video_id"], ["gid"], "image", ["gid"], step, 1, "target_gid", piece_rows, split)
+    found = found.select(F.col("video_id").alias("__v"), F.col("gid").alias("__g"), "target_gid")
+    return folded.join(found, F.col("video_id").eqNullSafe(F.col("__v")) & (F.col("gid") == F.col("__g"))).drop("__v", "__g")
 
 
 def collapse_duplicates(targeted: DataFrame) -> DataFrame:

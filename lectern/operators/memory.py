@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.casts import bool_listed
 from lectern.functions.text import norm_slide, norm_tm, speech_text, utf8_size
-from lectern.operators.folding import fold_columns
+from lectern.operators.chunking import greedy_chunks
 from lectern.operators.scan import OrderedScan
 from lectern.operators.segments import SEGMENT_ORDER
 
@@ -15,33 +15,10 @@ from lectern.operators.segments import SEGMENT_ORDER
 # -- packing ----------------------------------------------------------------
 
 
-class _Pack:
-    """Greedy chunks: a row that would overflow a limit opens the next chunk."""
-
-    def __init__(self, max_count: int, limits: tuple[int, ...], joint: int):
-        self.max_count, self.limits, self.joint = max_count, limits, joint
-        self.chunk, self.count, self.sizes = 1, 0, [0] * len(limits)
-
-    def __call__(self, *sizes):
-        extra = self.joint if self.count else 0
-        full = self.count and (
-            self.count >= self.max_count
-            or any(s + extra + n > m for s, n, m in zip(self.sizes, sizes, self.limits))
-        )
-        if full:
-            self.chunk, self.count, self.sizes, extra = self.chunk + 1, 0, [0] * len(self.limits), 0
-        self.count += 1
-        self.sizes = [s + extra + n for s, n in zip(self.sizes, sizes)]
-        return (self.chunk,)
-
-
-def pack_chunks(segments: DataFrame, max_count: int = 12, max_chars: int = 2800) -> DataFrame:
-    """Chunk number of every non-empty segment; only ids and lengths enter the fold."""
-    rows = segments.where(F.trim("text") != "").select(
-        "video_id", *SEGMENT_ORDER, F.length("text").alias("size"))
-    packed = fold_columns(
-        rows, ["video_id"], SEGMENT_ORDER, lambda: _Pack(max(1, max_count), (max(400, max_chars),), 0), ["size"],
-        {"chunk_index": "bigint"})
+def pack_chunks(segments: DataFrame, max_count: int = 12, max_chars: int = 2800, split: bool | None = None) -> DataFrame:
+    """Chunk number of every non-empty segment: a segment that would overflow a limit opens the next chunk."""
+    rows = segments.where(F.trim("text") != "").select("video_id", *SEGMENT_ORDER, F.length("text").alias("size"))
+    packed = greedy_chunks(rows, "video_id", SEGMENT_ORDER, {"size": (max(400, max_chars), 0)}, max_count, split=split)
     return packed.select("video_id", "segment_id", "chunk_index")
 
 
@@ -53,7 +30,7 @@ def speech_byte_budget(prompt_bytes: int, max_text: int = 3800, max_prompt: int
 
 def pack_speech_chunks(
     segments: DataFrame, prompt_bytes: int, *, max_chars: int = 3200, max_segments: int = 40,
-    max_text: int = 3800, max_prompt: int = 4000, max_request: int = 7900, single_max_ms: int = 620_000,
+    max_text: int = 3800, max_prompt: int = 4000, max_request: int = 7900, single_max_ms: int = 620_000, split: bool | None = None,
 ) -> DataFrame:
     """Chunks for speech synthesis, limited in characters, segments and UTF-8 bytes.
 
@@ -68,10 +45,10 @@ def pack_speech_chunks(
         (F.sum("size_b") + F.count(F.lit(1)) - 1 <= budget).alias("__fits"),
         (F.max("end_ms") - F.min("start_ms") <= single_max_ms).alias("__short"),
     )
-    packed = fold_columns(
-        rows, ["video_id"], SEGMENT_ORDER,
-        lambda: _Pack(max(1, max_segments), (max(200, max_chars), budget), 1), ["size_a", "size_b"],
-        {"chunk_index": "bigint"})
+    limits = {"size_a": (max(200, max_chars), 1), "size_b": (budget, 1)}
+    packed = greedy_chunks(rows, "video_id", SEGMENT_ORDER, limits, max_segments, split=split).join(
+        rows.select(F.col("video_id").alias("__v"), F.col("segment_id").alias("__s"), "size_b"),
+        F.col("video_id").eqNullSafe(F.col("__v")) & F.col("segment_id").eqNullSafe(F.col("__s")))
     single = F.col("__fits") & F.col("__short")
     return (
         packed.join(whole, "video_id")
