@@ -83,8 +83,9 @@ def _postings(docs: DataFrame, key: str, text: str, wanted: np.ndarray, blocks:
                 tf = Counter(terms_of(t.as_py()))
                 if len(known) > 500_000:
                     known.clear()
-                for term in tf.keys() - known.keys():
-                    known[term] = bool(asked[xxhash.xxh64_intdigest(term, 42) % FILTER_BITS])
+                for term in tf:
+                    if term not in known:
+                        known[term] = bool(asked[xxhash.xxh64_intdigest(term, 42) % FILTER_BITS])
                 kept = [term for term in tf if known[term]]
                 lengths.append(sum(tf.values()))
                 names.append(b" ".join(kept).decode())
