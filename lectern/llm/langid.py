@@ -121,11 +121,17 @@ class Model:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> Model:
     """Context trees of all languages from about ``per_language`` training documents of each.
 
-    Only documents with a language, with 1 to ``max_chars`` characters and on
-    the training side of the fold are used, those with the smallest seeded
-    hash. The sample and the model are bounded whatever the size of the input.
+    Only documents with a language, a text and a place on the training side of
+    the fold are used, those with the smallest seeded hash. Of a text over
+    ``max_chars`` characters one window of that length is used, at a seeded
+    place, so a language with long documents only is learned too. The sample
+    and the model are bounded whatever the size of the input; how well the
+    model does on held-out documents is a test.
     """
-    usable = docs.where(training_rows(key) & F.col(lang).isNotNull() & F.length(text).between(1, max_chars))
+    size = F.length(text)
+    start = 1 + F.pmod(F.xxhash64(F.col(key), F.lit(31)), F.greatest(F.lit(1), size - max_chars + 1).cast("bigint"))
+    window = F.substring(F.col(text), start.cast("int"), F.lit(max_chars))
+    usable = docs.where(training_rows(key) & F.col(lang).isNotNull() & (size >= 1))
     counts = {r["l"]: r["n"] for r in usable.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model({})
@@ -133,7 +139,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     share = F.lit(0)
     for name, n in sorted(counts.items()):
         share = F.when(F.col(lang) == name, F.lit(int(1_000_000 * min(1.0, 1.5 * per_language / n)) + 1)).otherwise(share)
-    rows = usable.where(draw < share).select(F.col(lang).alias("l"), F.col(text).alias("t"), draw.alias("d"), F.col(key).alias("k")).collect()
+    rows = usable.where(draw < share).select(F.col(lang).alias("l"), window.alias("t"), draw.alias("d"), F.col(key).alias("k")).collect()
     texts: dict[str, list[bytes]] = {name: [] for name in counts}
     for r in sorted(rows, key=lambda r: (r["d"], r["k"])):
         if len(texts[r["l"]]) < per_language:
@@ -150,7 +156,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     ``score`` is the posterior of the best language under equal priors; of
     equal code lengths the first language by name wins. A text that is null or
     has no letter is ``und`` with score 0, and so is every text if nothing was
-    learned. Other columns stay as they are.
+    learned. A text of any length is scored whole. Repeated rows are scored each
+    by itself, an empty table stays empty. Other columns stay as they are, but
+    one named ``language`` is replaced.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 

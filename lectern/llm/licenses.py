@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.license_rules import CONFIDENCE, GATE, compiled, rules
-from lectern.llm.spans import comma_joined, constant_table, match_spans
+from lectern.llm.spans import comma_joined, constant_table, finished, match_spans
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -76,8 +76,10 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Words are maximal runs of letters, digits and non-ASCII characters after
     A-Z are lowered; spans are in words. A null or empty text has no words, no
-    places, empty labels and score 0. Repeated rows are scanned each by
-    itself. Other columns stay as they are, whatever their names.
+    places, empty labels and score 0; a text of any length is read whole. Of
+    equal detections the first rule's stays. Repeated rows are scanned each by
+    itself, an empty table stays empty. Other columns stay as they are, whatever
+    their names, but one named ``licenses`` is replaced.
     """
     given = F.coalesce(F.col(text), F.lit(""))
     lowered = F.translate(given, UPPER, LOWER)
@@ -101,16 +103,16 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         F.greatest(F.coalesce(F.array_max(sure), F.lit(0.0)), F.when(F.size("base") > 0, 0.9).otherwise(0.0)).alias("score"),
         F.transform("kept", lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), d["label"].alias("label"), d["name"].alias("rule"))).alias("detections"),
     )
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns], result.alias("licenses"))
+    return finished(kept, docs.columns, result, "licenses")
 
 
 def oracle_sql() -> str:
-    """The query's rows by DuckDB: rules joined to texts by keyword, containment as an anti join."""
+    """The query's rows by DuckDB: every rule on every text, containment as an anti join."""
     def q(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
     table = ",\n".join(
-        f"({r['rank']},{q(r['label'])},{r['priority']},{q(' ' + r['keyword'] + ' ')},{q(r['pattern'])})" for r in rules()
+        f"({r['rank']},{q(r['label'])},{r['priority']},{q(r['pattern'])})" for r in rules()
     )
     phrases = ", ".join(f"({q(label)}, {q(compiled(p))})" for p, label in BASE)
     confidence = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(CONFIDENCE))
@@ -124,14 +126,13 @@ def oracle_sql() -> str:
                 FROM (SELECT *, regexp_extract_all(norm, pattern) AS hits, string_split_regex(norm, pattern) AS gaps FROM {source}))"""
 
     return f"""
-WITH rules(rank, label, priority, keyword, pattern) AS (VALUES {table}),
+WITH rules(rank, label, priority, pattern) AS (VALUES {table}),
 phrases(label, pattern) AS (VALUES {phrases}),
 texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM documents),
 norms AS (SELECT doc_id, len(words) AS n_words, ' ' || array_to_string(words, '  ') || ' ' AS norm FROM texts),
-gated AS (SELECT doc_id, norm FROM norms WHERE regexp_matches(norm, 'licen[cs]|spdx|reserved|domain|creative|cc  by| under ')),
-places AS (SELECT * FROM ({hits("(SELECT * FROM gated, phrases WHERE regexp_matches(norm, pattern))", "label")})),
+places AS (SELECT * FROM ({hits("(SELECT * FROM norms, phrases WHERE regexp_matches(norm, pattern))", "label")})),
 found AS (SELECT doc_id, label, priority, rank, s, s + n AS e
-          FROM ({hits("(SELECT g.doc_id, g.norm, r.* FROM gated g JOIN rules r ON contains(g.norm, r.keyword) WHERE regexp_matches(g.norm, r.pattern))", "label, priority, rank")})),
+          FROM ({hits("(SELECT g.doc_id, g.norm, r.* FROM norms g JOIN rules r ON regexp_matches(g.norm, r.pattern))", "label, priority, rank")})),
 kept AS (SELECT * FROM found d WHERE NOT EXISTS (
           SELECT 1 FROM found o WHERE o.doc_id = d.doc_id AND o.priority <= d.priority AND o.s <= d.s AND o.e >= d.e
             AND (o.s < d.s OR o.e > d.e OR o.priority < d.priority OR o.rank < d.rank))),

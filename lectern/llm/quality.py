@@ -1,7 +1,7 @@
 """Quality rules: line and word rules, and a hashed n-gram likelihood ratio.
 
-The n-grams of a text are its words and the last three characters of each word,
-hashed into buckets. Bucket counts of trusted texts and of the whole corpus give
+The n-grams of a text are its words, the last three characters of each word and
+its word pairs, hashed into buckets. Bucket counts of trusted texts and of the whole corpus give
 two multinomials, and a text is judged by its mean log-likelihood ratio per
 n-gram against a fixed threshold. Counting is a map-side-combined aggregate, so
 only bucket counts are shuffled; judging is one projection.
@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.spans import finished
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: a power of two
@@ -28,9 +30,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def buckets_of(word: Column, buckets: int) -> list[Column]:
-    """Buckets of the n-grams that one word gives: the word and its last three characters."""
-    return [F.hash(part).bitwiseAND(F.lit(buckets - 1)) for part in (word, F.substring(word, -3, 3))]
+def buckets_of(word: Column, before: Column, buckets: int) -> list[Column]:
+    """Buckets of the n-grams that one word gives: itself, its last three characters, and it with the word before (none: empty)."""
+    return [F.hash(*part).bitwiseAND(F.lit(buckets - 1)) for part in ([word], [F.substring(word, -3, 3)], [before, word])]
+
+
+def paired(words: Column) -> Column:
+    """Every word with the word before it, the first one with an empty one."""
+    return F.arrays_zip(words.alias("word"), F.slice(F.concat(F.array(F.lit("")), words), F.lit(1), F.size(words)).alias("before"))
 
 
 def fit_ratios(
@@ -52,8 +59,8 @@ def fit_ratios(
     # about max_trusted ids at most
     marked = rows.join(F.broadcast(trusted), rows["row_key"] == trusted["trusted_key"], "left")
     trusted_row = F.col("trusted_key").isNotNull().cast("long").alias("hit")
-    words = marked.select(F.explode(words_of(F.col("row_text"))).alias("word"), trusted_row)
-    grams = words.select(F.explode(F.array(*buckets_of(F.col("word"), buckets))).alias("bucket"), "hit")
+    words = marked.select(words_of(F.col("row_text")).alias("words"), trusted_row).select(F.explode(paired(F.col("words"))).alias("w"), "hit")
+    grams = words.select(F.explode(F.array(*buckets_of(F.col("w.word"), F.col("w.before"), buckets))).alias("bucket"), "hit")
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("n_trusted")).collect()
     raw, good = sum(r["n"] for r in counts), sum(r["n_trusted"] for r in counts)
     if not good:
@@ -92,8 +99,9 @@ def _covered(starts: Column) -> Column:
 def judge_quality(docs: DataFrame, ratios: list[float], text: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
     """Adds a struct ``quality`` to every row: the counts of the rules, ``ratio``, ``base_failed``, ``kept``.
 
-    A null or blank text has no words, ratio 0 and fails. Repeated rows are
-    judged each by itself; other columns stay as they are.
+    A null or blank text has no words, ratio 0 and fails; a text of any length
+    is read whole. Repeated rows are judged each by itself, an empty table stays
+    empty; other columns stay as they are, but one named ``quality`` is replaced.
     """
     given = F.coalesce(F.col(text), F.lit(""))
     table = F.split(F.lit(",".join(repr(r) for r in ratios)), ",").cast("array<double>")
@@ -116,8 +124,8 @@ def judge_quality(docs: DataFrame, ratios: list[float], text: str = "text", min_
     )
     repeated = _covered(_repeated_starts(F.col("windows"), F.col("packed"), F.col("room")))
 
-    def gain(acc: Column, word: Column) -> Column:
-        for bucket in buckets_of(word, len(ratios)):
+    def gain(acc: Column, w: Column) -> Column:
+        for bucket in buckets_of(w["word"], w["before"], len(ratios)):
             acc = acc + F.get(table, bucket)
         return acc
 
@@ -128,9 +136,9 @@ def judge_quality(docs: DataFrame, ratios: list[float], text: str = "text", min_
         (F.size(F.split(F.col("t"), f"[{SYMBOLS}]")) - 1).cast("bigint").alias("n_symbols"),
         bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
-        F.when(n > 0, F.aggregate("words", F.lit(0.0), gain) / (2 * n)).otherwise(F.lit(0.0)).alias("ratio"),
+        F.when(n > 0, F.aggregate(paired(F.col("words")), F.lit(0.0), gain) / (3 * n)).otherwise(F.lit(0.0)).alias("ratio"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     result = F.struct(*names, "ratio", failed.alias("base_failed"), (~failed & (F.col("ratio") >= min_ratio)).alias("kept"))
-    return measured.select(*[F.col("row")[c].alias(c) for c in docs.columns], result.alias("quality"))
+    return finished(measured, docs.columns, result, "quality")

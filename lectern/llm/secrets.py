@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.spans import comma_joined, match_spans
+from lectern.llm.spans import comma_joined, finished, match_spans
 
 
 def _any_case(words: str) -> str:
@@ -48,7 +48,7 @@ def _parts(text: Column, kind: str, pattern: str, keep=None) -> Column:
 
 
 def _looks_random(hit: Column) -> Column:
-    return hit.rlike("[0-9]") & hit.rlike("[A-Z]") & hit.rlike("[a-z]") & (F.length(hit) <= 128)
+    return hit.rlike("[0-9]") & hit.rlike("[A-Z]") & hit.rlike("[a-z]")
 
 
 def _role_is(rank: Column, role: str) -> Column:
@@ -93,8 +93,11 @@ def scan_secrets(docs: DataFrame, text: str = "text", scope: int = 200) -> DataF
 
     Spans are in code points, end exclusive. Two parts belong to one scope
     when at most ``scope`` code points lie between them. A weak part that
-    overlaps a certain finding is dropped. A null or empty text has no spans.
-    Repeated rows are scanned each by itself; other columns stay as they are.
+    overlaps a certain finding is dropped; of parts with equal starts the first
+    kind comes first. A null or empty text has no spans, a text of any length is
+    scanned whole, and so is a secret of any length. Repeated rows are scanned
+    each by itself, an empty table stays empty; other columns stay as they are,
+    but one named ``secrets`` is replaced.
     """
     given = F.col(text)
     gate = given.contains("AKIA") | given.rlike(HEX) | given.rlike(ASSIGN) | given.rlike(WEAK_SECRET)
@@ -141,7 +144,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", scope: int = 200) -> DataF
         count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("listed"), "base", "spans",
     )
-    return final.select(*[F.col("row")[c].alias(c) for c in docs.columns], result.alias("secrets"))
+    return finished(final, docs.columns, result, "secrets")
 
 
 def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
@@ -177,7 +180,7 @@ def oracle_sql(scope: int = 200) -> str:
 
     role = "CASE r " + " ".join(f"WHEN {i} THEN '{ROLES[k]}'" for i, k in enumerate(KINDS)) + " END"
     kind = "CASE r " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
-    random = "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]') AND length(hit) <= 128"
+    random = "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]')"
 
     def near(r: str) -> str:
         return f"""EXISTS (SELECT 1 FROM parts o WHERE o.doc_id = p.doc_id AND o.role = '{r}' AND (o.s, o.r, o.e) <> (p.s, p.r, p.e)

@@ -45,6 +45,16 @@ def comma_joined(values: Column) -> Column:
     return F.coalesce(F.array_join(values, ","), F.lit(""))
 
 
+def finished(df: DataFrame, columns: list[str], result: Column, name: str) -> DataFrame:
+    """The columns of the struct ``row`` and a result, worked out once.
+
+    An exploded array of one row, like in ``rows_where``: filters on the result
+    stay above it. A given column with the name of the result is replaced.
+    """
+    one = F.struct(*[F.col("row")[c].alias(c) for c in columns if c != name], result.alias(name))
+    return df.select(F.explode(F.array(one)).alias("row")).select("row.*")
+
+
 def rows_where(df: DataFrame, flag: Column, columns: list[str]) -> DataFrame:
     """These columns of the rows that meet ``flag``.
 
