@@ -10,6 +10,7 @@ from lectern.functions.scores import font_default, hex_rgb, is_noise
 from lectern.functions.text import alnum_only, has_alnum, norm_slide
 from lectern.operators.folding import fold_columns
 from lectern.operators.grouped import with_group_values
+from lectern.operators.stacking import ENTRY_RULE, StackSweep
 
 _CELL = 256
 
@@ -193,42 +194,14 @@ def style_metrics(entries: DataFrame, keys: list[str], split: bool | None = None
     return out.withColumn("text_color_rgb", rgb).drop(*drop)
 
 
-def _median(values: list) -> float:
-    ordered, n = sorted(values), len(values)
-    mid = n // 2
-    return float(ordered[mid]) if n % 2 else (ordered[mid - 1] + ordered[mid]) / 2.0
-
-
-class _Stacks:
-    """Stacked entries of one slide that share a left edge and a size."""
+class _Entries:
+    """Stacks of the entries of one slide."""
 
     def __init__(self) -> None:
-        self.groups: list[dict] = []
-
-    @staticmethod
-    def score(g: dict, x, y, w, h) -> float | None:
-        mid_x = round(_median(g["x"]))
-        mid_h, mid_w = max(1, round(_median(g["h"]))), max(1, round(_median(g["w"])))
-        tall, dx, top = max(mid_h, h), abs(x - mid_x), y - g["last_y"]
-        fits = (
-            dx <= max(18, round(tall * 0.9)) and 0 <= top <= max(34, round(tall * 3.5))
-            and top - g["last_h"] >= -max(6, round(min(mid_h, h) * 0.35)) and 0.45 <= w / mid_w <= 2.4
-        )
-        return float(dx + max(0, top - round(tall * 2.2))) if fits else None
-
-    def __call__(self, x, y, w, h):
-        scored = [(s, n) for n, g in enumerate(self.groups) if (s := self.score(g, x, y, w, h)) is not None]
-        if scored:
-            no = min(scored)[1]
-        else:
-            no = len(self.groups)
-            self.groups.append({"x": [], "w": [], "h": []})
-        g = self.groups[no]
-        g["x"].append(x)
-        g["w"].append(w)
-        g["h"].append(h)
-        g["last_y"], g["last_h"] = y, h
-        return (no + 1,)
+        self.sweep = StackSweep(ENTRY_RULE)
+
+    def __call__(self, x, y, w, h, tallest):
+        return (self.sweep.place(x, y, w, h, 0, tallest),)
 
 
 def stacked_groups(entries: DataFrame, split: bool | None = None) -> DataFrame:
@@ -236,6 +209,8 @@ def stacked_groups(entries: DataFrame, split: bool | None = None) -> DataFrame:
     one = F.lit(1).cast("bigint")
     rows = entries.select("slide_id", "unit_id", "x", "y", F.greatest(one, F.col("w")).alias("w"),
                           F.greatest(one, F.col("h")).alias("h"))
-    grouped = fold_columns(rows, ["slide_id"], ["y", "x", "unit_id"], _Stacks, ["x", "y", "w", "h"], {"group_no": "bigint"})
+    rows = rows.withColumn("__tallest", F.max("h").over(Window.partitionBy("slide_id")))
+    grouped = fold_columns(
+        rows, ["slide_id"], ["y", "x", "unit_id"], _Entries, ["x", "y", "w", "h", "__tallest"], {"group_no": "bigint"}).drop("__tallest")
     sized = with_group_values(grouped, ["slide_id", "group_no"], {"group_size": F.count(F.lit(1))}, split)
     return sized.where(F.col("group_size") >= 2).select("slide_id", "unit_id", "group_no", "group_size")

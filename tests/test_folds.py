@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import memory, ocr, roles, segments, timeline
+from lectern.operators import glossary, memory, ocr, roles, segments, stacking, timeline
 from lectern.operators.scan import OrderedScan
 
 
@@ -274,3 +275,37 @@ def test_repeats_within_a_batch(spark):
     out = memory.translate_with_memory(s, none, terms, model, "de", max_count=2).orderBy("segment_id").collect()
     assert [r.translation_status for r in out] == ["translated", "translated", "translated", "tm_exact"]
     assert out[3].translated_text == "gleich"
+
+
+def test_stacked_groups(spark):
+    rnd = random.Random(4)
+    units = [(s, u, rnd.choice([100, 112, 130, 300]), rnd.randrange(0, 600), rnd.choice([80, 120, 300]), rnd.randrange(14, 40))
+             for s in range(15) for u in range(1, rnd.randrange(3, 25))]
+    df = spark.createDataFrame(units, "slide_id bigint, unit_id bigint, x bigint, y bigint, w bigint, h bigint")
+    got = {(r.slide_id, r.unit_id): (r.group_no, r.group_size) for r in glossary.stacked_groups(df).collect()}
+    want = {}
+    for s in range(15):
+        groups = []
+        for u in sorted((u for u in units if u[0] == s), key=lambda u: (u[3], u[2], u[1])):
+            x, y, w, h = u[2:]
+            options = []
+            for no, g in enumerate(groups):
+                mx, mh, mw = (max(least, round(_median([m[i] for m in g]))) for i, least in ((2, -9999), (5, 1), (4, 1)))
+                tall, down, lap = max(mh, h), y - g[-1][3], y - g[-1][3] - g[-1][5]
+                if (abs(x - mx) <= max(18, round(tall * 0.9)) and 0 <= down <= max(34, round(tall * 3.5)) and lap >= -max(6, round(min(mh, h) * 0.35))
+                        and 0.45 <= w / mw <= 2.4):
+                    options.append((abs(x - mx) + max(0, down - round(tall * 2.2)), no))
+            if options:
+                groups[min(options)[1]].append(u)
+            else:
+                groups.append([u])
+        want.update({(s, m[1]): (no, len(g)) for no, g in enumerate(groups, start=1) if len(g) >= 2 for m in g})
+    assert got == want
+
+
+@pytest.mark.parametrize("rule", [stacking.LIST_RULE, stacking.ENTRY_RULE])
+def test_a_slide_of_very_many_lines(rule):
+    rnd = random.Random(2)
+    sweep, begun = stacking.StackSweep(rule), time.monotonic()
+    numbers = [sweep.place(rnd.randrange(0, 4000), y // 20, 100, rnd.randrange(14, 30), 720, 30) for y in range(100_000)]
+    assert len(numbers) == 100_000 and time.monotonic() - begun < 60
