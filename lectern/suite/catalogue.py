@@ -193,13 +193,14 @@ def q_view(t):
 
 
 @query("resolve_image_mode", ("WITH" + ASSETS + "," + OVERRIDES + "," + VIEW + """
-SELECT run_id, event_id, dm AS default_image_mode FROM vw WHERE mode IS NULL"""))
+SELECT run_id, event_id, dm AS default_image_mode, CASE WHEN mode = 'slide' AND hs THEN 'slide' WHEN mode = 'full' AND hf THEN 'full' ELSE dm END AS image_mode FROM vw"""))
 def q_mode(t):
     a = _assets(t).groupBy("run_id", "event_id").agg(
         F.bool_or(F.col("directory") == "slide").alias("s"), F.bool_or(F.col("directory") == "full").alias("f"))
-    o = runs.usable_overrides(_overrides(t)).select("run_id", "event_id")
-    default, _mode = runs.resolve_image_mode(F.col("event_id"), F.col("s"), F.col("f"), F.lit(None).cast("string"))
-    return a.join(o, ["run_id", "event_id"], "left_anti").select("run_id", "event_id", default.alias("default_image_mode"))
+    o = runs.usable_overrides(_overrides(t)).select("run_id", "event_id", "mode")
+    default, mode = runs.resolve_image_mode(F.col("event_id"), F.col("s"), F.col("f"), F.col("mode"))
+    return a.join(o, ["run_id", "event_id"], "left").select(
+        "run_id", "event_id", default.alias("default_image_mode"), mode.alias("image_mode"))
 
 
 @query("slide_metadata", """
@@ -246,7 +247,7 @@ def q_attempt(t):
 
 
 @query("provider_gate", """
-WITH c AS (SELECT conv_id, COUNT(*) FILTER (WHERE role = 'assistant' AND length(text) > 150) AS n FROM conversations GROUP BY 1)
+WITH c AS (SELECT conv_id, COUNT(*) FILTER (WHERE trim(text) <> '') AS n FROM conversations GROUP BY 1)
 SELECT user_id AS run_id, COALESCE(n, 0) AS segment_count,
        CASE WHEN user_id % 4 = 0 THEN CASE user_id % 3 WHEN 0 THEN 'fallback_unavailable' WHEN 1 THEN 'fallback_unavailable' ELSE 'failed' END
             WHEN COALESCE(n, 0) = 0 THEN 'fallback_empty' ELSE 'kept' END AS decision
@@ -256,9 +257,7 @@ def q_gate(t):
     ids = t.base("events").select(F.col("user_id").alias("run_id")).distinct().withColumns({
         "exit_code": F.when(F.col("run_id") % 4 == 0, 1).otherwise(0),
         "message": F.when(m == 0, "rpc permission_denied").when(m == 1, "API has not been used before or it is disabled").otherwise("timeout")})
-    spoken = (F.col("role") == "assistant") & (F.length("text") > 150)
-    s = t.base("conversations").select(F.col("conv_id").alias("run_id"), F.when(spoken, F.col("text")).otherwise(" ").alias("text"),
-                                       F.lit(None).cast("string").alias("translated_text"))
+    s = t.base("conversations").select(F.col("conv_id").alias("run_id"), "text", F.lit(None).cast("string").alias("translated_text"))
     return runs.provider_gate(ids, s).select("run_id", "segment_count", "decision")
 
 
@@ -385,18 +384,22 @@ def q_segments(t):
 
 
 @query("read_slide_map", """
-SELECT l_orderkey AS run_id, l_linenumber * 3 AS event_id, COUNT(*) AS n FROM lineitem WHERE l_partkey % 6 <> 0 GROUP BY 1, 2""")
+SELECT l_orderkey AS run_id, l_linenumber * 3 AS event_id, l_linenumber * 1500 AS slide_start_ms, l_linenumber * 1500 + l_partkey % 1000 AS slide_end_ms,
+       l_suppkey % 4 = 0 AS is_no_slide, CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey END AS merge_target_event_id, COUNT(*) AS n
+FROM lineitem WHERE l_partkey % 6 <> 0 GROUP BY ALL""")
 def q_map(t):
     """Lenient event rows: bad event ids count as none."""
     from lectern import schemas
 
     e = F.struct(
         F.when(F.col("l_partkey") % 6 == 0, "x").otherwise((F.col("l_linenumber") * 3).cast("string")).alias("event_id"),
-        F.lit(1.5).alias("slide_start"), F.lit(2.5).alias("slide_end"), F.lit("False").alias("is_no_slide"), F.lit("None").alias("merge_target_event_id"))
+        (F.col("l_linenumber") * 1.5).alias("slide_start"), (F.col("l_linenumber") * 1.5 + (F.col("l_partkey") % 1000) / 1000.0).alias("slide_end"),
+        F.when(F.col("l_suppkey") % 4 == 0, "True").otherwise("False").alias("is_no_slide"),
+        F.when(F.col("l_suppkey") % 3 == 0, F.col("l_suppkey").cast("string")).otherwise("None").alias("merge_target_event_id"))
     docs = t.base("lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.to_json(F.struct(F.collect_list(e).alias("events"))).alias("json"))
     payload = docs.select("run_id", F.from_json("json", schemas.SLIDE_MAP_JSON).alias("j")).select("run_id", "j.*")
     numbered = readers.number_slides(readers.parse_slide_map(payload), t.by_order)
-    return numbered.groupBy("run_id", "event_id").agg(F.count(F.lit(1)).alias("n"))
+    return numbered.groupBy("run_id", "event_id", "slide_start_ms", "slide_end_ms", "is_no_slide", "merge_target_event_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("read_alignment", with_fixtures("""

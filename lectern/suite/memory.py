@@ -54,11 +54,9 @@ def q_tokens(t):
 
 @query("list_markers", with_fixtures(r"""
 SELECT doc_id, line_no, k, word, word IN ('•', '●', '◦', '▪', '■', '▸', '▹', '►', '‣', '∙', '·', '○', '◯', '◆', '◇', '*', '-', '–', '—') AS is_marker
-FROM (SELECT doc_id, line_no, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) AS k FROM text_lines_fx) t
-WHERE length(word) <= 2""", "text_lines_fx"))
+FROM (SELECT doc_id, line_no, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) AS k FROM text_lines_fx) t""", "text_lines_fx"))
 def q_markers(t):
-    words = t.text_lines().select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("k", "word")).where(
-        F.length("word") <= 2)
+    words = t.text_lines().select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("k", "word"))
     return words.select("doc_id", "line_no", (F.col("k") + 1).cast("bigint").alias("k"), "word",
                         text.is_list_marker(F.col("word")).alias("is_marker"))
 
@@ -245,10 +243,10 @@ def q_batches(t):
 
 
 def _termbase(t):
-    """Lines of every fiftieth document as terms of a file, with unusable rows among them."""
+    """All lines as terms of a file, with unusable rows among them."""
     d = F.col("doc_id")
     lang = F.element_at(F.array(*[F.lit(v) for v in ("de", "*", "", "fr")]), (F.col("line_no") % 4 + 1).cast("int"))
-    return t.text_lines().where(d % 50 == 0).select(
+    return t.text_lines().select(
         (d * 100000 + F.col("line_no")).alias("pos"), F.col("line").alias("source_text"), lang.alias("target_language"),
         F.when(F.col("line_no") % 9 == 0, "").otherwise(F.concat(F.lit("TB:"), F.col("line"))).alias("target_text"),
         F.when(F.col("line_no") % 2 == 0, "yes").otherwise("0").alias("case_sensitive"))
@@ -257,7 +255,7 @@ def _termbase(t):
 TERMS = """
 tb AS (SELECT doc_id * 100000 + line_no AS pos, trim(line) AS source_text, ['de', '*', '', 'fr'][line_no % 4 + 1] AS lang,
               CASE WHEN line_no % 9 = 0 THEN '' ELSE trim('TB:' || line) END AS target_text, line_no % 2 = 0 AS case_sensitive
-       FROM text_lines_fx WHERE doc_id % 50 = 0),
+       FROM text_lines_fx),
 terms AS (SELECT pos, source_text, CASE WHEN lang = '' THEN 'de' ELSE lang END AS target_language, target_text, case_sensitive, -length(source_text) AS neg_length
           FROM tb WHERE source_text <> '' AND target_text <> '' AND lang IN ('de', '*', ''))"""
 
@@ -366,13 +364,14 @@ def q_translated(t):
 
 
 @query("event_status", with_fixtures("""
-SELECT doc_id, CASE WHEN hits > 0 AND n = hits THEN 'tm_exact' WHEN hits > 0 THEN 'translated_with_tm' WHEN terms > 0 THEN 'translated_with_termbase' ELSE 'translated' END AS status
-FROM (SELECT doc_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE line_no % 3 = 1) AS hits, SUM(line_no % 2) AS terms FROM text_lines_fx WHERE line_no > 1 GROUP BY 1) t""", "text_lines_fx"))
+SELECT doc_id, CASE WHEN doc_id % 11 = 5 THEN 'skipped_empty' WHEN doc_id % 7 = 3 THEN 'error' WHEN hits > 0 AND n = hits THEN 'tm_exact' WHEN hits > 0 THEN 'translated_with_tm' WHEN terms > 0 THEN 'translated_with_termbase' ELSE 'translated' END AS status
+FROM (SELECT doc_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE line_no % 3 = 1) AS hits, SUM(line_no % 2) AS terms FROM text_lines_fx GROUP BY 1) t""", "text_lines_fx"))
 def q_event_status(t):
-    g = t.text_lines().where("line_no > 1").groupBy("doc_id").agg(
+    g = t.text_lines().groupBy("doc_id").agg(
         F.count_if(F.col("line_no") % 3 == 1).alias("hits"), F.count_if(F.col("line_no") % 3 != 1).alias("new"),
         F.sum(F.col("line_no") % 2).alias("terms"))
-    return g.select("doc_id", memory.event_status(F.lit("x"), F.lit(False), F.col("hits"), F.col("new"), F.col("terms")).alias("status"))
+    text_, failed = F.when(F.col("doc_id") % 11 == 5, " ").otherwise("x"), F.col("doc_id") % 7 == 3
+    return g.select("doc_id", memory.event_status(text_, failed, F.col("hits"), F.col("new"), F.col("terms")).alias("status"))
 
 
 @query("glossary_lines", with_fixtures("""

@@ -70,11 +70,12 @@ def q_proportional(t):
 
 @query("choose_alignment")
 def q_choose(t):
-    """Word or proportional timing by a text similarity that SQL does not have; tested against a plain loop."""
+    """Word or proportional timing by a text similarity that SQL does not have: what is heard is the text, other vowels, or the text backwards."""
     rows = _weighted(t).drop("weight", "total_words")
     text = rows.groupBy(*speech.CHUNK).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
         "segment_id", "text"))), lambda p: p["text"]), " ").alias("chunk_text"))
-    heard = F.when(F.col("chunk_index") % 2 == 0, F.col("chunk_text")).otherwise(F.substring("chunk_text", 1, 60))
+    kind = F.col("chunk_index") % 3
+    heard = F.when(kind == 0, F.col("chunk_text")).when(kind == 1, F.translate("chunk_text", "ao", "oa")).otherwise(F.reverse("chunk_text"))
     rows = rows.join(text.withColumn("asr_text", heard), speech.CHUNK).withColumn("tts_text", F.col("text"))
     return speech.choose_alignment(rows, _recognized(t), split=t.by_conversation)
 
@@ -192,16 +193,17 @@ def q_candidates(t):
 
 
 @query("exact_phrase", with_fixtures(FLAGSHIP + "," + SLIDES + "," + CAND + """,
-g AS (SELECT *, LEAD(normalized, 1) OVER w AS n1, LEAD(normalized, 2) OVER w AS n2, MIN(word_idx) OVER (PARTITION BY video_id, slide_index) AS m FROM cw WINDOW w AS (PARTITION BY video_id, slide_index ORDER BY word_idx)),
-ph AS (SELECT video_id, slide_index, normalized AS p0, n1 AS p1, n2 AS p2 FROM g WHERE word_idx = m + slide_index % 40 AND n2 IS NOT NULL)
-SELECT g.video_id, g.slide_index, MIN(word_idx) AS start_word_index, MIN(word_idx) + 2 AS end_word_index
-FROM g JOIN ph ON ph.video_id = g.video_id AND ph.slide_index = g.slide_index AND normalized = p0 AND n1 = p1 AND n2 = p2 GROUP BY 1, 2""", *SLIDE_FX, "words_fx"))
+g AS (SELECT video_id, slide_index, 1 + slide_index % 8 AS n, list(normalized ORDER BY word_idx) AS ws, MIN(word_idx) AS m FROM cw GROUP BY video_id, slide_index),
+ph AS (SELECT *, list_slice(ws, slide_index % 40 + 1, slide_index % 40 + n) AS p FROM g),
+places AS (SELECT *, unnest(range(1, len(ws) - n + 2)) AS k FROM ph WHERE len(p) = n)
+SELECT video_id, slide_index, m + MIN(k) - 1 AS start_word_index, m + MIN(k) - 1 + n - 1 AS end_word_index FROM places WHERE list_slice(ws, k, k + n - 1) = p GROUP BY video_id, slide_index, m, n""", *SLIDE_FX, "words_fx"))
 def q_exact(t):
     cand = staged(timeline.candidate_words(_slides(t), t.alignment(), t.words()))
+    n = 1 + F.col("slide_index") % 8
     first = cand.groupBy(*timeline.SLIDE).agg((F.min("word_idx") + F.col("slide_index") % 40).alias("a"))
-    picked = cand.join(first, timeline.SLIDE).where("word_idx BETWEEN a AND a + 2").groupBy(*timeline.SLIDE).agg(
+    picked = cand.join(first, timeline.SLIDE).where(F.col("word_idx").between(F.col("a"), F.col("a") + n - 1)).groupBy(*timeline.SLIDE).agg(
         F.array_sort(F.collect_list(F.struct("word_idx", "normalized"))).alias("ws"))
-    phrases = picked.where(F.size("ws") == 3).select(*timeline.SLIDE, F.transform("ws", lambda w: w["normalized"]).alias("tokens"))
+    phrases = picked.where(F.size("ws") == n).select(*timeline.SLIDE, F.transform("ws", lambda w: w["normalized"]).alias("tokens"))
     return timeline.exact_phrases(phrases, cand)
 
 
