@@ -15,6 +15,7 @@ from lectern import schemas
 from lectern.functions.casts import bool_strict, int_or
 from lectern.functions.text import collapse, norm_token, numbered, parse_ids, translate_code
 from lectern.functions.times import to_ms
+from lectern.sources.lines import number_lines
 
 RUN_ID = r"(\d{8}_\d{6}|\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})"
 VIDEO_SUFFIXES = (".mp4", ".mov", ".mkv", ".avi", ".webm", ".m4v")
@@ -66,19 +67,22 @@ def read_slide_changes(spark: SparkSession, path: str) -> DataFrame:
                      to_ms(F.col("time_sec")).alias("time_ms"), "timecode")
 
 
-def _frames(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return _with_run(
+def _frames(spark: SparkSession, path: str, schema: str, place: str) -> DataFrame:
+    rows = (
         spark.read.schema(schema).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
         .option("enforceSchema", True).option("recursiveFileLookup", True).csv(path, header=True))
+    numbered_rows = number_lines(rows, place).withColumn("run_id", run_of_path(F.col("file"))).drop("file")
+    return numbered_rows.withColumn(place, F.col(place) - 1)
 
 
 def read_frame_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Frame runs in file order (their first frames ascend)."""
-    return _frames(spark, path, schemas.FRAME_RUNS_CSV)
+    """Frame runs with ``seg_idx``, their place in the file from 0."""
+    return _frames(spark, path, schemas.FRAME_RUNS_CSV, "seg_idx")
 
 
 def read_transitions(spark: SparkSession, path: str) -> DataFrame:
-    return _frames(spark, path, schemas.TRANSITIONS_CSV)
+    """Transitions with ``row_idx``, their place in the file from 0."""
+    return _frames(spark, path, schemas.TRANSITIONS_CSV, "row_idx")
 
 
 def parse_slide_map(payload: DataFrame) -> DataFrame:
@@ -108,9 +112,9 @@ def read_slide_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_termbase(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a termbase file; ``pos`` is their place in it (one file is one partition)."""
+    """Rows of termbase files; ``pos`` is their place, by file name and then line, whatever the partitions."""
     rows = spark.read.schema(schemas.TERMBASE_CSV).csv(path, header=True, multiLine=True)
-    return rows.withColumn("pos", F.monotonically_increasing_id())
+    return number_lines(rows, "pos", whole=True).drop("file")
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
@@ -166,16 +170,25 @@ def parse_config(lines: DataFrame) -> DataFrame:
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
-    lines = _with_run(spark.read.option("recursiveFileLookup", True).text(path)).withColumnRenamed("value", "line")
-    return parse_config(lines.withColumn("line_no", F.monotonically_increasing_id()))
+    """Settings with ``line_no``, their line in the file; of equal keys the last line counts."""
+    lines = number_lines(spark.read.option("recursiveFileLookup", True).text(path).withColumnRenamed("value", "line"))
+    return parse_config(lines.withColumn("run_id", run_of_path(F.col("file"))).drop("file"))
 
 
 def read_step_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Log lines of runs; a file is read in one piece, so ids ascend with its lines."""
-    reader = spark.readStream if stream else spark.read
-    lines = reader.option("recursiveFileLookup", True).text(path).select(
-        "value", run_of_path(F.col("_metadata.file_path")).alias("run_id"))
-    return lines.select("run_id", F.col("value").alias("line"))
+    """Log lines of runs with ``line_no`` from 1; a run has one log file.
+
+    A stream takes each file as one row, since its splits come without an order
+    among them; in a batch a file may have any number of splits.
+    """
+    reader = (spark.readStream if stream else spark.read).option("recursiveFileLookup", True)
+    run = run_of_path(F.col("file")).alias("run_id")
+    if not stream:
+        return number_lines(reader.text(path)).select(run, "line_no", F.col("value").alias("line"))
+    whole = reader.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    ended = F.regexp_replace("value", r"\r?\n$", "")
+    lines = whole.select("file", F.posexplode(F.split(ended, r"\r?\n")).alias("at", "line"))
+    return lines.select(run, (F.col("at") + 1).cast("bigint").alias("line_no"), "line")
 
 
 # -- file listings ------------------------------------------------------------------

@@ -93,10 +93,7 @@ def effective_status(runs: DataFrame, live: DataFrame, recorded: DataFrame) -> D
         "run_id", *[F.coalesce(chosen[f], blank).alias(f) for f in fields])
 
 
-OUTPUT = StructType([
-    StructField("run_id", LongType()), StructField("step_id", StringType()), StructField("status", StringType()),
-    StructField("detail", StringType()), StructField("touch_line", LongType()),
-])
+OUTPUT = ["run_id", "step_id", "status", "detail", "touch_line"]
 _STEP_KEY = StructType([StructField("step_id", StringType())])
 _STEP_VALUE = StructType([
     StructField("status", StringType()), StructField("status_line", LongType()), StructField("detail", StringType()),
@@ -138,7 +135,7 @@ class StepProcessor(StatefulProcessor):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         if touched:
             yield pd.DataFrame(
-                [(key[0], s, e[0], e[2], e[4]) for s, e in touched.items()], columns=[f.name for f in OUTPUT.fields])
+                [(key[0], s, e[0], e[2], e[4]) for s, e in touched.items()], columns=OUTPUT)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.steps.clear()
@@ -155,5 +152,6 @@ def step_state_stream(lines: DataFrame, idle_ms: int = 24 * 3600 * 1000) -> Data
     run has been idle, which is the only rule the batch form does not have.
     """
     m = parse_markers(lines).where("step_known").drop("step_known")
+    fields = [m.schema["run_id"], *[StructField(c, StringType()) for c in OUTPUT[1:4]], StructField(OUTPUT[4], LongType())]
     return m.groupBy("run_id").transformWithStateInPandas(
-        StepProcessor(idle_ms), OUTPUT, "Update", "ProcessingTime" if idle_ms > 0 else "None")
+        StepProcessor(idle_ms), StructType(fields), "Update", "ProcessingTime" if idle_ms > 0 else "None")

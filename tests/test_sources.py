@@ -37,7 +37,7 @@ def test_transcripts_and_maps(spark, tmp_path):
 
 def test_tables(spark, tmp_path):
     p = _put(tmp_path, "runs.csv", "Slide No, FrameID0, FrameID1\n1, 1, 20\n-1, 21, 30\n")
-    assert [tuple(r)[:3] for r in readers.read_frame_runs(spark, p).collect()] == [(1, 1, 20), (-1, 21, 30)]
+    assert [(r.seg_idx, *tuple(r)[:3]) for r in readers.read_frame_runs(spark, p).orderBy("seg_idx").collect()] == [(0, 1, 1, 20), (1, -1, 21, 30)]
     p = _put(tmp_path, "tr.csv", "Transition No, FrameID0, FrameID1\n1, 21, 22\n")
     assert readers.read_transitions(spark, p).first()[:3] == (1, 21, 22)
     p = _put(tmp_path, "changes.csv", "event_id,transition_no,frame_id_0,frame_id_1,event_frame,time_sec,timecode\n1,0,1,20,4,0.12,00:00:00.120\n")
@@ -54,6 +54,73 @@ def test_tables(spark, tmp_path):
     assert seg.count() == 1 and words.first().normalized == "ah" and words.first().end_ms == 1000
 
 
+def _splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0" if size < 10_000 else "4194304")
+
+
+def test_lines_keep_their_numbers_in_any_splits(spark, tmp_path):
+    runs = {f"2024-05-0{n}_07-08-09": [f"line {i} of {n}" if i % 7 else "" for i in range(1, 400 + n)] for n in range(1, 4)}
+    for run, lines in runs.items():
+        (tmp_path / run / "log").mkdir(parents=True)
+        (tmp_path / run / "log" / "steps.txt").write_text("\n".join(lines) + "\n")
+    want = sorted((run, i, line) for run, lines in runs.items() for i, line in enumerate(lines, start=1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (300, 10_000_000):
+            _splits(spark, size)
+            got = readers.read_step_log(spark, str(tmp_path))
+            assert (got.rdd.getNumPartitions() > 10) == (size == 300)
+            assert sorted(map(tuple, got.collect())) == want
+    finally:
+        _splits(spark, int(before.rstrip("b")))
+
+
+def test_places_in_files_do_not_depend_on_splits(spark, tmp_path):
+    rows = "".join(f"{i % 5 - 1}, {i * 10 + 1}, {i * 10 + 10}\n" for i in range(300))
+    p = _put(tmp_path, "many.csv", "Slide No, FrameID0, FrameID1\n" + rows)
+    for name in ("b", "a"):
+        _put(tmp_path, f"tb/{name}.csv", "source_text,target_language,target_text,case_sensitive\n" + "".join(f"{name}{i},de,x,1\n" for i in range(50)))
+    c = _put(tmp_path, "c.env", "\n".join(f"K{i % 3}={i}" for i in range(300)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (250, 10_000_000):
+            _splits(spark, size)
+            runs = sorted((r.seg_idx, r.f0, r.run_id) for r in readers.read_frame_runs(spark, p).collect())
+            assert runs == [(i, i * 10 + 1, RUN) for i in range(300)]
+            terms = [r.source_text for r in readers.read_termbase(spark, str(tmp_path / RUN / "tb")).orderBy("pos").collect()]
+            assert terms == [f"{n}{i}" for n in "ab" for i in range(50)]
+            last = {r.key: r.value for r in readers.read_config(spark, c).orderBy("line_no").collect()}
+            assert last == {"K0": "297", "K1": "298", "K2": "299"}
+    finally:
+        _splits(spark, int(before.rstrip("b")))
+
+
+def test_log_files_to_step_state(spark, tmp_path):
+    runs = ("20240309_140500", RUN)
+    for n, run in enumerate(runs):
+        (tmp_path / "in" / run).mkdir(parents=True)
+        text = ["noise", "@@STEP START transcription", "", "@@STEP DETAIL transcription part 1"] * 20 + ["@@STEP DONE transcription ok", "@@STEP START translate"][: n + 1]
+        (tmp_path / "in" / run / "steps.log").write_text("\n".join(text))
+    batch = {(r.run_id, r.step_id): r for r in steps.step_state(readers.read_step_log(spark, str(tmp_path / "in"))).collect()}
+    assert {k[0] for k in batch} == set(runs)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        lines = readers.read_step_log(spark, str(tmp_path / "in"), stream=True)
+        q = (
+            steps.step_state_stream(lines, idle_ms=0).writeStream.outputMode("update").format("memory").queryName("file_updates")
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        q.awaitTermination(300)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    live = {(r.run_id, r.step_id): r for r in spark.table("file_updates").collect()}
+    assert {k: tuple(r) for k, r in live.items()} == {k: (r.run_id, r.step_id, r.status, r.detail, r.touch_line) for k, r in batch.items()}
+
+
 def test_binary_headers_and_listings(spark, tmp_path):
     _put(tmp_path, "img/a.png", b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480) + b"rest")
     got = {r.path.rsplit("/", 1)[1]: r for r in readers.scan_png(spark, str(tmp_path / RUN / "img")).collect()}
