@@ -1,7 +1,7 @@
 """Ordered per-key computations that also work when one key is very large.
 
-``OrderedScan`` gathers running sums, running maxima, neighbours and row
-numbers over ``keys`` in the order of ``order``.  For ordinary keys it is one
+``OrderedScan`` gathers running sums, running maxima, max-plus recurrences,
+neighbours and row numbers over ``keys`` in the order of ``order``.  For ordinary keys it is one
 window.  With ``split=True`` the rows are range-partitioned on keys + order, so
 a hot key is spread over many tasks; each piece is scanned on its own and the
 values carried from piece to piece come from a table with at most two rows per
@@ -37,6 +37,19 @@ def _reversed(order: Sequence[str]) -> list[Column]:
     return [F.desc(c) for c in order]
 
 
+_PAIRS = ("max_plus", "max_plus_before")
+
+
+def _pair_value(kind: str, pair: Column, total: Column, w, entry: Column) -> Column:
+    """A max-plus recurrence where ``total`` is the running sum of its first parts and ``entry`` what came in.
+
+    x' = max(x + a, b) is the pair (a, b), and pairs compose: the running sum of
+    the a, and the largest of the b less the sum up to them.
+    """
+    reached = F.max(pair["b"] - total).over(w.rowsBetween(*(_UPTO if kind == "max_plus" else _BEFORE)))
+    return (total if kind == "max_plus" else total - pair["a"]) + F.greatest(entry, reached)
+
+
 def _window_value(kind: str, value: Column, w, back) -> Column:
     """``back`` is the window in reverse order: looking ahead over it stays linear."""
     if kind == "row_number":
@@ -109,6 +122,14 @@ class OrderedScan:
     def whole_max(self, name: str, value) -> OrderedScan:
         return self._add("whole_max", name, value)
 
+    def max_plus(self, name: str, a, b) -> OrderedScan:
+        """x = max(x before + a, b), from 0; a null b adds nothing."""
+        return self._add("max_plus", name, F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")))
+
+    def max_plus_before(self, name: str, a, b) -> OrderedScan:
+        """The value of ``max_plus`` before this row."""
+        return self._add("max_plus_before", name, F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")))
+
     def apply(self, split: bool | None = None) -> DataFrame:
         if split is None:
             split = has_hot_key(self.df.select(*self.keys), self.keys)
@@ -117,7 +138,16 @@ class OrderedScan:
     def _plain(self) -> DataFrame:
         keyed = Window.partitionBy(*self.keys)
         w, back = keyed.orderBy(*self.order), keyed.orderBy(*_reversed(self.order))
-        return self.df.withColumns({i.name: _window_value(i.kind, i.value, w, back) for i in self.items})
+        pairs = {n: i for n, i in enumerate(self.items) if i.kind in _PAIRS}
+        df = self.df.withColumns({f"__scan_p{n}": i.value for n, i in pairs.items()}) if pairs else self.df
+        if pairs:
+            df = df.withColumns({f"__scan_s{n}": F.sum(F.col(f"__scan_p{n}")["a"]).over(w.rowsBetween(*_UPTO)) for n in pairs})
+        zero = F.lit(0).cast("bigint")
+        values = {
+            i.name: _pair_value(i.kind, F.col(f"__scan_p{n}"), F.col(f"__scan_s{n}"), w, zero) if n in pairs else _window_value(i.kind, i.value, w, back)
+            for n, i in enumerate(self.items)
+        }
+        return df.withColumns(values).drop(*[f"__scan_{c}{n}" for n in pairs for c in "ps"])
 
     def _split(self) -> DataFrame:
         spark = self.df.sparkSession
@@ -135,11 +165,15 @@ class OrderedScan:
         local, back = piece.orderBy(*self.order), piece.orderBy(*_reversed(self.order))
         at = F.struct(*self.order)
 
+        summed = {f"{n}_s": F.sum(F.col(n)["a"]).over(local.rowsBetween(*_UPTO)) for n, i in zip(names, self.items) if i.kind in _PAIRS}
+        rows = rows.withColumns(summed) if summed else rows
         aggs: list[Column] = []
         for n, i in zip(names, self.items):
             v = F.col(n)
             known = F.when(v.isNotNull(), at)
-            if i.kind == "row_number":
+            if i.kind in _PAIRS:
+                aggs.append(F.struct(F.sum(v["a"]).alias("a"), F.max(v["b"] - F.col(f"{n}_s")).alias("b")).alias(n))
+            elif i.kind == "row_number":
                 aggs.append(F.count(F.lit(1)).alias(n))
             elif i.kind in ("sum", "total"):
                 aggs.append(F.sum(v).alias(n))
@@ -159,7 +193,11 @@ class OrderedScan:
         carried: list[Column] = []
         for n, i in zip(names, self.items):
             v = F.col(n)
-            if i.kind in ("row_number", "sum"):
+            if i.kind in _PAIRS:
+                # what came in at this piece: sums of the pieces before it, and the furthest any of them reached
+                c = F.coalesce(F.col(f"{n}_b"), F.lit(0)) + F.greatest(
+                    F.lit(0), F.max(v["b"] - F.coalesce(F.col(f"{n}_b"), F.lit(0))).over(by_key.rowsBetween(*_BEFORE)))
+            elif i.kind in ("row_number", "sum"):
                 c = F.sum(v).over(by_key.rowsBetween(*_BEFORE))
             elif i.kind == "total":
                 c = F.sum(v).over(whole)
@@ -179,6 +217,7 @@ class OrderedScan:
         carry = (
             rows.groupBy(*self.keys, _PIECE)
             .agg(*aggs)
+            .select("*", *[F.sum(F.col(n)["a"]).over(by_key.rowsBetween(*_BEFORE)).alias(f"{n}_b") for n, i in zip(names, self.items) if i.kind in _PAIRS])
             .select(*self.keys, _PIECE, F.count(F.lit(1)).over(whole).alias("__scan_n"), *carried)
             # keys inside one piece carry nothing: what is left has <= 2 rows per piece
             .where(F.col("__scan_n") > 1)
@@ -186,8 +225,11 @@ class OrderedScan:
         )
         out = {}
         for n, i in zip(names, self.items):
-            own = _window_value(i.kind, F.col(n), local, back)
-            out[f"{n}_l"] = own
+            if i.kind in _PAIRS:
+                upto = _UPTO if i.kind == "max_plus" else _BEFORE
+                out[f"{n}_l"] = F.max(F.col(n)["b"] - F.col(f"{n}_s")).over(local.rowsBetween(*upto))
+            else:
+                out[f"{n}_l"] = _window_value(i.kind, F.col(n), local, back)
         scanned = rows.withColumns(
             {
                 **out,
@@ -204,7 +246,10 @@ class OrderedScan:
         final = {}
         for n, i in zip(names, self.items):
             own, c = F.col(f"{n}_l"), F.col(f"{n}_c")
-            if i.kind in ("row_number", "sum"):
+            if i.kind in _PAIRS:
+                total = F.col(f"{n}_s") - (F.lit(0) if i.kind == "max_plus" else F.col(n)["a"])
+                v = total + F.greatest(F.coalesce(c, F.lit(0).cast("bigint")), own)
+            elif i.kind in ("row_number", "sum"):
                 v = F.when(c.isNull(), own).otherwise(F.coalesce(own, F.lit(0)) + c)
             elif i.kind in ("total", "whole_max"):
                 v = F.coalesce(c, own)

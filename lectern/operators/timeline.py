@@ -285,9 +285,8 @@ def timeline_master(
     """Slides over one continuous speech track: end = max(previous end + a, b).
 
     ``b`` is the next slide's match, else the own match, the projected slide end
-    or the audio window.  The recurrence is a max-plus scan: with A the running
-    sum of a, end = A + max(0, running max of (b - A)).  ``slides`` carries
-    ``total_ms``; ``projected``: keys, projected_ms.
+    or the audio window.  The recurrence is one max-plus scan.  ``slides``
+    carries ``total_ms``; ``projected``: keys, projected_ms.
     """
     c = F.col
     zero = F.lit(0).cast("bigint")
@@ -319,15 +318,8 @@ def timeline_master(
         .when(c("__next").isNotNull(), video(c("__next"))).when(own_end.isNotNull(), own_end)
         .when(projected_end.isNotNull(), video(projected_end)).cast("bigint")
     )
-    first = OrderedScan(scanned.withColumns({"__a": a, "__b": b}), ["video_id"], ["slide_index"]).running_sum("__a_sum", "__a").apply(split)
-    ends = (
-        OrderedScan(first.withColumn("__d", c("__b") - c("__a_sum")), ["video_id"], ["slide_index"])
-        .running_max("__d_max", "__d").apply(split)
-        .withColumn("video_end_ms", c("__a_sum") + F.greatest(zero, F.coalesce("__d_max", zero)))
-    )
     timed = (
-        OrderedScan(ends, ["video_id"], ["slide_index"]).lag("__before", "video_end_ms").apply(split)
-        .withColumn("video_start_ms", F.coalesce("__before", zero))
+        OrderedScan(scanned, ["video_id"], ["slide_index"]).max_plus("video_end_ms", a, b).max_plus_before("video_start_ms", a, b).apply(split)
     )
     whole = c("match_start_ms").isNotNull()
     clip0 = F.when(silent, zero).when(whole, video(c("match_start_ms"))).when(

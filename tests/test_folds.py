@@ -39,6 +39,23 @@ def test_scan_against_a_loop(spark):
         assert sorted(map(tuple, got), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
 
 
+def test_max_plus_scan_against_a_loop(spark):
+    rnd = random.Random(6)
+    data = [(rnd.choice([0, 1, None]), n, rnd.randrange(0, 9), rnd.choice([None, *range(0, 900, 40)])) for n in range(300)]
+    df = spark.createDataFrame(data, "k bigint, o bigint, a bigint, b bigint").repartition(5)
+    want = []
+    for k in (0, 1, None):
+        x = 0
+        for _k, o, a, b in sorted((r for r in data if r[0] == k), key=lambda r: r[1]):
+            before, x = x, max(x + a, b if b is not None else 0)
+            want.append((o, before, x))
+    for split in (False, True):
+        scan = OrderedScan(df, ["k"], ["o"]).max_plus("x", F.col("a"), F.col("b")).max_plus_before("before", F.col("a"), F.col("b")).row_number("n")
+        got = scan.apply(split)
+        assert set(got.columns) == {"k", "o", "a", "b", "x", "before", "n"}
+        assert sorted((r.o, r.before, r.x) for r in got.collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pack(spark, seed):
     rnd = random.Random(seed)
