@@ -297,34 +297,24 @@ def translate_with_memory(
     """
     chunked = segments.join(pack_chunks(segments, max_count, max_chars), ["video_id", "segment_id"], "left")
     looked = tm_lookup(chunked.withColumn("target_language", F.lit(language)), entries, "text")
-    # later chunks find what the first chunk with this text wrote
-    missed = ~F.col("tm_exact_hit") & F.col("chunk_index").isNotNull()
-    marked = looked.withColumn("__missed", missed)
-    keys = ["video_id", "source_text_norm"]
-    firsts = marked.where("__missed").groupBy(*keys).agg(F.min("chunk_index").alias("__first"))
-    staged = marked.join(firsts, keys, "left").withColumn(
-        "__later", F.col("__missed") & (F.col("chunk_index") > F.col("__first")))
-    pending = staged.where(F.col("__missed") & ~F.col("__later")).select(
-        "video_id", "segment_id", "source_text_norm", "text", *[c for c in ("start_ms", "end_ms")])
-    texts = protect_terms(pending.select("text").distinct(), "text", terms)
+    marked = looked.withColumn("__missed", ~F.col("tm_exact_hit") & F.col("chunk_index").isNotNull())
+    texts = protect_terms(marked.where("__missed").select("text").distinct(), "text", terms)
     # one row for each text: of several translations the first in text order
     given = translations.where(F.col("target_language") == language).groupBy(F.col("protected_text").alias("__p")).agg(
         F.min("translated_text").alias("__t"))
     restored, lost = restore_terms(F.col("__t"), F.col("protected.keys"), F.col("protected.targets"))
     done = texts.join(given, F.col("protected.text") == F.col("__p"), "left").select(
-        "text", "termbase_hits", F.when(~lost, restored).alias("new_text"), F.coalesce(lost, F.lit(False)).alias("lost_terms"))
-    fresh = pending.join(done, "text")
+        F.col("text").alias("__text"), "termbase_hits", F.when(~lost, restored).alias("new_text"), F.coalesce(lost, F.lit(False)).alias("lost_terms"))
+    fresh = marked.join(done, F.col("__missed") & (F.col("text") == F.col("__text")), "left").drop("__text")
+    # the first chunk in which a spelling of the text got a translation writes it, and later chunks find what was written last there
+    keys = ["video_id", "source_text_norm"]
     written = fresh.where(F.col("new_text").isNotNull()).groupBy(*keys).agg(
-        F.max_by("new_text", F.struct(*SEGMENT_ORDER)).alias("__earlier"))
-    out = (
-        staged.join(fresh.select("video_id", "segment_id", "new_text", "termbase_hits", "lost_terms"),
-                    ["video_id", "segment_id"], "left")
-        .join(written, keys, "left")
-    )
-    hit = F.col("tm_exact_hit") | (F.col("__later") & F.col("__earlier").isNotNull())
-    hits = F.when(hit, F.lit(0)).otherwise(F.coalesce("termbase_hits", F.lit(0))).cast("bigint")
-    translated = F.when(F.col("tm_exact_hit"), F.col("tm_target_text")).when(
-        F.col("__later"), F.col("__earlier")).otherwise(F.col("new_text"))
+        F.min("chunk_index").alias("__first"), F.max_by("new_text", F.struct(-F.col("chunk_index"), *SEGMENT_ORDER)).alias("__earlier"))
+    out = fresh.join(written, keys, "left")
+    later = F.coalesce(F.col("__missed") & (F.col("chunk_index") > F.col("__first")), F.lit(False))
+    hit = F.col("tm_exact_hit") | later
+    translated = F.when(F.col("tm_exact_hit"), F.col("tm_target_text")).when(later, F.col("__earlier")).otherwise(F.col("new_text"))
+    hits = F.when(hit | translated.isNull(), F.lit(0)).otherwise(F.coalesce("termbase_hits", F.lit(0))).cast("bigint")
     return out.select(
         "video_id", "segment_id", "start_ms", "end_ms", "text",
         F.coalesce(translated, F.col("text")).alias("translated_text"), F.lit(language).alias("target_language"),

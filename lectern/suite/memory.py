@@ -334,33 +334,66 @@ def q_restore(t):
     return _protect(t).select("doc_id", "line_no", (lost | F.contains(restored, F.lit("__TERM_"))).alias("lost"))
 
 
-def _translated(t):
+TERM_TEXT, TERM_TARGET = "the", "DER"
+
+
+def spoken_twice(t):
+    """Segments in two spellings, every fifth with double blanks."""
     s = t.segments().withColumn("text", text.collapse(F.col("text")))
-    terms = t.spark.createDataFrame(
-        [(1, "Xyzzy", "*", "Zauber", "0")],
-        "pos bigint, source_text string, target_language string, target_text string, case_sensitive string")
-    entries = s.where("segment_id % 4 = 0").groupBy(text.norm_tm(F.col("text")).alias("source_text_norm")).agg(
+    return s.withColumn("text", F.when(F.col("segment_id") % 5 == 0, F.replace("text", F.lit(" "), F.lit("  "))).otherwise(F.col("text")))
+
+
+def given_terms(t):
+    return t.spark.createDataFrame(
+        [(1, TERM_TEXT, "*", TERM_TARGET, "0")], "pos bigint, source_text string, target_language string, target_text string, case_sensitive string")
+
+
+def given_memory(s):
+    return s.where("segment_id % 4 = 0").groupBy(text.norm_tm(F.col("text")).alias("source_text_norm")).agg(
         F.lit("German").alias("target_language"), F.concat(F.lit("tm "), F.min("text")).alias("target_text"))
-    model = s.where("segment_id % 7 <> 6").select("text").distinct().select(
-        F.col("text").alias("protected_text"), F.lit("German").alias("target_language"),
-        F.concat(F.lit("new "), F.col("text")).alias("translated_text"))
-    return memory.translate_with_memory(s, entries, memory.select_termbase(terms, "German"), model, "German", 3, 700)
 
 
-@query("translated_segments", with_fixtures(PACK.replace("FROM segments_fx WHERE", "FROM cs WHERE", 1).replace(
-    "\nseg AS", f"""
-cs AS (SELECT video_id, segment_id, start_ms, end_ms, {NORM.format('text')} AS text FROM segments_fx),
-tm AS (SELECT text AS norm, 'tm ' || MIN(text) AS tgt FROM cs WHERE segment_id % 4 = 0 GROUP BY 1),
-model AS (SELECT DISTINCT text, 'new ' || text AS tgt FROM cs WHERE segment_id % 7 <> 6),
+def given_model(t, s):
+    """What a model gave for protected texts: nothing for double blanks and for every seventh segment."""
+    known = s.where("segment_id % 7 <> 6 AND segment_id % 5 <> 0").select("text").distinct()
+    protected = memory.protect_terms(known, "text", memory.select_termbase(given_terms(t), "German")).select("protected.text").distinct()
+    return protected.select(
+        F.col("text").alias("protected_text"), F.lit("German").alias("target_language"), F.concat(F.lit("new "), "text").alias("translated_text"))
+
+
+def _translated(t):
+    s = spoken_twice(t)
+    terms = memory.select_termbase(given_terms(t), "German")
+    return memory.translate_with_memory(s, given_memory(s), terms, given_model(t, s), "German", 3, 700)
+
+
+def translated_sql(count: int, chars: int) -> str:
+    edge = r"[^\p{L}\p{N}_]"
+    whole = f"'(?i)(^|{edge}){TERM_TEXT}({edge}|$)'"
+    new = f"'new ' || array_to_string(list_transform(string_split(text, ' '), lambda w: regexp_replace(w, {whole}, '\\1{TERM_TARGET}\\2', 'g')), ' ')"
+    pack = PACK.replace("f.cnt >= 3", f"f.cnt >= {count}").replace("> 700", f"> {chars}")
+    return pack.replace("FROM segments_fx WHERE", "FROM cs WHERE", 1).replace("\nseg AS", f"""
+cs AS (SELECT video_id, segment_id, start_ms, end_ms, norm, CASE WHEN segment_id % 5 = 0 THEN replace(norm, ' ', '  ') ELSE norm END AS text
+       FROM (SELECT *, {NORM.format('text')} AS norm FROM segments_fx) q),
+tm AS (SELECT norm, 'tm ' || MIN(text) AS tgt FROM cs WHERE segment_id % 4 = 0 GROUP BY 1),
+model AS (SELECT DISTINCT text, {new} AS tgt, len(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, {whole}))) AS hits
+          FROM cs WHERE segment_id % 7 <> 6 AND segment_id % 5 <> 0),
 seg AS""", 1) + """,
-st AS (SELECT s.*, f.chunk_index, tm.tgt AS tm_text, m.tgt AS model_text FROM cs s LEFT JOIN fold f ON f.video_id = s.video_id AND f.segment_id = s.segment_id
-       LEFT JOIN tm ON tm.norm = s.text LEFT JOIN model m ON m.text = s.text),
-fs AS (SELECT *, chunk_index > MIN(chunk_index) FILTER (WHERE tm_text IS NULL) OVER (PARTITION BY video_id, text) AND tm_text IS NULL AS later FROM st)
-SELECT video_id, segment_id, COALESCE(tm_text, model_text, text) AS translated_text,
-       CASE WHEN tm_text IS NOT NULL OR (later AND model_text IS NOT NULL) THEN 'tm_exact' WHEN model_text IS NULL THEN 'source_fallback' ELSE 'translated' END AS translation_status
-FROM fs""", "segments_fx", recursive=True))
+st AS (SELECT s.*, f.chunk_index, tm.tgt AS tm_text, m.tgt AS model_text, m.hits FROM cs s LEFT JOIN fold f ON f.video_id = s.video_id AND f.segment_id = s.segment_id
+       LEFT JOIN tm ON tm.norm = s.norm LEFT JOIN model m ON m.text = s.text),
+wr AS (SELECT video_id, norm, chunk_index AS first_chunk, arg_max(model_text, (start_ms, end_ms, segment_id)) AS earlier FROM st WHERE tm_text IS NULL AND model_text IS NOT NULL AND chunk_index IS NOT NULL
+       GROUP BY 1, 2, 3 QUALIFY ROW_NUMBER() OVER (PARTITION BY video_id, norm ORDER BY chunk_index) = 1),
+fs AS (SELECT s.*, tm_text IS NULL AND COALESCE(s.chunk_index > first_chunk, FALSE) AS later, earlier FROM st s LEFT JOIN wr ON wr.video_id = s.video_id AND wr.norm = s.norm)
+SELECT video_id, segment_id, COALESCE(tm_text, CASE WHEN later THEN earlier ELSE model_text END, text) AS translated_text,
+       CASE WHEN trim(text) = '' THEN 'skipped_empty' WHEN tm_text IS NOT NULL OR later THEN 'tm_exact' WHEN model_text IS NULL THEN 'source_fallback'
+            WHEN hits > 0 THEN 'translated_with_termbase' ELSE 'translated' END AS translation_status,
+       CASE WHEN tm_text IS NOT NULL OR later OR model_text IS NULL THEN 0 ELSE COALESCE(hits, 0) END AS termbase_hits
+FROM fs"""
+
+
+@query("translated_segments", with_fixtures(translated_sql(3, 700), "segments_fx", recursive=True))
 def q_translated(t):
-    return _translated(t).select("video_id", "segment_id", "translated_text", "translation_status")
+    return _translated(t).select("video_id", "segment_id", "translated_text", "translation_status", "termbase_hits")
 
 
 @query("event_status", with_fixtures("""
