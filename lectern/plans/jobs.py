@@ -28,15 +28,22 @@ def translated_segments(
 
 
 def deck_glossary(
-    images: DataFrame, terms: DataFrame, language: str, batch_size: int = 32, split: bool | None = None,
+    images: DataFrame, terms: DataFrame, language: str, batch_size: int = 32, graphics: DataFrame | None = None, split: bool | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Frozen entries from the termbase, and the other candidates in batches to be translated.
 
-    ``images``: deck_id, slide_id, slide_index, event_id, image_name, image_w, image_h, pages.
+    ``images``: deck_id, slide_id, slide_index, event_id, image_name, image_w,
+    image_h, pages. ``graphics(slide_id, unit_id, graphic_score)`` is how much the
+    pixels of a unit look like a graphic; units without a score are text.
     """
     about = images.select("deck_id", "slide_id", "slide_index", "image_name", "image_w", "image_h")
     units = ocr.build_units(ocr.flatten_ocr(images.select("slide_id", "event_id", "pages"), split)).join(about, "slide_id")
-    classified = roles.classify_units(units.withColumn("graphic_score", F.lit(0.0)), split)
+    scored = units.withColumn("graphic_score", F.lit(0.0))
+    if graphics is not None:
+        scores = graphics.groupBy(F.col("slide_id").alias("__slide"), F.col("unit_id").alias("__unit")).agg(F.max("graphic_score").alias("__score"))
+        met = F.col("slide_id").eqNullSafe(F.col("__slide")) & (F.col("unit_id") == F.col("__unit"))
+        scored = scored.join(scores, met, "left").withColumn("graphic_score", F.coalesce("__score", F.lit(0.0))).drop("__slide", "__unit", "__score")
+    classified = roles.classify_units(scored, split)
     candidates = staged(glossary.glossary_candidates(classified, ["deck_id"], ["slide_index", "unit_id"]))
     frozen, pending = memory.match_termbase(candidates, memory.select_termbase(terms, language))
     return frozen, memory.number_batches(pending, ["deck_id"], ["source_text_norm"], batch_size, split)

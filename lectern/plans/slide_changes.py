@@ -52,11 +52,17 @@ def candidates(
 
 def slide_changes(
     runs: DataFrame, transitions: DataFrame, diffs: DataFrame, patches: DataFrame | None = None, *,
-    fps_milli: int = 25_000, dedupe_threshold: float = 0.0, split: bool | None = None, **options,
+    fps_milli: int = 25_000, dedupe_threshold: float = 0.0, media: DataFrame | None = None, split: bool | None = None, **options,
 ) -> DataFrame:
+    """Numbered slide changes; with ``media(video_id, frame_count)`` no event lies behind the end of its video."""
     if split is None:
         split = has_hot_key(runs.select("video_id"), ["video_id"])
     rows = candidates(runs, transitions, diffs, split=split, **options)
+    if media is not None:
+        counts = media.select(F.col("video_id").alias("__video"), F.col("frame_count").alias("__frames"))
+        rows = rows.join(counts, F.col("video_id").eqNullSafe(F.col("__video")), "left")
+        inside = F.when(F.col("__frames") > 0, F.least(F.col("__frames"), F.col("event_frame"))).otherwise(F.col("event_frame"))
+        rows = rows.withColumn("event_frame", F.greatest(F.lit(1), inside).cast("bigint")).drop("__video", "__frames")
     if patches is not None:
         rows = ops.dedupe_backfills(rows, patches, dedupe_threshold)
     return ops.number_events(rows, fps_milli, split)

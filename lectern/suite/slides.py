@@ -156,9 +156,12 @@ SELECT video_id, event_id, transition_no, frame_id_0, frame_id_1, event_frame, (
        printf('%02d:%02d:%02d.%03d', (event_frame - 1) * 40 // 3600000, (event_frame - 1) * 40 % 3600000 // 60000,
               (event_frame - 1) * 40 % 60000 // 1000, (event_frame - 1) * 40 % 1000) AS timecode
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY video_id ORDER BY event_frame, sort_priority, frame_id_0, frame_id_1, transition_no) AS event_id
-      FROM cand) c""", *RUNS))
+      FROM (SELECT c.* REPLACE (CASE WHEN fc > 0 THEN GREATEST(1, LEAST(fc, event_frame)) ELSE GREATEST(1, event_frame) END AS event_frame)
+            FROM cand c LEFT JOIN (SELECT video_id, MAX(f1) - 15 AS fc FROM frame_runs_fx GROUP BY 1) m ON m.video_id = c.video_id) e) c""", *RUNS))
 def q_slide_changes(t):
-    return change_job.slide_changes(t.frame_runs(), t.transitions(), t.frame_diffs(), split=t.by_order or t.by_user)
+    """Events of videos that end fifteen frames before their last run does."""
+    media = t.frame_runs().groupBy("video_id").agg((F.max("f1") - 15).alias("frame_count"))
+    return change_job.slide_changes(t.frame_runs(), t.transitions(), t.frame_diffs(), media=media, split=t.by_order or t.by_user)
 
 
 @query("number_events", with_fixtures("""
@@ -402,6 +405,30 @@ border AS (SELECT b.*, side_diff_left, side_diff_right, side_diff_top, side_diff
                                 FROM sides GROUP BY 1) m ON m.video_id = b.video_id)"""
 
 
+SOURCE = """
+src AS (SELECT f.video_id, f.slide_index, f.event_id, f.text, f.event_id % 5 <> 4 AS has_full, person_present AS pp, person_detected_frames AS pn, p.sample_frames AS sn,
+               slide_extension_detected AS ext, median_matched_sides AS ms
+        FROM final f LEFT JOIN people p ON p.video_id = f.video_id LEFT JOIN border b ON b.video_id = f.video_id),
+moded AS (SELECT *, COALESCE(pp, FALSE) AS here, COALESCE(ext, FALSE) AS wide, COALESCE(pn, 0) AS frames, COALESCE(ms, 0) AS sides, COALESCE(sn, 0) AS samples FROM src)"""
+
+
+@query("job_final_deck", with_fixtures(DECK + "," + DUPES + "," + COLLAPSED + "," + PEOPLE + "," + BORDER + "," + SOURCE + """
+SELECT video_id, slide_index, event_id, text,
+  CASE WHEN slide_index = 1 OR (has_full AND samples > 0 AND NOT here AND wide) THEN 'full' ELSE 'slide' END AS source_mode,
+  CASE WHEN slide_index = 1 THEN 'thumbnail_always_full' WHEN NOT has_full THEN 'no_full_image' WHEN samples <= 0 THEN 'no_sample_frames'
+       WHEN NOT here AND wide THEN 'person_absent_and_border_match' WHEN here THEN 'person_detected_outside_roi' ELSE 'border_match_insufficient' END AS source_reason,
+  CAST(CASE WHEN slide_index = 1 THEN 100 WHEN NOT has_full THEN 0 WHEN samples <= 0 THEN 0 WHEN NOT here AND wide THEN LEAST(99, 55 + 10 * LEAST(4, sides))
+       WHEN here THEN LEAST(99, 40 + 10 * frames) ELSE GREATEST(0, LEAST(95, 20 + 8 * sides)) END AS BIGINT) AS source_confidence_pct
+FROM moded""", *DECK_FX, "person_boxes_fx", recursive=True))
+def q_final_deck(t):
+    """The final deck with the source mode of every slide, from the people and borders seen in its video."""
+    border = final_slides.border_rollup(_sides(t), ["video_id"], threshold=6.0).drop("sample_frames")
+    final, _manifest = final_job.final_slides(
+        _map(t), t.frame_runs(), _metrics(t), _images(t), duplicate_threshold=0.001, people=_people(t), borders=border,
+        full_images=F.col("event_id") % 5 != 4, split=t.by_video)
+    return final.select("video_id", "slide_index", "event_id", "text", "source_mode", "source_reason", "source_confidence_pct")
+
+
 @query("border_rollup", BORDER.replace("\nsides AS", "WITH sides AS", 1) + " SELECT * FROM border")
 def q_border(t):
     return final_slides.border_rollup(_sides(t), ["video_id"], threshold=6.0)
