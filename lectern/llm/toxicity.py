@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +72,11 @@ def swaps() -> list[tuple[str, str]]:
 def train(rows: list[list[int]], toxic: np.ndarray, names: list[str], rounds: int = 400, decay: float = 2e-4, fair: float = 1.0) -> Model:
     """Full-batch Adam on logistic loss, squared weights and squared score changes under swaps.
 
-    Identity terms have no other feature than their word, so a swap of a for b
-    changes the score of a text by the difference of their weights, and its penalty counts once for every labelled text with a or b.
+    A labelled text that holds one of two terms of a kind is scored once more with
+    the other in its place. Identity terms have no other feature than their word,
+    so that changes the score by the difference of two weights, and texts with the
+    same swap are counted together; where both terms stand, a swap changes nothing.
+    Each pair counts at least once, so terms that no labelled text holds keep together too.
     """
     n, m = len(rows), len(names)
     row = np.repeat(np.arange(n), [len(r) for r in rows])
@@ -81,7 +85,10 @@ def train(rows: list[list[int]], toxic: np.ndarray, names: list[str], rounds: in
     df = np.bincount(col, minlength=m)
     pairs = [(index[a], index[b]) for a, b in swaps() if a in index and b in index]
     left, right = (np.array(x, dtype=np.int64) for x in (zip(*pairs) if pairs else ((), ())))
-    pull = fair * (df[left] + df[right] + 1) / max(1, n)
+    terms = {index[t] for t in TERMS if t in index}
+    both = Counter(pair for r in rows if len(held := sorted(terms.intersection(r))) > 1 for pair in combinations(held, 2))
+    together = np.array([both[min(p), max(p)] for p in pairs], dtype=np.int64)
+    pull = fair * (df[left] + df[right] - 2 * together + 1) / max(1, n)
     positive = max(1, int(toxic.sum()))
     each = np.where(toxic, 0.5 / positive, 0.5 / max(1, n - positive))
     w, bias = np.zeros(m), 0.0
