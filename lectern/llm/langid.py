@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: bound of the training sample, per language
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 300, 4_000
+#: contexts that are worked on at a time while a model is built
+BLOCK = 4096
 ORDER = 3
 PAD = 10
 SLICE = 1 << 21
@@ -48,16 +50,16 @@ class Model:
         for lang, docs in texts.items():
             rows = [[] for _ in range(ORDER + 1)]
             for d in docs:
-                codes = np.concatenate([np.full(ORDER, self.code[PAD], np.int64), self.code[np.frombuffer(d, dtype=np.uint8)].astype(np.int64)])
+                codes = np.concatenate([np.full(ORDER, self.code[PAD], np.int32), self.code[np.frombuffer(d, dtype=np.uint8)].astype(np.int32)])
                 for k in range(ORDER + 1):
                     rows[k].append(codes[ORDER - k : len(codes) - k])
-            streams[lang] = [np.concatenate(r) if r else np.zeros(0, np.int64) for r in rows]
-        contexts = [np.zeros(1, np.int64)]
-        packed = {lang: [np.zeros(len(s[0]), np.int64)] for lang, s in streams.items()}
+            streams[lang] = [np.concatenate(r) if r else np.zeros(0, np.int32) for r in rows]
+        contexts = [np.zeros(1, np.int32)]
+        packed = {lang: [np.zeros(len(s[0]), np.int32)] for lang, s in streams.items()}
         for k in range(1, ORDER + 1):
             for lang, s in streams.items():
                 packed[lang].append(packed[lang][k - 1] + s[k] * size ** (k - 1))
-            contexts.append(np.unique(np.concatenate([packed[lang][k] for lang in streams] or [np.zeros(0, np.int64)])))
+            contexts.append(np.unique(np.concatenate([packed[lang][k] for lang in streams] or [np.zeros(0, np.int32)])))
         floor = np.full(size, 1 / 256)
         floor[0] = unseen / 256
         out = []
@@ -65,21 +67,31 @@ class Model:
             below = None
             levels = []
             for k in range(ORDER + 1):
-                at = np.searchsorted(contexts[k], packed[lang][k])
-                counts = np.bincount(at * size + streams[lang][0], minlength=len(contexts[k]) * size).reshape(-1, size)
-                if k == 0:
-                    shorter = floor[None, :]
-                else:
-                    shorter = below[np.searchsorted(contexts[k - 1], contexts[k] % size ** (k - 1))]
-                total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-                rest = np.where(counts > 0, 0, shorter)
-                rest = rest / rest.sum(axis=1, keepdims=True)
-                below = np.where(total > 0, (counts + kinds * rest) / np.maximum(1, total + kinds), shorter)
-                levels.append(below)
-            bits = -np.log2(np.concatenate(levels))
-            bits[:, 0] += np.log2(max(1, unseen))
-            out.append(bits)
-        self.cost = np.stack(out, axis=-1).reshape(-1, len(out)).astype(np.float32) if out else np.zeros((0, 0), np.float32)
+                seen = np.zeros((len(contexts[k]), size), np.int32)
+                np.add.at(seen, (np.searchsorted(contexts[k], packed[lang][k]), streams[lang][0]), 1)
+                parent = np.searchsorted(contexts[k - 1], contexts[k] % size ** (k - 1)) if k else np.zeros(1, np.int64)
+                own = np.empty(seen.shape, np.float32)
+                # some contexts at a time, so that only the tables themselves are large
+                for lo in range(0, len(seen), BLOCK):
+                    counts, shorter = seen[lo : lo + BLOCK], (below[parent[lo : lo + BLOCK]] if k else floor[None, :]).astype(np.float64)
+                    total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
+                    rest = np.where(counts > 0, 0, shorter)
+                    rest /= rest.sum(axis=1, keepdims=True)
+                    own[lo : lo + BLOCK] = np.where(total > 0, (counts + kinds * rest) / np.maximum(1, total + kinds), shorter)
+                below = own
+                levels.append(own)
+            out.append(levels)
+        rows = sum(len(c) for c in contexts)
+        self.cost = np.empty((rows * size, len(out)), np.float32)
+        for column, levels in enumerate(out):
+            at = 0
+            for k, level in enumerate(levels):
+                levels[k] = None
+                for lo in range(0, len(level), BLOCK):
+                    bits = -np.log2(level[lo : lo + BLOCK])
+                    bits[:, 0] += np.float32(np.log2(max(1, unseen)))
+                    self.cost[at * size : (at + len(bits)) * size, column] = bits.ravel()
+                    at += len(bits)
         base, table = 0, np.zeros(1, np.int32)
         for k in range(1, ORDER + 1):
             base += len(contexts[k - 1])
