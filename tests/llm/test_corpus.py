@@ -7,6 +7,7 @@ import hashlib
 import math
 import re
 import time
+import zlib
 
 import corpus_pipeline
 import numpy as np
@@ -290,6 +291,22 @@ def test_swapped_sentences_against_a_plain_fit():
     assert np.allclose([model.weights.get(f, 0.0) for f in names], w, atol=1e-8) and math.isclose(model.bias, bias, abs_tol=1e-8)
 
 
+def test_toxicity_query_scores_by_the_model(spark):
+    from lectern.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = QUERIES["op8_toxicity"](spark, SMALL).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7)
+        words = set(re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower()))
+        heads = {w[:k] + "*" for w in words - toxicity.TERMS for k in toxicity.PREFIXES if len(w) > k}
+        logit = model.bias + sum(model.weights.get(f, 0.0) for f in words | heads)
+        assert math.isclose(r.score, 1 / (1 + math.exp(-logit)), abs_tol=1e-9)
+
+
 # -- results can be filtered, secrets of any length, notices ------------------------------
 
 
