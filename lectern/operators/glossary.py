@@ -47,19 +47,20 @@ def glossary_candidates(units: DataFrame, keys: list[str], order: list[str], exa
         F.collect_set("image_name").alias("__images"),
     )
     w = Window.partitionBy(*by).orderBy("__at")
-    firsts = raw.select(*by, "__raw", "__at").withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= examples)
-    shown = firsts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__k", "__raw"))).alias("__ex"))
+    ranked = raw.withColumn("__k", F.row_number().over(w))
+    shown = F.when(F.col("__k") <= examples, F.struct("__k", "__raw"))
 
     def ids(column: str, keep) -> Column:
         return F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(column)), keep)))
 
-    counts = raw.groupBy(*by).agg(
-        F.sum("__n").alias("occurrences"),
+    # the window and the sums share one shuffle by text
+    counts = ranked.groupBy(*by).agg(
+        F.sum("__n").alias("occurrences"), F.array_sort(F.collect_list(shown)).alias("__ex"),
         ids("__slides", lambda v: v > 0).alias("slide_indices"), ids("__events", lambda v: v > 0).alias("event_ids"),
         ids("__images", lambda v: v != "").alias("image_names"),
         F.max("__lines").alias("max_line_count"), F.sum("__markers").alias("list_marker_occurrences"),
     )
-    return counts.join(shown, by).select(
+    return counts.select(
         *by, F.col("__ex")[0]["__raw"].alias("source_text"), "occurrences", "slide_indices", "event_ids", "image_names",
         F.transform("__ex", lambda e: e["__raw"]).alias("source_examples"), "max_line_count", "list_marker_occurrences",
     )

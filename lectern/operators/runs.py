@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Artifact levels of a run from lowest to highest, with labels.
@@ -73,6 +73,56 @@ def highest_artifact(counts: DataFrame) -> DataFrame:
     return counts.withColumns({**flags, "highest_available": name, "highest_available_label": label})
 
 
+#: what a level is made of: all of the first group, or, where a second is given, any of that
+LEVEL_PARTS = {
+    "base_events": ["base_table"], "final_slides": ["final_table", "final_images"], "translated_slides": ["translated_images"],
+    "upscaled_slides": ["upscaled_images"], "translated_upscaled_slides": ["translated_upscaled_images"], "video_export": ["video_files"],
+}
+ANY_PARTS = {"tts": ["alignment_table", "audio_files"]}
+#: levels with a flag of their own that are no step of the ladder
+SIDE_PARTS = {"translated_text": ["translated_table"]}
+
+
+def level_counts(parts: DataFrame) -> DataFrame:
+    """Counts of the artifact levels from those of their parts: tables count by their rows, folders by their files.
+
+    ``parts(run_id, part, n)``. A level needs a row or file of each of its
+    parts, speech of any. Parts that do not occur count as none; an unknown part
+    is ignored.
+    """
+    names = sorted({p for group in (LEVEL_PARTS, ANY_PARTS, SIDE_PARTS) for ps in group.values() for p in ps})
+    counted = parts.groupBy("run_id").agg(*[
+        F.coalesce(F.sum(F.when(F.col("part") == p, F.col("n"))), F.lit(0)).cast("bigint").alias(p) for p in names])
+    fewest = lambda ps: F.least(*ps) if len(ps) > 1 else F.col(ps[0])
+    every = {level: fewest(ps) for level, ps in {**LEVEL_PARTS, **SIDE_PARTS}.items()}
+    some = {level: F.greatest(*ps) for level, ps in ANY_PARTS.items()}
+    return counted.select("run_id", *[c.alias(level) for level, c in {**every, **some}.items()])
+
+
+def run_readiness(parts: DataFrame) -> DataFrame:
+    """Readiness flags of each run and the highest artifact level it has reached."""
+    levels = highest_artifact(level_counts(parts))
+    sides = {f"{level}_ready": F.col(level) > 0 for level in SIDE_PARTS}
+    return levels.withColumns(sides).drop(*LEVEL_PARTS, *ANY_PARTS, *SIDE_PARTS)
+
+
+def base_events_view(changes: DataFrame, assets: DataFrame) -> DataFrame:
+    """The slide changes of runs with their picture, in file order.
+
+    ``changes``: run_id, row_no and the columns of a slide change; ``assets``:
+    run_id, event_id, directory, name. Rows without a positive event id are left
+    out but counted by ``index``. The first event shows the full frame where
+    there is one, the others the slide.
+    """
+    key = ["run_id", "event_id"]
+    index = F.row_number().over(Window.partitionBy("run_id").orderBy("row_no")).cast("bigint")
+    first = F.col("event_id") == 1
+    pictures = pick_asset(assets.where(first), key, ["full", "slide"]).unionByName(pick_asset(assets.where(~first), key, ["slide", "full"]))
+    found = changes.withColumn("index", index).where(F.col("event_id") > 0).join(pictures, key, "left")
+    path = F.when(F.col("name").isNotNull(), F.concat_ws("/", "directory", "name")).otherwise("")
+    return found.withColumns({"image_path": path, "image_name": F.coalesce("name", F.lit(""))}).drop("row_no", "directory", "name")
+
+
 def missing_requirements(runs: DataFrame, needs: dict[str, Column]) -> DataFrame:
     """What a run still lacks for a job; ``needs`` maps a name to the condition that it is there."""
     lacking = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in needs.items()]))

@@ -51,6 +51,33 @@ def write_srt(cues: DataFrame, path: str) -> None:
     )
 
 
+def write_bucketed(rows: DataFrame, keys: list[str], order: list[str], path: str, buckets: int | None = None) -> None:
+    """Rows of very many keys in few files, with an index: key -> file, first row, rows.
+
+    Rows are dealt by a hash of the key and sorted inside a file, so the rows of
+    a key lie in one file in a row, in their order; the number of files is that
+    of the buckets (the shuffle partitions, if not given). The index is read back
+    from what was written.
+    """
+    spark = rows.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(count, *keys).sortWithinPartitions(*keys, *order).write.mode("overwrite").parquet(f"{path}/data")
+    written = spark.read.parquet(f"{path}/data").select(
+        *keys, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("__at"))
+    index = written.groupBy(*keys, "file").agg(F.min("__at").alias("first_row"), F.count(F.lit(1)).alias("rows"))
+    index.coalesce(max(1, count // 8)).write.mode("overwrite").parquet(f"{path}/index")
+
+
+def read_bucketed(spark: SparkSession, path: str, key: dict, order: list[str]) -> DataFrame:
+    """The rows of one key, from the one file that holds them; no rows if the key is unknown."""
+    same = F.lit(True)
+    for name, value in key.items():
+        same = same & F.col(name).eqNullSafe(F.lit(value))
+    found = spark.read.parquet(f"{path}/index").where(same).select("file").take(1)
+    data = spark.read.parquet(f"{path}/data/{found[0]['file']}") if found else spark.read.parquet(f"{path}/data").where(F.lit(False))
+    return data.where(same).orderBy(*order)
+
+
 def publish(df: DataFrame, path: str, snapshot: str) -> None:
     """Write a snapshot, then point to it: readers never see half of one."""
     df.write.mode("overwrite").parquet(f"{path}/snapshot={snapshot}")

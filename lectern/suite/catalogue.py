@@ -76,6 +76,24 @@ def q_highest(t):
     return runs.highest_artifact(runs.artifact_counts(_files(t), KINDS)).select("run_id", "highest_available", "tts_ready")
 
 
+PARTS = sorted({p for g in (runs.LEVEL_PARTS, runs.ANY_PARTS, runs.SIDE_PARTS) for ps in g.values() for p in ps})
+
+
+@query("run_readiness", "WITH parts AS (SELECT l_orderkey AS run_id, " + str([*PARTS, "other"]) + """[(l_partkey + l_linenumber) % 11 + 1] AS part, l_suppkey % 3 AS n FROM lineitem),
+c AS (SELECT run_id, """ + ", ".join(f"COALESCE(SUM(n) FILTER (part = '{p}'), 0) AS {p}" for p in PARTS) + """ FROM parts GROUP BY 1),
+f AS (SELECT run_id, base_table > 0 AS base_events_ready, final_table > 0 AND final_images > 0 AS final_slides_ready, translated_images > 0 AS translated_slides_ready,
+             upscaled_images > 0 AS upscaled_slides_ready, translated_upscaled_images > 0 AS translated_upscaled_slides_ready, translated_table > 0 AS translated_text_ready,
+             alignment_table > 0 OR audio_files > 0 AS tts_ready, video_files > 0 AS video_export_ready FROM c)
+SELECT *, CASE WHEN video_export_ready THEN 'video_export' WHEN tts_ready THEN 'tts' WHEN translated_upscaled_slides_ready THEN 'translated_upscaled_slides'
+               WHEN upscaled_slides_ready THEN 'upscaled_slides' WHEN translated_slides_ready THEN 'translated_slides' WHEN final_slides_ready THEN 'final_slides'
+               WHEN base_events_ready THEN 'base_events' ELSE 'none' END AS highest_available FROM f""")
+def q_readiness(t):
+    """Levels from tables and folders; a table or folder may be there and empty."""
+    part = F.element_at(F.array(*[F.lit(p) for p in [*PARTS, "other"]]), ((F.col("l_partkey") + F.col("l_linenumber")) % 11 + 1).cast("int"))
+    parts = t.base("lineitem").select(F.col("l_orderkey").alias("run_id"), part.alias("part"), (F.col("l_suppkey") % 3).alias("n"))
+    return runs.run_readiness(parts).drop("highest_available_label")
+
+
 @query("missing_requirements", ("WITH" + FILES + "," + COUNTS + """
 SELECT run_id, array_to_string(list_filter([CASE WHEN final_slides = 0 THEN 'final slide images' END, CASE WHEN tts = 0 THEN 'speech' END, CASE WHEN base_events = 0 THEN 'slide map' END], lambda x: x IS NOT NULL), ';') AS missing,
        final_slides > 0 AND tts > 0 AND base_events > 0 AS ready FROM counts"""))
@@ -157,6 +175,21 @@ def q_asset(t):
     return runs.pick_asset(_assets(t), ["run_id", "event_id"], ["slide_translated", "slide", "full"])
 
 
+@query("base_events", "WITH" + ASSETS + """,
+ch AS (SELECT l_orderkey AS run_id, CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE l_linenumber END AS event_id, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS index, l_quantity AS q
+       FROM lineitem),
+pc AS (SELECT run_id, event_id, arg_min(directory, (k, name)) AS directory, arg_min(name, (k, name)) AS name
+       FROM (SELECT *, list_position(CASE WHEN event_id = 1 THEN ['full', 'slide'] ELSE ['slide', 'full'] END, directory) AS k FROM assets) q WHERE k IS NOT NULL GROUP BY 1, 2)
+SELECT c.run_id, c.event_id, c.index, c.q, COALESCE(directory || '/' || name, '') AS image_path, COALESCE(name, '') AS image_name
+FROM ch c LEFT JOIN pc p ON p.run_id = c.run_id AND p.event_id = c.event_id WHERE c.event_id > 0""")
+def q_base_events(t):
+    place = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    rows = t.base("lineitem").select(
+        F.col("l_orderkey").alias("run_id"), place.alias("row_no"),
+        F.when(F.col("l_partkey") % 9 == 0, 0).otherwise(F.col("l_linenumber")).cast("bigint").alias("event_id"), F.col("l_quantity").alias("q"))
+    return runs.base_events_view(rows, _assets(t))
+
+
 def _overrides(t):
     mode = F.element_at(F.array(*[F.lit(v) for v in ("slide", "full", "auto")]), (F.col("l_partkey") % 3 + 1).cast("int"))
     event = F.when(F.col("l_partkey") % 11 == 0, F.lit("x")).otherwise(F.col("l_linenumber").cast("string"))
@@ -414,6 +447,20 @@ def q_alignment(t):
     return readers.explode_alignment(payload)[0]
 
 
+@query("read_alignment_words", with_fixtures("""
+SELECT video_id AS run_id, word_idx, normalized AS text, normalized, start_ms, end_ms FROM words_fx""", "words_fx"))
+def q_alignment_words(t):
+    """Words of alignment files; every second one without its own normalized form."""
+    from lectern import schemas
+
+    w = F.struct(
+        F.col("normalized").alias("text"), (F.col("start_ms") / 1000.0).alias("start_sec"), (F.col("end_ms") / 1000.0).alias("end_sec"),
+        F.when(F.col("word_idx") % 2 == 0, F.col("normalized")).otherwise(" ").alias("normalized"))
+    docs = t.words().groupBy(F.col("video_id").alias("run_id")).agg(F.array_sort(F.collect_list(F.struct("word_idx", w.alias("w")))).alias("ws"))
+    payload = docs.select("run_id", F.to_json(F.struct(F.transform("ws", lambda x: x["w"]).alias("words"))).alias("json"))
+    return readers.explode_alignment(payload.select("run_id", F.from_json("json", schemas.ALIGNMENT_JSON).alias("j")).select("run_id", "j.*"))[1]
+
+
 @query("flat_rows", """
 SELECT conv_id AS conv_id_n, CAST(conv_id AS VARCHAR) AS conv_id, string_agg(CAST(turn AS VARCHAR), ';' ORDER BY turn) AS turns, CASE WHEN conv_id % 2 = 0 THEN 'true' ELSE 'false' END AS flag FROM conversations GROUP BY 1""".replace("conv_id AS conv_id_n, ", "").replace("GROUP BY 1", "GROUP BY conv_id"))
 def q_flat(t):

@@ -326,12 +326,23 @@ def q_protect(t):
     return _protect(t).select("doc_id", "line_no", "termbase_hits")
 
 
-@query("restore_terms", with_fixtures("""
-SELECT doc_id, line_no, FALSE AS lost FROM text_lines_fx""", "text_lines_fx"))
+def _swapped(expr: str, term: str, target: str, right: bool = True) -> str:
+    """A whole word for its target in a text whose other signs are all doubled, so that neighbours share none."""
+    behind, kept = (f"($|{WORD})", "\\2") if right else ("", "")
+    return f"regexp_replace({expr}, '{term[0]}(^|{WORD}){term[1]}{behind}', '\\1{target}{kept}', 'g')"
+
+
+RESTORED = _swapped(_swapped(_swapped(_swapped(_swapped(
+    f"regexp_replace(line, '({WORD})', '\\1\\1', 'g')", ("(?i)", "of  the"), "des"), ("(?i)", "the"), "der"), ("(?i)", "and"), "und"),
+    ("(?i)", "er[.][.]"), "ER..", False), ("", "La"), "Die")
+
+
+@query("restore_terms", with_fixtures(f"""
+SELECT doc_id, line_no, regexp_replace({RESTORED}, '({WORD}){WORD}', '\\1', 'g') AS restored, FALSE AS lost FROM text_lines_fx""", "text_lines_fx"))
 def q_restore(t):
-    """Protected texts come back complete."""
+    """Protected texts come back complete, with the targets in place of the terms."""
     restored, lost = memory.restore_terms(F.col("protected.text"), F.col("protected.keys"), F.col("protected.targets"))
-    return _protect(t).select("doc_id", "line_no", (lost | F.contains(restored, F.lit("__TERM_"))).alias("lost"))
+    return _protect(t).select("doc_id", "line_no", restored.alias("restored"), lost.alias("lost"))
 
 
 TERM_TEXT, TERM_TARGET = "the", "DER"

@@ -68,14 +68,25 @@ def q_proportional(t):
         "video_id", "segment_id", "tts_start_ms", "tts_end_ms")
 
 
-@query("choose_alignment")
+CHOSEN = """
+up AS (SELECT a.*, a.chunk_index % 3 <> 2 AND total_words > 0 AND words IS NOT NULL AS by_words, SUM(words) OVER c AS upto, SUM(weight) OVER c AS cum
+       FROM al a WINDOW c AS (PARTITION BY video_id, chunk_index ORDER BY segment_id))"""
+
+
+@query("choose_alignment", with_fixtures(WEIGHTED + "," + CHOSEN + """
+SELECT video_id, chunk_index, segment_id,
+       chunk_start_ms + CASE WHEN by_words THEN (upto - words + 1) * 130 ELSE CAST(round_even((chunk_end_ms - chunk_start_ms) * (cum - weight) / w, 0) AS BIGINT) END AS tts_start_ms,
+       chunk_start_ms + CASE WHEN by_words THEN upto * 130 + 100 ELSE CAST(round_even((chunk_end_ms - chunk_start_ms) * cum / w, 0) AS BIGINT) END AS tts_end_ms,
+       CASE WHEN by_words THEN 'asr_word_count' ELSE 'proportional' END AS alignment_mode,
+       CASE WHEN by_words THEN 1.0 WHEN chunk_index % 3 <> 2 THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence
+FROM up""", "segments_fx"))
 def q_choose(t):
-    """Word or proportional timing by a text similarity that SQL does not have: what is heard is the text, other vowels, or the text backwards."""
+    """Word or proportional timing; of three chunks one is heard as it is, one with other signs, one not at all."""
     rows = _weighted(t).drop("weight", "total_words")
     text = rows.groupBy(*speech.CHUNK).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
         "segment_id", "text"))), lambda p: p["text"]), " ").alias("chunk_text"))
     kind = F.col("chunk_index") % 3
-    heard = F.when(kind == 0, F.col("chunk_text")).when(kind == 1, F.translate("chunk_text", "ao", "oa")).otherwise(F.reverse("chunk_text"))
+    heard = F.when(kind == 0, F.col("chunk_text")).when(kind == 1, F.concat(F.lit("... "), "chunk_text", F.lit(" !"))).otherwise("")
     rows = rows.join(text.withColumn("asr_text", heard), speech.CHUNK).withColumn("tts_text", F.col("text"))
     return speech.choose_alignment(rows, _recognized(t), split=t.by_conversation)
 

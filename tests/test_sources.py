@@ -158,6 +158,22 @@ def test_writers(spark, tmp_path):
     assert sinks.read_published(spark, str(tmp_path / "pub")).count() == 2
 
 
+def test_very_many_keys_in_few_files(spark, tmp_path):
+    cues = spark.range(200_000).select(
+        (F.col("id") % 100_000).alias("video_id"), F.floor(F.col("id") / 100_000).alias("cue_no"), F.concat(F.lit("cue "), "id").alias("cue"))
+    path = str(tmp_path / "cues")
+    sinks.write_bucketed(cues, ["video_id"], ["cue_no"], path, buckets=6)
+    assert len(list((tmp_path / "cues" / "data").glob("*.parquet"))) <= 6
+    for video in (0, 7, 99_999):
+        got = sinks.read_bucketed(spark, path, {"video_id": video}, ["cue_no"]).collect()
+        assert [r.cue for r in got] == [f"cue {video}", f"cue {video + 100_000}"]
+    assert sinks.read_bucketed(spark, path, {"video_id": -1}, ["cue_no"]).count() == 0
+    index = spark.read.parquet(path + "/index")
+    assert index.count() == 100_000 and index.where("rows <> 2").count() == 0
+    starts = index.groupBy("file").agg(F.sum("rows").alias("n"), F.max(F.col("first_row") + F.col("rows")).alias("end"))
+    assert starts.where("n <> end").count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from conftest import SMALL
 
