@@ -55,6 +55,36 @@ def glossary_application(classified: DataFrame, entries: DataFrame, keys: list[s
     return outcomes, glossary.slide_output_status(outcomes, keys, policy)
 
 
+#: style values of a rendered text and what they are without a style table
+STYLE_NAMES = {
+    "font_size": None, "font_size_mode": "fixed", "min_font_size": None, "padding": "", "text_color": "", "text_color_mode": "source_median",
+}
+
+
+def rendered_units(
+    classified: DataFrame, entries: DataFrame, styles: DataFrame, keys: list[str], *, font_cap: int = 48, margin: int = 2,
+    policy: str = "partial", split: bool | None = None,
+) -> dict[str, DataFrame]:
+    """What a renderer of translated slides needs: the resolved units with style, colour and collisions, statuses, counters.
+
+    ``classified`` has the columns r, g, b of each unit's own text colour beside
+    those of ``glossary_application``. A resolved unit collides when its box,
+    grown by ``margin``, touches another unit of its slide.
+    """
+    outcomes, statuses = glossary_application(classified, entries, keys, policy)
+    outcomes = staged(outcomes)
+    resolved = outcomes.where(F.col("outcome") == "resolved")
+    styled = glossary.font_sizes(glossary.resolve_style(resolved, styles, STYLE_NAMES), font_cap)
+    coloured = glossary.style_metrics(styled, ["deck_id"], split)
+    boxes = ["slide_id", "unit_id", "x", "y", "w", "h"]
+    met = glossary.box_collisions(resolved.select(*boxes), outcomes.select(*boxes), ["slide_id"], "unit_id", margin)
+    units = coloured.join(met.select("slide_id", "unit_id", "collides"), ["slide_id", "unit_id"])
+    counters = runs.stage_counters(outcomes, ["deck_id"], {
+        "resolved_count": F.col("outcome") == "resolved", "identical_count": F.col("outcome") == "identical",
+        "missing_count": F.col("outcome") == "missing_glossary_match", "empty_count": F.col("outcome") == "empty_target_text"}, total="unit_count")
+    return {"units": units, "statuses": statuses, "counters": counters}
+
+
 def speech_plan(segments: DataFrame, prompt_bytes: int) -> DataFrame:
     """Speech chunks of each video with their segments and joined text."""
     packed = memory.pack_speech_chunks(segments, prompt_bytes)
@@ -112,26 +142,45 @@ def playback(slides: DataFrame, alignment: DataFrame, words: DataFrame | None, *
 
 
 def deck_consistency(original: DataFrame, translated: DataFrame, split: bool | None = None) -> dict[str, DataFrame]:
-    """Sequences, leftovers, first issue per slide, report and distinct glossary pairs of decks."""
+    """Sequences, leftovers, first issue per slide, report, distinct glossary pairs of decks, and the glossary each slide goes by."""
     if split is None:
         split = has_hot_key(original.select("deck_id"), ["deck_id"])
     sequences = staged(consistency.build_sequences(consistency.text_sets(original), split))
     mapping = staged(consistency.element_mapping(original, translated))
     issues = staged(consistency.leftover_check(translated, sequences, mapping))
+    same = ["deck_id", "slide_index", "element_id"]
+    pairs = original.withColumnRenamed("text", "original").join(translated.withColumnRenamed("text", "translated"), same)
+    texts = original.select("deck_id", "slide_index", F.trim("text").alias("original")).distinct()
+    running = consistency.slide_glossary(texts, consistency.glossary_intervals(pairs, split), sequences, mapping)
     return {
+        "slide_glossary": running,
         "sequences": sequences, "issues": issues, "first_issues": consistency.first_issues(issues),
         "report": consistency.consistency_report(sequences, issues, original), "glossary": consistency.distinct_pairs(mapping, sequences),
     }
 
 
-def run_overview(files: DataFrame, items: DataFrame, config: DataFrame, status: DataFrame) -> DataFrame:
-    """Catalogue of runs; ``files(run_id, kind, mtime)``."""
+def run_overview(
+    files: DataFrame, items: DataFrame, config: DataFrame, status: DataFrame, parts: DataFrame | None = None, needs: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Catalogue of runs; ``files(run_id, kind, mtime)``.
+
+    With ``parts`` (see ``runs.level_counts``) the readiness flags come from
+    tables and folders, and ``needs`` on those flags tells what a run still
+    lacks.
+    """
     kinds = [level for level, _text in runs.ARTIFACT_LEVELS]
     costs = runs.run_cost(items).select("run_id", "cost_e7_usd")
-    return runs.run_catalog(runs.artifact_counts(files, kinds), costs, config, status)
+    catalog = runs.run_catalog(runs.artifact_counts(files, kinds), costs, config, status)
+    if parts is None:
+        return catalog
+    ready = runs.run_readiness(parts)
+    flags = [c for c in ready.columns if c != "run_id"]
+    joined = catalog.drop(*flags).join(ready, "run_id", "left")
+    joined = joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in flags if c.endswith("_ready")})
+    return runs.missing_requirements(joined, needs or {})
 
 
 __all__ = [
-    "deck_consistency", "deck_glossary", "glossary_application", "playback", "run_overview", "speech_alignment",
+    "deck_consistency", "deck_glossary", "glossary_application", "playback", "rendered_units", "run_overview", "speech_alignment",
     "speech_plan", "translated_segments",
 ]

@@ -89,9 +89,12 @@ SELECT *, CASE WHEN video_export_ready THEN 'video_export' WHEN tts_ready THEN '
                WHEN base_events_ready THEN 'base_events' ELSE 'none' END AS highest_available FROM f""")
 def q_readiness(t):
     """Levels from tables and folders; a table or folder may be there and empty."""
+    return runs.run_readiness(level_parts(t)).drop("highest_available_label")
+
+
+def level_parts(t):
     part = F.element_at(F.array(*[F.lit(p) for p in [*PARTS, "other"]]), ((F.col("l_partkey") + F.col("l_linenumber")) % 11 + 1).cast("int"))
-    parts = t.base("lineitem").select(F.col("l_orderkey").alias("run_id"), part.alias("part"), (F.col("l_suppkey") % 3).alias("n"))
-    return runs.run_readiness(parts).drop("highest_available_label")
+    return t.base("lineitem").select(F.col("l_orderkey").alias("run_id"), part.alias("part"), (F.col("l_suppkey") % 3).alias("n"))
 
 
 @query("missing_requirements", ("WITH" + FILES + "," + COUNTS + """

@@ -130,3 +130,54 @@ def q_playback(t):
         cues.select("video_id", "cue_no", F.col("start_ms").alias("cue_start_ms")), ["video_id", "cue_no"], "left")
     return own.select("video_id", "slide_index", "event_id", "video_start_ms", "video_end_ms", "audio_clip_start_ms", "audio_clip_end_ms",
                       F.trim("subtitle_text").alias("subtitle_text"), "cue_no", "cue_start_ms")
+
+
+RENDERED = decks.TO_R7 + "," + decks.NOISY + "," + decks.APPLIED + "," + decks.STYLED + """,
+rs AS (SELECT a.deck_id, a.slide_id, a.unit_id, s.slot_id, s.fs, s.mode, a.x, a.y, GREATEST(1, a.w) AS w, GREATEST(1, a.h) AS h, a.x * 7 % 256 AS r, a.y * 3 % 256 AS g, a.w * 11 % 256 AS b
+       FROM ap a JOIN st s ON s.slide_id = a.slide_id AND s.unit_id = a.unit_id WHERE outcome = 'resolved'),
+cm AS (SELECT deck_id, slot_id, CAST(round_even(median(r), 0) AS BIGINT) AS mr, CAST(round_even(median(g), 0) AS BIGINT) AS mg, CAST(round_even(median(b), 0) AS BIGINT) AS mb FROM rs GROUP BY 1, 2)"""
+
+
+def _rendered(t):
+    rows = decks._slotted(t).withColumns({"r": F.col("x") * 7 % 256, "g": F.col("y") * 3 % 256, "b": F.col("w") * 11 % 256})
+    styles = t.spark.createDataFrame(decks.STYLES, "level string, key string, name string, value string")
+    return jobs.rendered_units(rows, decks._glossary_rows(t), styles, ["slide_id"], margin=30, split=decks._hot(t))
+
+
+@query("job_rendered_units", with_fixtures(RENDERED + """
+SELECT r.slide_id, r.unit_id, LEAST(48, fs) AS font_size, CASE WHEN mode = 'fixed' THEN LEAST(48, fs) ELSE GREATEST(8, LEAST(LEAST(48, fs), 12)) END AS min_font_size,
+       mr || ';' || mg || ';' || mb AS rgb,
+       EXISTS (SELECT 1 FROM ap o WHERE o.slide_id = r.slide_id AND o.unit_id <> r.unit_id AND r.x < o.x + GREATEST(1, o.w) + 60 AND o.x < r.x + r.w + 60
+               AND r.y < o.y + GREATEST(1, o.h) + 60 AND o.y < r.y + r.h + 60) AS collides
+FROM rs r JOIN cm ON cm.deck_id = r.deck_id AND cm.slot_id = r.slot_id""", "ocr_units_fx", "text_lines_fx"))
+def q_rendered(t):
+    """Resolved units with style, colour and collisions."""
+    out = _rendered(t)["units"]
+    return out.select("slide_id", "unit_id", "font_size", "min_font_size", F.array_join("text_color_rgb", ";").alias("rgb"), "collides")
+
+
+@query("job_render_counters", with_fixtures(RENDERED + """
+SELECT deck_id, COUNT(*) AS unit_count, COUNT(*) FILTER (WHERE outcome = 'resolved') AS resolved_count, COUNT(*) FILTER (WHERE outcome = 'identical') AS identical_count,
+       COUNT(*) FILTER (WHERE outcome = 'missing_glossary_match') AS missing_count, COUNT(*) FILTER (WHERE outcome = 'empty_target_text') AS empty_count
+FROM ap GROUP BY 1""", "ocr_units_fx", "text_lines_fx"))
+def q_render_counters(t):
+    return _rendered(t)["counters"]
+
+
+@query("job_slide_glossary", ORACLE["slide_glossary"])
+def q_slide_glossary(t):
+    """The glossary each slide of a deck goes by, as the consistency job gives it."""
+    return jobs.deck_consistency(t.slide_elements(), t.translated_elements(), playback._deck_hot(t))["slide_glossary"]
+
+
+@query("job_run_readiness", ORACLE["run_readiness"].replace("SELECT *, CASE WHEN video_export_ready", """,
+k AS (SELECT DISTINCT l_orderkey AS run_id FROM lineitem)
+SELECT run_id, final_slides_ready, translated_text_ready, tts_ready, array_to_string(list_filter([CASE WHEN NOT final_slides_ready THEN 'final slides' END, CASE WHEN NOT tts_ready THEN 'speech' END], lambda x: x IS NOT NULL), ';') AS missing FROM f JOIN k USING (run_id)
+--""", 1).split("--")[0])
+def q_run_readiness(t):
+    """The catalogue of runs with what each still lacks for a video."""
+    items = t.upscale_items().withColumn("manifest_no", F.lit(1))
+    out = jobs.run_overview(
+        catalogue._files(t), items, readers.parse_config(catalogue._config(t)), catalogue._status(t), catalogue.level_parts(t),
+        {"final slides": F.col("final_slides_ready"), "speech": F.col("tts_ready")})
+    return out.select("run_id", "final_slides_ready", "translated_text_ready", "tts_ready", F.array_join("missing_requirements", ";").alias("missing"))
