@@ -22,8 +22,8 @@ VIDEO_SUFFIXES = (".mp4", ".mov", ".mkv", ".avi", ".webm", ".m4v")
 
 
 def run_of_path(path: Column) -> Column:
-    """Run folder in a path, or null."""
-    return F.nullif(F.regexp_extract(path, rf"/{RUN_ID}/", 1), F.lit(""))
+    """Run folder in a path, named by the run alone or as a partition (``run=...``), or null."""
+    return F.nullif(F.regexp_extract(path, rf"/(?:\w+=)?{RUN_ID}/", 1), F.lit(""))
 
 
 def _with_run(df: DataFrame) -> DataFrame:
