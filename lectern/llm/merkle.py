@@ -50,13 +50,43 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def differing_paragraphs(a: Column, b: Column) -> Column:
-    """(section, paragraph) of ``a`` whose branch is not at the same place in ``b``."""
-    pa, pb = paragraph_digests(a), paragraph_digests(b)
-    return F.flatten(F.transform(pa, lambda s, i: F.filter(
-        F.transform(s, lambda p, k: F.when(
-            ~p.eqNullSafe(F.get(F.get(pb, i), k)), F.struct(i.alias("section"), k.alias("paragraph")))),
-        lambda x: x.isNotNull(),
-    )))
+    """The paragraphs whose branch stands in one of two trees only, by (side, section, paragraph).
+
+    ``side`` is 0 for what only ``a`` holds and 1 for what only ``b`` holds. Branches
+    are aligned by their digests, not their places, so one inserted paragraph is
+    one edit; a paragraph that stands several times is named by its first place.
+    Digests of both trees are sorted together, and what has no equal neighbour of
+    the other side is an edit.
+    """
+    def placed(tree: Column, side: int) -> Column:
+        return F.flatten(F.transform(paragraph_digests(tree), lambda s, i: F.transform(s, lambda p, k: F.struct(
+            p.alias("digest"), F.lit(side).alias("side"), i.alias("section"), k.alias("paragraph")))))
+
+    def shifted(rows: Column, by: int) -> Column:
+        none = F.array(F.lit(None).cast("struct<digest:string,side:int,section:int,paragraph:int>"))
+        return F.concat(none, F.slice(rows, F.lit(1), F.size(rows) - 1)) if by > 0 else F.concat(F.slice(rows, F.lit(2), F.size(rows)), none)
+
+    def once(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def firsts(rows: Column) -> Column:
+        pairs = F.filter(F.arrays_zip(rows.alias("row"), shifted(rows, 1).alias("last")), lambda x: ~(
+            x["row"]["digest"].eqNullSafe(x["last"]["digest"]) & x["row"]["side"].eqNullSafe(x["last"]["side"])))
+        return F.transform(pairs, lambda x: x["row"])
+
+    def alone(rows: Column) -> Column:
+        around = F.arrays_zip(rows.alias("row"), shifted(rows, 1).alias("last"), shifted(rows, -1).alias("next"))
+        kept = F.filter(around, lambda x: ~x["row"]["digest"].eqNullSafe(x["last"]["digest"]) & ~x["row"]["digest"].eqNullSafe(x["next"]["digest"]))
+        return F.sort_array(F.transform(kept, lambda x: F.struct(
+            x["row"]["side"].alias("side"), x["row"]["section"].alias("section"), x["row"]["paragraph"].alias("paragraph"))))
+
+    return once(F.sort_array(F.concat(placed(a, 0), placed(b, 1))), lambda rows: once(firsts(rows), alone))
+
+
+def listed_edits(edits: Column) -> Column:
+    """Edits as text: ``-section.paragraph`` for what is gone, ``+section.paragraph`` for what is new."""
+    return F.array_join(F.transform(edits, lambda e: F.concat(
+        F.when(e["side"] == 0, "-").otherwise("+"), e["section"].cast("string"), F.lit("."), e["paragraph"].cast("string"))), ",")
 
 
 def with_next(docs: DataFrame, key: str, columns: list[str], pieces: int) -> DataFrame:
@@ -100,8 +130,10 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     The edited text is the text with the last half of its code points replaced
     by the first as many of the next document. A null text is an empty one.
-    Equal texts have equal fingerprints and likeness 1. Rows are narrowed to
-    the key and the results.
+    Equal texts have equal fingerprints and likeness 1. ``edits`` are the
+    paragraphs that differ between a text and its edited text. Repeated rows
+    follow each other, an empty table stays empty, texts of any length are read
+    whole. Rows are narrowed to the key and the results.
     """
     pieces = pieces or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -136,12 +168,24 @@ def oracle_sql() -> str:
     body = lambda t: f"array_to_string(list_transform({t}, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda l: l[1:8]), '')), '.')), '/')"
     flat = lambda t: f"list_distinct(list_transform(flatten(flatten({t})), lambda l: l[1:8]))"
     like = lambda a, b: f"2.0 * len(list_intersect({a}, {b})) / (len({a}) + len({b}))"
+
+
+    def places(tree_: str, side: int) -> str:
+        return f"""s{side} AS (SELECT doc_id, unnest({para(tree_)}) AS ps, generate_subscripts({tree_}, 1) - 1 AS i FROM f),
+u{side} AS (SELECT doc_id, i, unnest(ps) AS d, generate_subscripts(ps, 1) - 1 AS k FROM s{side}),
+p{side} AS (SELECT doc_id, {side} AS side, d, min([i, k]) AS place FROM u{side} GROUP BY doc_id, d)"""
+
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id NULLS FIRST, t), first_value(t) OVER (ORDER BY doc_id NULLS FIRST, t)) AS nt FROM d),
 e AS (SELECT *, length(t) AS k, substring(t, 1, length(t) - length(t) // 2) || substring(nt, 1, length(t) // 2) AS et FROM n),
 f AS (SELECT *, {tree("t")} AS a, {tree("et")} AS b, {tree("nt")} AS c FROM e),
-g AS (SELECT *, {flat("a")} AS sa, {flat("b")} AS sb, {flat("c")} AS sc FROM f)
+g AS (SELECT *, {flat("a")} AS sa, {flat("b")} AS sb, {flat("c")} AS sc FROM f),
+{places("a", 0)}, {places("b", 1)},
+m AS (SELECT * FROM p0 WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE p1.doc_id = p0.doc_id AND p1.d = p0.d)
+      UNION ALL SELECT * FROM p1 WHERE NOT EXISTS (SELECT 1 FROM p0 WHERE p0.doc_id = p1.doc_id AND p0.d = p1.d)),
+x AS (SELECT doc_id, string_agg(CASE side WHEN 0 THEN '-' ELSE '+' END || place[1] || '.' || place[2], ',' ORDER BY side, place) AS edits FROM m GROUP BY doc_id)
 SELECT doc_id, CAST(k AS BIGINT) AS n_chars, sha256(et) AS edited_sha256, {root("a")} || ':' || {body("a")} AS fingerprint,
-  {root("b")} || ':' || {body("b")} AS edited_fingerprint, {like("sa", "sb")} AS near_edited, {like("sa", "sc")} AS near_next FROM g
+  {root("b")} || ':' || {body("b")} AS edited_fingerprint, {like("sa", "sb")} AS near_edited, {like("sa", "sc")} AS near_next, coalesce(edits, '') AS edits
+FROM g LEFT JOIN x USING (doc_id)
 """

@@ -61,7 +61,9 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op5_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every whole document and of its edited text."""
     found = merkle.edited_fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+        merkle.listed_edits(F.col("edits")).alias("edits"))
 
 
 @query("op10_mixture_shards", sharding.oracle_sql())

@@ -23,40 +23,41 @@ def shard_mixture(
 
     The order within a stratum is that of md5(seed:key), then the key, then
     the other columns, so ties and repeated rows have a stable place. Null
-    strata form one stratum, null keys count as empty text. Other columns stay
-    as they are. Carry narrow rows only; join wide ones by shard and slot.
+    strata form one stratum, null keys count as empty text, an empty table stays
+    empty. Other columns stay as they are, whatever their names, but those named
+    ``shard`` or ``slot`` are replaced. Carry narrow rows only; join wide ones by
+    shard and slot.
     """
-    others = [c for c in rows.columns if c not in (key, stratum)]
-    ties = [F.col(key), *[F.col(f"`{c}`") for c in sorted(others)]]
-    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    cell = (F.conv(F.substring(mixed, 1, 8), 16, 10).cast("bigint") * buckets).bitwiseAND(~0xFFFFFFFF) / (1 << 32)
-    laid = rows.withColumns({"_mixed": mixed, "_cell": cell.cast("int")})
-    counts = laid.groupBy(F.col(stratum).alias("_stratum"), F.col("_cell").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    own = Window.partitionBy("_stratum")
+    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))))
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{stratum}`").alias("s"), mixed.alias("mixed"))
+    row = F.col("row")
+    ties = [row[key], *[row[c] for c in sorted(set(rows.columns) - {key, stratum})]]
+    cell = (F.conv(F.substring("mixed", 1, 8), 16, 10).cast("bigint") * buckets).bitwiseAND(~0xFFFFFFFF) / (1 << 32)
+    laid = packed.withColumn("cell", cell.cast("int"))
+    counts = laid.groupBy(F.col("s").alias("s_"), F.col("cell").alias("c_")).agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("s_")
     offsets = counts.select(
-        "_stratum", "_c", F.sum("_n").over(own).alias("_of"),
-        (F.sum("_n").over(own.orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
+        "s_", "c_", F.sum("n").over(own).alias("of"),
+        (F.sum("n").over(own.orderBy("c_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"),
     )
-    rank = F.row_number().over(Window.partitionBy(stratum, "_cell").orderBy("_mixed", *ties))
-    ranked = laid.withColumn("_rank", rank).join(
-        offsets, F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_cell") == F.col("_c"))
-    ).withColumn("_at", (2 * (F.col("_before") + F.col("_rank")) - 1) / (2.0 * F.col("_of"))).drop("_stratum", "_c", "_of", "_before", "_rank", "_cell")
-    placed = ranked.withColumn("_cell", F.floor(F.col("_at") * buckets).cast("int"))
-    cells = placed.groupBy(F.col("_cell").alias("_c")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_known", F.col("_c").isNotNull())
+    rank = F.row_number().over(Window.partitionBy("s", "cell").orderBy("mixed", *ties))
+    ranked = laid.withColumn("rank", rank).join(offsets, F.col("s").eqNullSafe(F.col("s_")) & (F.col("cell") == F.col("c_"))).select(
+        "row", "s", "mixed", ((2 * (F.col("before") + F.col("rank")) - 1) / (2.0 * F.col("of"))).alias("at"))
+    placed = ranked.withColumn("cell", F.floor(F.col("at") * buckets).cast("int"))
+    cells = placed.groupBy(F.col("cell").alias("c_")).agg(F.count(F.lit(1)).alias("n")).withColumn("known", F.col("c_").isNotNull())
     # one row for each of the buckets, whatever the input
-    everything = Window.partitionBy("_known")
+    everything = Window.partitionBy("known")
     ahead = cells.select(
-        "_c", F.sum("_n").over(everything).alias("_all"),
-        (F.sum("_n").over(everything.orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_ahead"),
+        "c_", F.sum("n").over(everything).alias("all_rows"),
+        (F.sum("n").over(everything.orderBy("c_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("ahead"),
     )
-    within = F.row_number().over(Window.partitionBy("_cell").orderBy("_at", stratum, "_mixed", *ties))
+    within = F.row_number().over(Window.partitionBy("cell").orderBy("at", "s", "mixed", *ties))
     # at most one row for each of the buckets, whatever the input
-    final = placed.withColumn("_within", within).join(F.broadcast(ahead), F.col("_cell") == F.col("_c"))
-    final = final.withColumn("_place", F.col("_ahead") + F.col("_within") - 1)
-    shard = F.expr(f"(_place * {shards}) div _all")
-    final = final.withColumn("shard", shard.cast("int"))
-    slot = F.col("_place") - F.expr(f"(shard * _all + {shards - 1}) div {shards}")
-    return final.withColumn("slot", slot.cast("bigint")).select(*[F.col(f"`{c}`") for c in rows.columns], "shard", "slot")
+    final = placed.withColumn("within", within).join(F.broadcast(ahead), F.col("cell") == F.col("c_"))
+    final = final.withColumn("place", F.col("ahead") + F.col("within") - 1).withColumn("shard", F.expr(f"(place * {shards}) div all_rows").cast("int"))
+    slot = F.col("place") - F.expr(f"(shard * all_rows + {shards - 1}) div {shards}")
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    return final.select(*[row[c].alias(c) for c in kept], "shard", slot.cast("bigint").alias("slot"))
 
 
 def measured_rows(docs: DataFrame, key: str = "doc_id", stratum: str = "source", text: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from lectern.llm import infilling, langid, licenses, mixing, quality, ranking, secrets, toxicity
+from lectern.llm import infilling, langid, licenses, mixing, quality, ranking, secrets, sharding, toxicity
 
 LONG = "the same words go on and on. " * 3000
 KINDS = "doc_id bigint, text string, lang string, source string, row string, words string, score double"
@@ -329,6 +329,13 @@ def test_a_given_column_of_the_result_is_replaced(odd):
         assert out.columns == [*odd.columns, name] and out.where(f"{name} IS NOT NULL").count() == len(ODD)
 
 
+def test_sharding_keeps_columns_of_any_name(odd):
+    named = odd.withColumns({"_at": F.lit("given"), "at": F.lit("too"), "shard": F.lit("old")})
+    out = sharding.shard_mixture(named)
+    assert out.columns == [*[c for c in named.columns if c != "shard"], "shard", "slot"]
+    assert out.where("_at = 'given' AND at = 'too' AND row = 'r'").count() == len(ODD)
+
+
 def test_long_keys_are_linked_and_masked(spark):
     key = "aB3/" * 100
     df = spark.createDataFrame([(1, f"user: alice and {key} here"), (2, f"only {key}")], "doc_id long, text string")

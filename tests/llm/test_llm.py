@@ -317,9 +317,13 @@ def test_toxic_words_are_learned(spark):
 
 
 def test_edits_are_located(spark):
-    df = spark.createDataFrame([("a\nb\n\nc\nd", "a\nb\n\nc\nX")], "x string, y string")
-    r = df.select(merkle.differing_paragraphs(merkle.leaf_tree(F.col("x")), merkle.leaf_tree(F.col("y"))).alias("e")).first()
-    assert [tuple(e) for e in r.e] == [(1, 1)]
+    cases = {
+        ("a\nb\n\nc\nd", "a\nb\n\nc\nX"): "-1.1,+1.1", ("a\nb\nc", "a\nnew\nb\nc"): "+0.1", ("a\nb\n\nc", "c"): "-0.0,-0.1", ("a\na\nb", "b\na"): "",
+        ("same", "same"): "", ("", "x\nx"): "-0.0,+0.0", ("a\n\nb", "b\n\na"): "",
+    }
+    df = spark.createDataFrame([(x, y, e) for (x, y), e in cases.items()], "x string, y string, want string")
+    found = merkle.listed_edits(merkle.differing_paragraphs(merkle.leaf_tree(F.col("x")), merkle.leaf_tree(F.col("y"))))
+    assert all(r.got == r.want for r in df.withColumn("got", found).collect())
 
 
 def test_shards_have_the_mixture(spark):
