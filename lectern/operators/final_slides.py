@@ -150,11 +150,13 @@ def place_leading_text(slides: DataFrame, split: bool | None = None) -> DataFram
     lead_row = F.col("gid") == 0
     lead = F.when(lead_row, F.struct(F.col("text").alias("t"), F.col("translated_text").alias("tr"),
                                      F.col("source_segment_ids").alias("ids")))
-    numbered = (
+    # only the second slide after it looks at the leading text: two steps back instead of a copy beside every row
+    first = (
         OrderedScan(slides, ["video_id"], ["gid"])
-        .running_sum("slide_index", (~lead_row).cast("bigint")).last_value("__lead", lead)
+        .running_sum("slide_index", (~lead_row).cast("bigint")).lag("__after", lead)
         .total("__kept", (~lead_row).cast("bigint")).apply(split)
     )
+    numbered = OrderedScan(first, ["video_id"], ["gid"]).lag("__second", "__after").apply(split).withColumn("__lead", F.coalesce(lead, F.col("__second")))
     some = F.coalesce((F.col("__lead.t") != "") | (F.size("__lead.ids") > 0), F.lit(False))
     erased = (F.col("slide_index") == 1) & ~F.col("received_text")
     takes = (F.col("slide_index") == 2) & some
