@@ -146,19 +146,16 @@ def resolve_style(units: DataFrame, styles: DataFrame, names: dict[str, str]) ->
 
     ``styles(level, key, name, value)`` with level default/role/slot; ``names``
     maps a wanted name to its default.  The table is turned into one map per key
-    first; how it is joined is left to Spark's own size check.
+    first; how it is joined is left to Spark's own size check, and the defaults are a scalar.
     """
     m = F.map_from_entries(F.collect_list(F.struct("name", "value")))
 
     def level(lv: str, key: str) -> DataFrame:
         return styles.where(F.col("level") == lv).groupBy(F.col("key").alias(key)).agg(m.alias(f"__{lv}"))
 
-    # an aggregate without keys: always exactly one row
-    base = styles.where(F.col("level") == "default").agg(m.alias("__default"))
-    out = (
-        units.join(level("slot", "slot_id"), "slot_id", "left").join(level("role", "role"), "role", "left")
-        .withColumn("__one", F.lit(1)).join(base.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
-    )
+    # an aggregate without keys is one value, whatever the table
+    base = styles.where(F.col("level") == "default").agg(m.alias("__default")).scalar()
+    out = units.join(level("slot", "slot_id"), "slot_id", "left").join(level("role", "role"), "role", "left").withColumn("__default", base)
     for name, default in names.items():
         at = [F.try_element_at(f"__{lv}", F.lit(name)) for lv in ("slot", "role", "default")]
         out = out.withColumn(name, F.coalesce(*at, F.lit(default)))
