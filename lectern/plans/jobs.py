@@ -142,14 +142,18 @@ def playback(slides: DataFrame, alignment: DataFrame, words: DataFrame | None, *
 
 
 def deck_consistency(original: DataFrame, translated: DataFrame, split: bool | None = None) -> dict[str, DataFrame]:
-    """Sequences, leftovers, first issue per slide, report, distinct glossary pairs of decks, and the glossary each slide goes by."""
+    """Sequences, leftovers, first issue per slide, report, distinct glossary pairs of decks, and the glossary each slide goes by.
+
+    Every step groups or joins by deck. Where both tables are partitioned by
+    ``deck_id`` alone, no step shuffles the texts again, and computing a step
+    once more is cheaper than keeping its texts in the checkpoint folder.
+    """
     if split is None:
         split = has_hot_key(original.select("deck_id"), ["deck_id"])
-    sequences = staged(consistency.build_sequences(consistency.text_sets(original), split))
-    mapping = staged(consistency.element_mapping(original, translated))
-    issues = staged(consistency.leftover_check(translated, sequences, mapping))
-    same = ["deck_id", "slide_index", "element_id"]
-    pairs = original.withColumnRenamed("text", "original").join(translated.withColumnRenamed("text", "translated"), same)
+    sequences = consistency.build_sequences(consistency.text_sets(original), split)
+    mapping = consistency.element_mapping(original, translated)
+    issues = consistency.leftover_check(translated, sequences, mapping)
+    pairs = consistency.element_pairs(original, translated)
     texts = original.select("deck_id", "slide_index", F.trim("text").alias("original")).distinct()
     running = consistency.slide_glossary(texts, consistency.glossary_intervals(pairs, split), sequences, mapping)
     return {
