@@ -373,7 +373,7 @@ def q_fonts(t):
 
 def _pages(t):
     """Documents as recognition results: a line is a paragraph, three lines a block."""
-    rows = t.text_lines().select("doc_id", "line_no", "line")
+    rows = t.text_lines(by_document=True).select("doc_id", "line_no", "line")
     words = F.transform(F.split("line", " "), lambda w: F.struct(F.array(
         F.struct(F.substring(w, 1, 3).alias("text"), F.lit(None).cast("string").alias("break")),
         F.struct(F.substr(w, F.lit(4)).alias("text"), F.lit("SPACE").alias("break"))).alias("symbols")))

@@ -39,3 +39,11 @@ def test_a_value_is_looked_up_as_by_a_join(spark):
     for how in ("inner", "left"):
         got = looked_up(rows, table, ["k"], ["n"], how)
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.join(table, "k", how).collect()), key=str)
+
+
+def test_recognised_pages_are_never_shuffled(spark):
+    """Words as nested symbols are many times as large as their text: documents are dealt out before they are cut."""
+    plan = entry.queries()["flatten_ocr"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning(doc_id" not in line] == []
+    plan = entry.queries()["group_text_units"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" in plan and not [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning(doc_id" in line and "REPARTITION" not in line]
