@@ -167,8 +167,9 @@ def dedupe_backfills(
 ) -> DataFrame:
     """Late candidates that look like the last kept frame, or as a slide like the last slide's frame, are dropped.
 
-    ``patches(video_id, frame_id, patch)``; candidates whose frame has no patch
-    are unreadable and go.
+    ``patches(video_id, frame_id, patch)``, one for a frame; candidates whose
+    frame has no patch are unreadable and go. Only patches that can be compared
+    enter the fold.
     """
     def step(last, at, flags, patch):
         (late, slide), (kept, shown) = flags, last
@@ -177,9 +178,17 @@ def dedupe_backfills(
             return last, 0
         return [(at, patch), (at, patch) if slide else shown], 1
 
-    rows = candidates.join(
-        patches.select("video_id", F.col("frame_id").alias("event_frame"), "patch"), ["video_id", "event_frame"]
-    ).select("video_id", *CANDIDATE_ORDER, F.col("updates_slide_state").cast("int").alias("__slide"), "patch")
+    own, place = patches.select("video_id", F.col("frame_id").alias("event_frame"), "patch"), ["video_id", "event_frame"]
+    readable = candidates.join(own.select(*place), place, "left_semi")
+    # what a late candidate may be compared with: itself, the row before it, and the last slide before it
+    late, slide = F.col("sort_priority") == 1, F.col("updates_slide_state")
+    marked = (
+        OrderedScan(readable, ["video_id"], CANDIDATE_ORDER).lead("__late", late)
+        .next_value("__ahead", F.when(late, F.lit(1)).when(slide, F.lit(0))).apply(split)
+    )
+    compared = late | F.coalesce("__late", F.lit(False)) | F.coalesce(slide & (F.col("__ahead") == 1), F.lit(False))
+    rows = marked.withColumn("__compared", compared).join(own.withColumn("__compared", F.lit(True)), [*place, "__compared"], "left").select(
+        "video_id", *CANDIDATE_ORDER, slide.cast("int").alias("__slide"), "patch")
     judged = speculative_fold(
         rows, ["video_id"], CANDIDATE_ORDER, "patch", ["sort_priority", "__slide"], step, 2, "__stays", piece_rows, split)
     return judged.where("__stays = 1").drop("__stays")
