@@ -171,6 +171,73 @@ def exact_phrases(phrases: DataFrame, candidates: DataFrame, keys: list[str] = S
     )
 
 
+def _masks(text: str) -> dict[str, int]:
+    """The places of each character as bits."""
+    masks: dict[str, int] = {}
+    for at, char in enumerate(text):
+        masks[char] = masks.get(char, 0) | (1 << at)
+    return masks
+
+
+def _common(text: str, masks: dict[str, int], low: int, high: int) -> int:
+    """Length of the longest common subsequence of a text and the characters low to high of ``masks``."""
+    full = (1 << (high - low)) - 1
+    own = {char: (masks.get(char, 0) >> low) & full for char in set(text)}
+    state = full
+    for char in text:
+        both = state & own[char]
+        state = ((state + both) | (state - both)) & full
+    return high - low - state.bit_count()
+
+
+def _coverable(matcher: SequenceMatcher, words: list[str], target: str) -> int:
+    """Most characters of the target that the matcher can find in any window of the words.
+
+    In targets of 200 characters and more a frequent character starts no
+    matching block: a block holds a rare one, or it begins both texts.
+    """
+    text, covered = " ".join(words), bytearray(len(target))
+
+    def cover(i: int, j: int) -> None:
+        low, high = 0, 0
+        while i > low and j > low and text[i - low - 1] == target[j - low - 1]:
+            low += 1
+        while i + high < len(text) and j + high < len(target) and text[i + high] == target[j + high]:
+            high += 1
+        covered[j - low : j + high] = b"\1" * (low + high)
+
+    for char, places in matcher.b2j.items():
+        i = text.find(char)
+        while i >= 0:
+            for j in places:
+                cover(i, j)
+            i = text.find(char, i + 1)
+    begin = 0
+    for word in words:
+        cover(begin, 0)
+        begin += len(word) + 1
+    return sum(covered)
+
+
+def _ratio(matcher: SequenceMatcher, text: str, target: str, masks: dict[str, int], least: float) -> float | None:
+    """``matcher.ratio()`` of a text and its target, or None as soon as it cannot reach ``least``."""
+    matcher.set_seq1(text)
+    total = len(text) + len(target)
+    possible = len(target)
+    parts = [(0, len(text), 0, len(target), possible)]
+    while parts:
+        a0, a1, b0, b1, most = parts.pop()
+        i, j, n = matcher.find_longest_match(a0, a1, b0, b1)
+        possible += n - most
+        for c0, c1, d0, d1 in ((a0, i, b0, j), (i + n, a1, j + n, b1)) if n else ():
+            if c0 < c1 and d0 < d1:
+                parts.append((c0, c1, d0, d1, _common(text[c0:c1], masks, d0, d1)))
+                possible += parts[-1][-1]
+        if 2.0 * possible / total < least - 1e-9:
+            return None
+    return 2.0 * possible / total
+
+
 class _Phrases:
     """Exact, then fuzzy match of each slide's words, searching on after the last match."""
 
@@ -187,37 +254,61 @@ class _Phrases:
     def fuzzy(self, words, ids, wanted):
         """Best window of words by similarity ratio, the first one on ties.
 
-        No ratio exceeds what the longest common subsequence allows, and that
-        grows word by word with a few integer operations per character; only
-        windows that could still win are compared in full.
+        No ratio exceeds what the longest common subsequence allows.  Windows
+        are compared in full from the highest such bound down, until none of
+        the others can win.
         """
         target = " ".join(wanted)
-        size = len(target)
-        full = (1 << size) - 1
-        masks: dict[str, int] = {}
-        for at, char in enumerate(target):
-            masks[char] = masks.get(char, 0) | (1 << at)
         matcher = SequenceMatcher(None, "", target)
-        best, found = 0.0, None
-        window = max(2, len(wanted) + 4)
+        masks, most = _masks(target), len(target)
+        if matcher.bpopular:
+            most = _coverable(matcher, words, target)
+            if 2.0 * most / (most + len(target)) < self.min_ratio - 1e-9:
+                return None
+        best, found = self.min_ratio, None
+        windows = self._windows(words, ids, masks, most, len(target), len(wanted))
+        for bound, at, end in sorted(windows, key=lambda w: (-w[0], w[1:])):
+            if bound < best - 1e-9:
+                break
+            score = _ratio(matcher, " ".join(words[at : end + 1]), target, masks, best)
+            if score and (score > best or score == best and (found is None or (at, end) < found)):
+                best, found = score, (at, end)
+        return found
+
+    def _windows(self, words, ids, masks, most, size, n_wanted):
+        """(bound, first word, last word) of the windows whose bound reaches the least ratio.
+
+        Without its first words a window has no longer subsequence in common
+        with the target, only fewer characters.  So one pass from a word also
+        bounds the windows that start later, and most of them need no pass.
+        """
+        full, least, width = (1 << size) - 1, self.min_ratio - 1e-9, max(2, n_wanted + 4)
+        begins, at_char = [], 0
+        for word in words:
+            begins.append(at_char)
+            at_char += len(word) + 1
+        origin = None
         for at in range(len(words)):
             if ids[at] < self.start:
                 continue
-            state, length = full, 0
-            for end in range(at, min(len(words), at + window)):
-                piece = words[end] if end == at else " " + words[end]
-                for char in piece:
-                    both = state & masks.get(char, 0)
-                    state = ((state + both) | (state - both)) & full
-                length += len(piece)
-                common = size - state.bit_count()
-                if 2.0 * common / (length + size) < max(best, self.min_ratio) - 1e-9:
-                    continue
-                matcher.set_seq1(" ".join(words[at : end + 1]))
-                score = matcher.ratio()
-                if score > best and score >= self.min_ratio:
-                    best, found = score, (at, end)
-        return found
+            last = min(len(words), at + width)
+            for own in (False, True):
+                if own or origin is None:
+                    # commons: of the words from origin up to each word; needs: from which first character on a window up to it passes
+                    origin, state, commons, needs = at, full, [], []
+                for end in range(origin + len(commons), last):
+                    for char in words[end] if end == origin else " " + words[end]:
+                        both = state & masks.get(char, 0)
+                        state = ((state + both) | (state - both)) & full
+                    commons.append(min(most, size - state.bit_count()))
+                    needs.append(begins[end] + len(words[end]) + size - 2.0 * commons[-1] / least - 1e-6 if least > 0 else 0)
+                if origin == at or begins[at] < min(needs[at - origin : last - origin]):
+                    break
+            if origin == at:
+                for end in range(at, last):
+                    bound = 2.0 * commons[end - at] / (begins[end] + len(words[end]) - begins[at] + size)
+                    if bound >= least:
+                        yield bound, at, end
 
     def __call__(self, wanted, ids, words):
         if not wanted or not words:

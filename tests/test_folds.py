@@ -223,6 +223,30 @@ def test_match_phrases(spark):
                 assert got[(v, s)] == (mine[found[0]][2], mine[found[1]][2], exact)
 
 
+def test_long_phrases_need_few_full_comparisons(monkeypatch):
+    calls, rnd = [], random.Random(4)
+    full = SequenceMatcher.find_longest_match
+    vocabulary = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 7))) for _ in range(60)]
+    words = [rnd.choice(vocabulary) for _ in range(120)]
+    words[70] = "quartz"
+    changed = [w.replace("e", "o") for w in words[30:90]]
+    close = [*words[30:60], "other", *words[61:90]]
+    found = []
+    for wanted in (changed, close):
+        best = (0.0, None)
+        for at in range(len(words)):
+            for end in range(at, min(len(words), at + len(wanted) + 4)):
+                score = SequenceMatcher(None, " ".join(words[at:end + 1]), " ".join(wanted)).ratio()
+                if score > best[0] and score >= 0.78:
+                    best = (score, (at, end))
+        found.append(best[1])
+    assert found[0] is None and found[1] is not None
+    monkeypatch.setattr(SequenceMatcher, "find_longest_match", lambda *a, **k: calls.append(1) or full(*a, **k))
+    got = [timeline._Phrases(0.78).fuzzy(words, list(range(len(words))), wanted) for wanted in (changed, close)]
+    assert got == found
+    assert len(calls) < 200
+
+
 TERMS = [(1, "the", "*", "der", "0"), (2, "of the", "", "des", "0"), (3, "C++", "*", "CPP", "1"), (4, "Über", "de", "Ueber", "0")]
 TEXTS = ["The end of the road, of THEm all", "c++ and C++ und über überall", "nothing here", ""]
 
