@@ -190,6 +190,9 @@ def match_termbase(candidates: DataFrame, terms: DataFrame) -> tuple[DataFrame,
 
 
 PROTECTED = "struct<text:string,keys:array<string>,targets:array<string>>"
+_WORKING = "struct<text:string,targets:array<string>>"
+#: a termbase of so many terms is sent to the texts, a larger one is joined to them
+FEW_TERMS = 256
 #: what a term or a text is looked up by: its words, and its signs for terms without a word
 _PARTS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 
@@ -218,38 +221,49 @@ def _term_pattern(term: Column, case_sensitive: Column) -> Column:
 
 def _replaced(text: Column, terms: Column) -> Column:
     """The terms of a text replaced one after the other; placeholders are numbered in that order."""
+    def placeholder(number: Column) -> Column:
+        return F.format_string("__TERM_%04d__", number.cast("int"))
+
     def step(acc: Column, term: Column) -> Column:
-        pieces = F.split(acc["text"], term["pattern"])
-        before = F.size(acc["keys"])
-        added = F.transform(
-            F.slice(pieces, F.lit(2), F.size(pieces) - 1),
-            lambda _p, i: F.format_string("__TERM_%04d__", before + i + 1))
-        wide = F.transform(
-            F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda p, i: F.concat(F.element_at(added, i + 1), p))
-        return F.struct(
-            F.concat(F.element_at(pieces, 1), F.array_join(wide, "")).alias("text"),
-            F.concat(acc["keys"], added).alias("keys"),
-            F.concat(acc["targets"], F.transform(added, lambda _k: term["target_text"])).alias("targets")).cast(PROTECTED)
+        before = F.size(acc["targets"])
 
-    none = F.array().cast("array<string>")
-    start = F.struct(text.alias("text"), none.alias("keys"), none.alias("targets")).cast(PROTECTED)
-    return F.aggregate(terms, start, step)
+        def joined(pieces: Column) -> Column:
+            marked = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(placeholder(before + i), p)))
+            return F.struct(
+                F.array_join(marked, "").alias("text"),
+                F.concat(acc["targets"], F.array_repeat(term["target_text"], F.size(pieces) - 1)).alias("targets")).cast(_WORKING)
+
+        # one element, so that a text is cut once and not wherever its pieces are named
+        return F.element_at(F.transform(F.array(F.split(acc["text"], term["pattern"])), joined), 1)
+
+    start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("targets")).cast(_WORKING)
+    return F.aggregate(terms, start, step, lambda acc: F.struct(
+        acc["text"].alias("text"), F.transform(acc["targets"], lambda _t, i: placeholder(i + 1)).alias("keys"),
+        acc["targets"].alias("targets")).cast(PROTECTED))
 
 
-def protect_terms(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+def protect_terms(rows: DataFrame, text: str, terms: DataFrame, few_terms: int = FEW_TERMS) -> DataFrame:
     """Adds ``protected`` (text, keys, targets) and ``termbase_hits``.
 
-    Each distinct text is joined to the terms one of whose words it contains,
-    by equality; then its own terms are replaced in term order.  Only the digest
-    of a text takes part in that join.
+    The terms one of whose words a text contains are replaced in term order.  A
+    termbase of up to ``few_terms`` terms goes to the texts; otherwise each
+    distinct text is joined to its terms by equality, and only the digest of a
+    text takes part in that join.
     """
     patterns = terms.select(
         _look_up_key(F.col("source_text")).alias("__part"),
         F.struct("term_order", _term_pattern(F.col("source_text"), F.col("case_sensitive")).alias("pattern"), "target_text").alias("t"))
-    plain = rows.withColumn("__plain", F.coalesce(F.col(text), F.lit(""))).withColumn("__id", F.sha2("__plain", 256))
+    plain = rows.withColumn("__plain", F.coalesce(F.col(text), F.lit("")))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("__plain"), F.lit(_PARTS), F.lit(0)))
+    if patterns.limit(few_terms + 1).count() <= few_terms:
+        listed = patterns.agg(F.array_sort(F.collect_list(F.struct("t", "__part"))).alias("__all"))
+        own = plain.withColumn("__words", words).crossJoin(F.broadcast(listed)).withColumn(
+            "__terms", F.filter("__all", lambda x: F.array_contains("__words", x["__part"]))).drop("__words", "__all")
+        return own.withColumn("protected", _replaced(F.col("__plain"), F.col("__terms.t"))).drop("__plain", "__terms").withColumn(
+            "termbase_hits", F.size("protected.keys").cast("bigint"))
+    plain = plain.withColumn("__id", F.sha2("__plain", 256))
     texts = plain.select("__id", "__plain").dropDuplicates(["__id"])
-    parts = texts.select("__id", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("__plain"), F.lit(_PARTS), F.lit(0)))).alias("__part"))
+    parts = texts.select("__id", F.explode(words).alias("__part"))
     found = parts.join(patterns, "__part").groupBy("__id").agg(F.array_sort(F.collect_list("t")).alias("__terms"))
     done = texts.join(found, "__id").select(
         "__id", _replaced(F.col("__plain"), F.col("__terms")).alias("protected"))

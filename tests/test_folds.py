@@ -300,6 +300,18 @@ def test_protect_with_a_large_termbase(spark):
     assert got["w24999 \\E"].text == "__TERM_0001__ __TERM_0002__" and got["w24999 \\E"].targets == ["t24999", "SLASH"]
 
 
+def test_few_terms_go_to_the_texts(spark):
+    """No text is shuffled for a short termbase, and both ways give the same."""
+    _rows, terms = _protected(spark)
+    texts = [*TEXTS, None, "the C++ " * 300]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i bigint, t string")
+    sent, joined = memory.protect_terms(rows, "t", terms), memory.protect_terms(rows, "t", terms, few_terms=0)
+    got = {r.i: (r.protected, r.termbase_hits) for r in sent.collect()}
+    assert got == {r.i: (r.protected, r.termbase_hits) for r in joined.collect()}
+    assert got[5][1] == 600 and got[5][0].keys[-1] == "__TERM_0600__" and got[5][0].targets == ["der"] * 300 + ["CPP"] * 300
+    assert "hashpartitioning" not in sent._jdf.queryExecution().toString()
+
+
 def test_lost_placeholder_is_reported(spark):
     row = spark.createDataFrame([("a __TERM_0001__", ["__TERM_0001__", "__TERM_0002__"], ["x", "y"])], "t string, k array<string>, v array<string>")
     restored, lost = memory.restore_terms(F.col("t"), F.col("k"), F.col("v"))
