@@ -256,8 +256,8 @@ def protect_terms(rows: DataFrame, text: str, terms: DataFrame, few_terms: int =
     plain = rows.withColumn("__plain", F.coalesce(F.col(text), F.lit("")))
     words = F.array_distinct(F.regexp_extract_all(F.lower("__plain"), F.lit(_PARTS), F.lit(0)))
     if patterns.limit(few_terms + 1).count() <= few_terms:
-        listed = patterns.agg(F.array_sort(F.collect_list(F.struct("t", "__part"))).alias("__all"))
-        own = plain.withColumn("__words", words).crossJoin(F.broadcast(listed)).withColumn(
+        listed = patterns.agg(F.array_sort(F.collect_list(F.struct("t", "__part"))).alias("__all")).scalar()
+        own = plain.withColumns({"__words": words, "__all": listed}).withColumn(
             "__terms", F.filter("__all", lambda x: F.array_contains("__words", x["__part"]))).drop("__words", "__all")
         return own.withColumn("protected", _replaced(F.col("__plain"), F.col("__terms.t"))).drop("__plain", "__terms").withColumn(
             "termbase_hits", F.size("protected.keys").cast("bigint"))
