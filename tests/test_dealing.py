@@ -47,3 +47,13 @@ def test_recognised_pages_are_never_shuffled(spark):
     assert [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning(doc_id" not in line] == []
     plan = entry.queries()["group_text_units"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "ENSURE_REQUIREMENTS" in plan and not [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning(doc_id" in line and "REPARTITION" not in line]
+
+
+def test_a_shared_text_is_cleaned_once(spark):
+    from lectern.operators.segments import apportion_words
+
+    rows = [(1, 1, " a  b c ", 10, 0), (1, 1, " a  b c ", 20, 10), (1, 2, "", 5, 0)]
+    df = spark.createDataFrame(rows, "video_id bigint, segment_id bigint, text string, overlap_ms bigint, bucket_start_ms bigint")
+    out = apportion_words(df, "text", "chunk", split=False)
+    assert [r.chunk for r in out.orderBy("segment_id", "bucket_start_ms").collect()] == ["a", "b c", ""]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
