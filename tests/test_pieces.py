@@ -104,3 +104,15 @@ def test_empty_tables(spark):
     pictures = spark.createDataFrame([], "video_id bigint, event_id bigint, image array<double>")
     assert final_slides.duplicate_targets(spark.createDataFrame([], SLIDE), pictures).count() == 0
     assert chunking.PIECE_ROWS > 1
+
+
+def test_a_piece_converts_only_its_own_values():
+    import pyarrow as pa
+
+    from lectern.operators.speculative import _vectors
+
+    batch = pa.array([[i, i + 1, i + 2] if i % 5 else None for i in range(100)], pa.list_(pa.float32()))
+    for part in (batch.slice(21, 4), batch.slice(20, 0), batch):
+        got = _vectors(part)
+        assert [None if v is None else v.tolist() for v in got] == part.to_pylist()
+        assert all(v.base.size <= 3 * len(part) for v in got if v is not None)
