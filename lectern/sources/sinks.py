@@ -44,9 +44,15 @@ def write_payloads(rows: DataFrame, keys: list[str], order: list[str], path: str
 
 
 def write_srt(cues: DataFrame, path: str) -> None:
-    """Subtitle files, a folder per video; cues are sorted inside their partition."""
+    """Subtitle files, a folder per video; cues are sorted inside their partition.
+
+    The time goes into opening files, not into bytes, so the partitions must not
+    be merged by their size; by a hash of their own, cues that come out of a
+    window by video are dealt out anew as well.
+    """
+    parts = int(cues.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        cues.repartition("video_id").sortWithinPartitions("video_id", "cue_no")
+        cues.repartition(parts, F.xxhash64("video_id")).sortWithinPartitions("video_id", "cue_no")
         .select("video_id", "cue").write.mode("overwrite").partitionBy("video_id").text(path)
     )
 

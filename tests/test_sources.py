@@ -6,6 +6,7 @@ import json
 import struct
 import wave
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.sources import readers, sinks
@@ -158,6 +159,16 @@ def test_writers(spark, tmp_path):
     assert sinks.read_published(spark, str(tmp_path / "pub")).count() == 2
 
 
+def test_subtitle_files_are_dealt_out(spark, tmp_path):
+    """Few bytes in many files are not left to one task."""
+    by_video = Window.partitionBy("video_id").orderBy("cue")
+    cues = spark.range(40).select(F.col("id").alias("video_id"), F.lit("cue\n").alias("cue")).withColumn("cue_no", F.row_number().over(by_video))
+    sinks.write_srt(cues, str(tmp_path / "many"))
+    tasks = {p.name.split("-")[1] for p in (tmp_path / "many").glob("*/*.txt")}
+    assert len(tasks) > 1
+    assert len(list((tmp_path / "many").glob("*/*.txt"))) == 40
+
+
 def test_very_many_keys_in_few_files(spark, tmp_path):
     cues = spark.range(200_000).select(
         (F.col("id") % 100_000).alias("video_id"), F.floor(F.col("id") / 100_000).alias("cue_no"), F.concat(F.lit("cue "), "id").alias("cue"))
