@@ -257,8 +257,9 @@ def protect_terms(rows: DataFrame, text: str, terms: DataFrame, few_terms: int =
     words = F.array_distinct(F.regexp_extract_all(F.lower("__plain"), F.lit(_PARTS), F.lit(0)))
     if patterns.limit(few_terms + 1).count() <= few_terms:
         listed = patterns.agg(F.array_sort(F.collect_list(F.struct("t", "__part"))).alias("__all")).scalar()
-        own = plain.withColumns({"__words": words, "__all": listed}).withColumn(
-            "__terms", F.filter("__all", lambda x: F.array_contains("__words", x["__part"]))).drop("__words", "__all")
+        # one element, so that the words are cut out once and not for each term
+        own = plain.withColumn("__all", listed).withColumn("__terms", F.element_at(F.transform(
+            F.array(words), lambda w: F.filter("__all", lambda x: F.array_contains(w, x["__part"]))), 1)).drop("__all")
         return own.withColumn("protected", _replaced(F.col("__plain"), F.col("__terms.t"))).drop("__plain", "__terms").withColumn(
             "termbase_hits", F.size("protected.keys").cast("bigint"))
     plain = plain.withColumn("__id", F.sha2("__plain", 256))
