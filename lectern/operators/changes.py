@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.times import event_frame, timecode
 from lectern.operators.final_slides import alike
-from lectern.operators.grouped import with_group_values
+from lectern.operators.grouped import looked_up, with_group_values
 from lectern.operators.intervals import FRAME_BIN, overlap_join
 from lectern.operators.scan import OrderedScan
 from lectern.operators.speculative import PIECE_ROWS, speculative_fold
@@ -95,6 +95,100 @@ def pick_stable_frame(
     )
 
 
+def short_run_motion(
+    runs: DataFrame, diffs: DataFrame, threshold_milli: int = 120, end_guard: int = 2, lookahead: int = 2
+) -> DataFrame:
+    """``longest_run`` and the frame with the least motion of the short runs that have differences, from one interval join.
+
+    The values are those of ``longest_stable_run`` and ``pick_stable_frame``; a
+    short run has at most a few dozen frames, so its window is bounded.
+    """
+    keys = ["video_id", "seg_idx"]
+    w = Window.partitionBy(*keys).orderBy("frame_id")
+    low = F.col("diff_milli") <= threshold_milli
+    rows = run_frame_diffs(runs.select(*keys, "f0", "f1"), diffs).withColumns({
+        "__ahead": F.max("diff_milli").over(w.rangeBetween(1, lookahead)),
+        "__island": F.sum((~low).cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    })
+    scored = F.col("__ahead").isNotNull() & (F.col("frame_id") <= F.col("f1") - end_guard)
+    score = F.struct((2 * F.col("__ahead") + F.col("diff_milli")).alias("score"), "frame_id")
+    return (
+        rows.groupBy(*keys, "__island").agg(F.sum(low.cast("bigint")).alias("n"), F.min(F.when(scored, score)).alias("best"))
+        .groupBy(*keys).agg((F.max("n") + 1).alias("longest_run"), F.min("best")["frame_id"].alias("still_frame"))
+    )
+
+
+def targeted(
+    runs: DataFrame, transitions: DataFrame, motion: DataFrame, *, settle: int = 3, blend_max: int = 40, backfill_min: int = 12,
+    min_frames: int = 6,
+) -> DataFrame:
+    """Candidates of ordinary videos before late ones are left out: first slide runs, transitions, long slide runs.
+
+    The rows of ``match_boundaries``, ``blend_targets``, ``suppress_repeats``,
+    ``initial_events`` and ``long_slide_runs``, by windows that all keep to the
+    partitions of a video. ``motion`` is what ``short_run_motion`` gives. A run
+    is looked up by the transitions and is a candidate itself in the same pass,
+    so the runs are computed once.
+    """
+    length = F.col("f1") - F.col("f0") + 1
+    slide, short = F.col("slide_id") >= 0, (F.col("slide_id") < 0) & (length <= blend_max)
+    default = event_frame(F.col("f0"), F.col("f1"), settle, None)
+    held = looked_up(runs.select("video_id", "seg_idx", "slide_id", "f0", "f1"), motion, ["video_id", "seg_idx"], ["longest_run", "still_frame"], "left")
+    around = (
+        OrderedScan(held, ["video_id"], ["seg_idx"]).lag("__prev", "f1")
+        .lead("__next", F.struct("seg_idx", (F.col("slide_id") >= 0).alias("slide"), default.alias("frame")))
+        .max_before("__shown", slide.cast("int")).apply(False)
+    )
+    # a short run of moving video without a stable part hands its transition to the next slide run
+    stable = (length >= min_frames) & (F.coalesce("longest_run", F.lit(1).cast("bigint")) >= min_frames)
+    stable = F.coalesce(short & stable, F.lit(False))
+    moves = F.coalesce(short & ~stable & F.col("__next.slide"), F.lit(False))
+    inside = F.greatest("f0", F.least("f1", default))
+    still = F.greatest(F.lit(1), F.when(F.col("f1") <= F.col("f0"), inside).otherwise(F.coalesce("still_frame", inside)))
+    # without a following run the stability is never examined and counts as given
+    own_frame = F.when(short & (F.col("__next").isNull() | stable), F.coalesce(still, F.greatest(F.lit(1), default))).otherwise(default)
+    no_number, initial = F.lit(None).cast("bigint"), slide & (F.coalesce("__shown", F.lit(0)) == 0)
+    edges = around.select(
+        "video_id", (F.col("__prev") + 1).alias("frame_id_0"), (F.col("f0") + 1).alias("frame_id_1"), no_number.alias("transition_no"),
+        F.lit(True).alias("__run"), "seg_idx", "f0", "f1", default.alias("__frame"),
+        F.when(initial, 0).when(slide & (length >= backfill_min), 1).alias("sort_priority"),
+        F.when(moves, F.col("__next.seg_idx")).otherwise(F.col("seg_idx")).alias("__to"),
+        F.when(moves, F.col("__next.slide")).otherwise(slide).alias("__to_slide"),
+        F.when(moves, F.col("__next.frame")).otherwise(own_frame).alias("__to_frame"),
+    )
+    given = transitions.select("video_id", "frame_id_0", "frame_id_1", "transition_no", F.lit(False).alias("__run"))
+    known = F.col("video_id").isNotNull() & F.col("frame_id_0").isNotNull() & F.col("frame_id_1").isNotNull()
+    # the run that starts at a transition; the later run wins
+    edge = F.when(F.col("__run") & known, F.struct("seg_idx", "__to", "__to_slide", "__to_frame"))
+    met = (
+        given.unionByName(edges, allowMissingColumns=True)
+        .withColumn("__t", F.max(edge).over(Window.partitionBy("video_id", "frame_id_0", "frame_id_1")))
+        .where(~F.col("__run") | F.col("sort_priority").isNotNull())
+    )
+    # a transition that leads to the same run as the one before goes; unmatched ones always stay
+    target, none = F.col("__t.__to"), F.lit(-1).cast("bigint")
+    scanned = (
+        OrderedScan(met, ["video_id"], ["transition_no"])
+        .lag("__before", F.when(~F.col("__run"), F.coalesce(target, none)))
+        .whole_max("__first", F.when((F.col("sort_priority") == 0) & F.col("video_id").isNotNull(), F.col("seg_idx"))).apply(False)
+        .where(F.col("__run") | target.isNull() | (target != F.coalesce("__before", "__first", none)))
+    )
+
+    def either(of_run, of_transition):
+        return F.when(F.col("__run"), of_run).otherwise(of_transition)
+
+    frame = F.when(target.isNull(), F.greatest(F.lit(1), F.col("frame_id_1") + settle)).otherwise(F.col("__t.__to_frame"))
+    to_slide = F.col("__t.__to_slide")
+    return scanned.select(
+        "video_id", either(F.col("__frame"), frame).cast("bigint").alias("event_frame"),
+        either(F.col("sort_priority"), F.lit(0)).alias("sort_priority"),
+        either(F.col("f0"), F.col("frame_id_0")).alias("frame_id_0"), either(F.col("f1"), F.col("frame_id_1")).alias("frame_id_1"),
+        either(F.lit(0).cast("bigint"), F.col("transition_no")).alias("transition_no"),
+        either(F.lit(True), F.coalesce(to_slide, F.lit(True))).alias("updates_slide_state"),
+        either(F.col("seg_idx"), F.when(to_slide, target)).alias("seg_idx"),
+    )
+
+
 def blend_targets(
     matched: DataFrame, runs: DataFrame, stable: DataFrame, blend_max: int = 40, split: bool | None = None
 ) -> DataFrame:
@@ -157,6 +251,17 @@ def keep_uncovered(candidates: DataFrame, split: bool | None = None) -> DataFram
     return marked.where((F.col("sort_priority") == 0) | ~F.col("__covered")).drop("__covered")
 
 
+def keep_uncovered_ended(candidates: DataFrame, media: DataFrame) -> DataFrame:
+    """``keep_uncovered`` for ordinary videos with their number of frames as ``__frames``, by one window over both tables."""
+    ends = media.select("video_id", F.col("frame_count").alias("__frames"), F.lit(True).alias("__end"))
+    w = Window.partitionBy("video_id").orderBy("seg_idx")
+    marked = candidates.withColumn("__end", F.lit(False)).unionByName(ends, allowMissingColumns=True).withColumns({
+        "__covered": F.bool_or(F.col("sort_priority") == 0).over(w.rangeBetween(Window.currentRow, Window.currentRow)),
+        "__frames": F.max("__frames").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
+    return marked.where(~F.col("__end") & ((F.col("sort_priority") == 0) | ~F.col("__covered"))).drop("__covered", "__end")
+
+
 def backfill_candidates(runs: DataFrame, covered: DataFrame, min_frames: int = 12) -> DataFrame:
     """Long enough slide runs that no candidate covers yet."""
     return long_slide_runs(runs, min_frames).join(covered.select("video_id", "seg_idx").distinct(), ["video_id", "seg_idx"], "left_anti")

@@ -13,9 +13,47 @@ from lectern.settings import has_hot_key
 def candidates(
     runs: DataFrame, transitions: DataFrame, diffs: DataFrame, *,
     settle: int = 3, blend_max: int = 40, backfill_min: int = 12, threshold_milli: int = 120,
-    end_guard: int = 2, lookahead: int = 2, split: bool | None = None,
+    end_guard: int = 2, lookahead: int = 2, split: bool | None = None, media: DataFrame | None = None, parts: int | None = None,
 ) -> DataFrame:
-    """Primary candidates (first slide run, transitions) and late ones for uncovered runs."""
+    """Primary candidates (first slide run, transitions) and late ones for uncovered runs.
+
+    With ``media(video_id, frame_count)``, one row a video, no event lies
+    behind the end of its video. ``parts`` is the number of partitions that
+    ``runs`` are dealt into by video, if they are.
+    """
+    if split is None:
+        split = has_hot_key(runs.select("video_id"), ["video_id"])
+    if split:
+        rows = _joined_candidates(
+            runs, transitions, diffs, settle=settle, blend_max=blend_max, backfill_min=backfill_min, threshold_milli=threshold_milli,
+            end_guard=end_guard, lookahead=lookahead)
+        return ops.keep_uncovered(rows if media is None else _ended(rows, media), split)
+    short = runs.where((F.col("slide_id") < 0) & (F.col("f1") - F.col("f0") + 1 <= blend_max))
+    motion = ops.short_run_motion(short, diffs, threshold_milli, end_guard, lookahead)
+    if parts is not None:
+        motion = motion.repartition(parts, "video_id")
+    rows = ops.targeted(runs, transitions, motion, settle=settle, blend_max=blend_max, backfill_min=backfill_min)
+    if media is None:
+        return ops.keep_uncovered(rows, split)
+    return _clamped(ops.keep_uncovered_ended(rows, media)).select(*rows.columns)
+
+
+def _clamped(rows: DataFrame) -> DataFrame:
+    inside = F.when(F.col("__frames") > 0, F.least(F.col("__frames"), F.col("event_frame"))).otherwise(F.col("event_frame"))
+    return rows.withColumn("event_frame", F.greatest(F.lit(1), inside).cast("bigint"))
+
+
+def _ended(rows: DataFrame, media: DataFrame) -> DataFrame:
+    counts = media.select(F.col("video_id").alias("__video"), F.col("frame_count").alias("__frames"))
+    return _clamped(rows.join(counts, F.col("video_id").eqNullSafe(F.col("__video")), "left")).select(*rows.columns)
+
+
+def _joined_candidates(
+    runs: DataFrame, transitions: DataFrame, diffs: DataFrame, *,
+    settle: int, blend_max: int, backfill_min: int, threshold_milli: int, end_guard: int, lookahead: int,
+) -> DataFrame:
+    """The rows of ``targeted`` where a video is too large for one task."""
+    split = True
     initial = ops.initial_events(runs)
     short = runs.where((F.col("slide_id") < 0) & (F.col("f1") - F.col("f0") + 1 <= blend_max))
     stable = ops.longest_stable_run(short, diffs, "seg_idx", threshold_milli, split=split)
@@ -47,7 +85,7 @@ def candidates(
 
     primary = from_run(initial, 0).unionByName(from_transitions)
     late = from_run(ops.long_slide_runs(runs, backfill_min), 1)
-    return ops.keep_uncovered(primary.unionByName(late), split)
+    return primary.unionByName(late)
 
 
 def slide_changes(
@@ -57,12 +95,7 @@ def slide_changes(
     """Numbered slide changes; with ``media(video_id, frame_count)`` no event lies behind the end of its video."""
     if split is None:
         split = has_hot_key(runs.select("video_id"), ["video_id"])
-    rows = candidates(runs, transitions, diffs, split=split, **options)
-    if media is not None:
-        counts = media.select(F.col("video_id").alias("__video"), F.col("frame_count").alias("__frames"))
-        rows = rows.join(counts, F.col("video_id").eqNullSafe(F.col("__video")), "left")
-        inside = F.when(F.col("__frames") > 0, F.least(F.col("__frames"), F.col("event_frame"))).otherwise(F.col("event_frame"))
-        rows = rows.withColumn("event_frame", F.greatest(F.lit(1), inside).cast("bigint")).drop("__video", "__frames")
+    rows = candidates(runs, transitions, diffs, split=split, media=media, **options)
     if patches is not None:
         rows = ops.dedupe_backfills(rows, patches, dedupe_threshold)
     return ops.number_events(rows, fps_milli, split)
