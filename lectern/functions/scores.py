@@ -95,5 +95,6 @@ def padding_shorthand(value: Column) -> Column:
 def is_noise(role: Column, marker: Column, alnum: Column, area: Column) -> Column:
     """A tiny box with next to no letters; headings and list items are never noise."""
     exempt = role.isin("title", "subtitle", "section_heading", "list_item_level_1", "list_item_level_2") | marker
-    tiny = ((alnum == 0) & (area <= 700)) | ((alnum <= 1) & (area <= 1200)) | ((alnum <= 2) & (area <= 350))
+    # the area first: the letters of a box that is not tiny are never counted
+    tiny = ((area <= 700) & (alnum == 0)) | ((area <= 1200) & (alnum <= 1)) | ((area <= 350) & (alnum <= 2))
     return ~exempt & tiny

@@ -80,23 +80,26 @@ def drop_noise(units: DataFrame) -> DataFrame:
     """Units worth translating: not in a graphic, not an artefact, with letters or digits."""
     alnum = F.length(alnum_only(F.col("source_text")))
     noise = is_noise(F.col("role"), F.col("list_marker"), alnum, F.greatest(F.lit(1), F.col("w")) * F.greatest(F.lit(1), F.col("h")))
-    return (
-        units.where((F.col("role") != "graphic_embedded") & ~noise)
-        .withColumn("source_text_norm", norm_slide(F.col("source_text")))
-        .where((F.col("source_text_norm") != "") & has_alnum(F.col("source_text_norm")))
-    )
+    # one element, so that a text is normalized once and not wherever the filter names it
+    normed = units.where((F.col("role") != "graphic_embedded") & ~noise).withColumn(
+        "source_text_norm", F.explode(F.array(norm_slide(F.col("source_text")))))
+    # a text with a letter or digit is not empty
+    return normed.where(has_alnum(F.col("source_text_norm")))
 
 
 def apply_glossary(units: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Outcome of each unit: resolved, identical, missing_glossary_match or empty_target_text."""
-    g = glossary.select("source_text_norm", F.trim(F.coalesce("target_text", F.lit(""))).alias("target_text"),
-                        F.lit(True).alias("__found"))
-    joined = units.join(g, "source_text_norm", "left")
-    outcome = (
-        F.when(F.col("__found").isNull(), "missing_glossary_match").when(F.col("target_text") == "", "empty_target_text")
-        .when(norm_slide(F.col("target_text")) == F.col("source_text_norm"), "identical").otherwise("resolved")
+    """Outcome of each unit: resolved, identical, missing_glossary_match or empty_target_text.
+
+    What becomes of a text is decided by its entry alone, once an entry and not once a unit.
+    """
+    target = F.trim(F.coalesce("target_text", F.lit("")))
+    found = (
+        F.when(target == "", "empty_target_text")
+        .when(norm_slide(target) == F.col("source_text_norm"), "identical").otherwise("resolved")
     )
-    return joined.withColumn("outcome", outcome).drop("__found")
+    g = glossary.select("source_text_norm", target.alias("target_text"), found.alias("outcome"))
+    joined = units.join(g, "source_text_norm", "left")
+    return joined.withColumn("outcome", F.coalesce("outcome", F.lit("missing_glossary_match")))
 
 
 def slide_output_status(outcomes: DataFrame, keys: list[str], policy: str = "partial") -> DataFrame:
