@@ -221,6 +221,19 @@ def test_near_dedup_joins_all_texts_alike(spark):
         assert {r.doc_id: r.component_id for r in shingles.near_copies(df, part_nodes=nodes).collect()} == expected
 
 
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    """Copies under an id that leads another group, under no id, or under one id with other texts go as well."""
+    base = {name: " ".join(f"{name}{k}" for k in range(60)) for name in "abcd"}
+    edited = {name: f"{t} more" for name, t in base.items()}
+    rows = [(0, base["a"], "x"), (1, base["b"], "x"), (1, edited["a"], "x"), (None, base["c"], "x"), (None, edited["c"], "y"), (None, edited["b"], "y"),
+            (2, base["d"], "x"), (2, edited["d"], "x"), (2, base["d"], "x"), (3, base["d"].upper(), "x"), (4, None, "x"), (5, "", "y"), (None, " ", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    stayed = corpus_pipeline.near_dedup(spark, df, SMALL)
+    assert stayed.columns == df.columns
+    got = sorted(((r.doc_id, (r.text or "").lower()[:1]) for r in stayed.collect()), key=str)
+    assert got == sorted([(0, "a"), (1, "b"), (None, "c"), (2, "d"), (4, "")], key=str)
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
