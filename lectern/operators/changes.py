@@ -269,12 +269,15 @@ def backfill_candidates(runs: DataFrame, covered: DataFrame, min_frames: int = 1
 
 def dedupe_backfills(
     candidates: DataFrame, patches: DataFrame, threshold: float, piece_rows: int = PIECE_ROWS, split: bool | None = None,
+    picture: str | None = None,
 ) -> DataFrame:
     """Late candidates that look like the last kept frame, or as a slide like the last slide's frame, are dropped.
 
     ``patches(video_id, frame_id, patch)``, one for a frame; candidates whose
     frame has no patch are unreadable and go. Only patches that can be compared
-    enter the fold.
+    enter the fold. Where frames share pictures, ``picture`` is the column of
+    the candidates that names theirs, and ``patches`` holds that column and
+    ``patch``, one row for a picture: candidates need not be dealt out by frame.
     """
     def step(last, at, flags, patch):
         (late, slide), (kept, shown) = flags, last
@@ -283,15 +286,21 @@ def dedupe_backfills(
             return last, 0
         return [(at, patch), (at, patch) if slide else shown], 1
 
-    own, place = patches.select("video_id", F.col("frame_id").alias("event_frame"), "patch"), ["video_id", "event_frame"]
+    if picture is None:
+        own, place = patches.select("video_id", F.col("frame_id").alias("event_frame"), "patch"), ["video_id", "event_frame"]
+    else:
+        own, place = patches.select(picture, "patch"), [picture]
     readable = candidates.join(own.select(*place), place, "left_semi")
+    if picture is not None:
+        # as a frame without a video has no patch
+        readable = readable.where(F.col("video_id").isNotNull() & F.col("event_frame").isNotNull())
     # what a late candidate may be compared with: itself, the row before it, and the last slide before it
     late, slide = F.col("sort_priority") == 1, F.col("updates_slide_state")
     marked = (
-        OrderedScan(readable, ["video_id"], CANDIDATE_ORDER).lead("__late", late)
+        OrderedScan(readable, ["video_id"], CANDIDATE_ORDER).next_value("__late", late)
         .next_value("__ahead", F.when(late, F.lit(1)).when(slide, F.lit(0))).apply(split)
     )
-    compared = late | F.coalesce("__late", F.lit(False)) | F.coalesce(slide & (F.col("__ahead") == 1), F.lit(False))
+    compared = late | F.coalesce(F.col("__late"), F.lit(False)) | F.coalesce(slide & (F.col("__ahead") == 1), F.lit(False))
     rows = marked.withColumn("__compared", compared).join(own.withColumn("__compared", F.lit(True)), [*place, "__compared"], "left").select(
         "video_id", *CANDIDATE_ORDER, slide.cast("int").alias("__slide"), "patch")
     judged = speculative_fold(

@@ -97,5 +97,5 @@ def slide_changes(
         split = has_hot_key(runs.select("video_id"), ["video_id"])
     rows = candidates(runs, transitions, diffs, split=split, media=media, **options)
     if patches is not None:
-        rows = ops.dedupe_backfills(rows, patches, dedupe_threshold)
+        rows = ops.dedupe_backfills(rows, patches, dedupe_threshold, split=split)
     return ops.number_events(rows, fps_milli, split)
