@@ -372,22 +372,25 @@ def q_fonts(t):
 
 
 def _pages(t):
-    """Documents as recognition results: a line is a paragraph, three lines a block."""
+    """Documents as recognition results: a line is a paragraph, three lines a block.
+
+    The lines are put together as texts; words become nested symbols only then.
+    """
+    def paragraph(row):
+        words = F.transform(F.split(row["line"], " "), lambda w: F.struct(F.array(
+            F.struct(F.substring(w, 1, 3).alias("text"), F.lit(None).cast("string").alias("break")),
+            F.struct(F.substr(w, F.lit(4)).alias("text"), F.lit("SPACE").alias("break"))).alias("symbols")))
+        x, y = (row["line_no"] * 17) % 100, row["line_no"] * 40
+        vertices = F.array(*[F.struct(vx.alias("x"), vy.alias("y")) for vx, vy in (
+            (x, y), (x + 300, y), (x + 300, y + 30), (x, y + 30))])
+        return F.struct(F.lit(0.5).alias("confidence"), vertices.alias("vertices"), words.alias("words"))
+
     rows = t.text_lines(by_document=True).select("doc_id", "line_no", "line")
-    words = F.transform(F.split("line", " "), lambda w: F.struct(F.array(
-        F.struct(F.substring(w, 1, 3).alias("text"), F.lit(None).cast("string").alias("break")),
-        F.struct(F.substr(w, F.lit(4)).alias("text"), F.lit("SPACE").alias("break"))).alias("symbols")))
-    n = F.col("line_no")
-    x, y = (n * 17) % 100, n * 40
-    vertices = F.array(*[F.struct(vx.alias("x"), vy.alias("y")) for vx, vy in (
-        (x, y), (x + 300, y), (x + 300, y + 30), (x, y + 30))])
-    par = F.struct(F.lit(0.5).alias("confidence"), vertices.alias("vertices"), words.alias("words"))
-    blocks = rows.groupBy("doc_id", F.floor((n - 1) / 3).alias("b")).agg(
-        F.array_sort(F.collect_list(F.struct("line_no", par.alias("p")))).alias("ps")).select(
-        "doc_id", "b", F.struct(F.transform("ps", lambda p: p["p"]).alias("paragraphs")).alias("block"))
-    pages = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("b", "block"))).alias("bs"))
+    blocks = rows.groupBy("doc_id", F.floor((F.col("line_no") - 1) / 3).alias("b")).agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+    pages = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("b", "ls"))).alias("bs"))
     page = F.struct(F.lit(1280).cast("bigint").alias("width"), F.lit(720).cast("bigint").alias("height"),
-                    F.transform("bs", lambda b: b["block"]).alias("blocks"))
+                    F.transform("bs", lambda b: F.struct(F.transform(b["ls"], paragraph).alias("paragraphs"))).alias("blocks"))
     return pages.select(F.col("doc_id").alias("slide_id"), F.lit(1).cast("bigint").alias("event_id"), F.array(page).alias("pages"))
 
 
